@@ -18,6 +18,15 @@ MAX_SLICES = 4096
 _SLICE = "__slice"
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Even work over the cluster before a costly per-row step; an input of few files would keep few tasks.
+
+    The explicit number keeps adaptive execution from merging these light-in-bytes, heavy-in-work parts.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, *columns)
+
+
 def _slices_wanted(df: DataFrame) -> int:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(4, min(MAX_SLICES, parts * 4))
