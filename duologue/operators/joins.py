@@ -1,4 +1,8 @@
-"""Equi-joins: assembly, hold-out, pairing, paired comparison, contrast, resume, merge."""
+"""Equi-joins: assembly, hold-out, pairing, paired comparison, contrast, resume, merge.
+
+Lookup sides carry no broadcast hint: Spark broadcasts them when their size, known or measured at run
+time, allows it, and splits skewed partitions of the probe side otherwise (adaptive skew join).
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duologue.operators.scale import rank_rows, salted_join
+from duologue.operators.scale import rank_rows
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Column, values: Sequence[str]) -> DataFrame:
@@ -31,13 +35,13 @@ def assemble(envs: DataFrame, episodes: DataFrame, agents: DataFrame, relations:
     for side in ("a1", "a2"):
         one = agents.select(F.col("agent").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in info],
                             F.lit(True).alias(f"{side}_known"))
-        base = salted_join(base, one, [side], "left", ["env"]).withColumn(
+        base = base.join(one, side, "left").withColumn(
             f"{side}_known", F.coalesce(f"{side}_known", F.lit(False)))
     told = relations.where(F.col("story").isNotNull() & ~F.col("story").isin("", "nan")).select(
         F.least("a1", "a2").alias("lo"), F.greatest("a1", "a2").alias("hi"), "pos", "story")
     story = last_per_key(told, ["lo", "hi"], F.col("pos"), ["story"])
     base = base.withColumn("lo", F.least("a1", "a2")).withColumn("hi", F.greatest("a1", "a2"))
-    return salted_join(base, story, ["lo", "hi"], "left", ["env"]).drop("lo", "hi").withColumn(
+    return base.join(story, ["lo", "hi"], "left").drop("lo", "hi").withColumn(
         "story", F.coalesce("story", F.lit("")))
 
 
@@ -74,7 +78,7 @@ def hash_pairing(envs: DataFrame, pool: DataFrame, key: str, code: str, pos: str
     numbered = rank_rows(numbered, [code], [F.col(pos)], F.col(pos), "i_code")
     sizes = pool.groupBy(code).agg(F.count(F.lit(1)).alias("n_code"))
     total = pool.agg(F.count(F.lit(1)).alias("n_all"))  # one row
-    e = salted_join(envs, sizes, [code], "left", [key]).crossJoin(F.broadcast(total))
+    e = envs.join(sizes, code, "left").crossJoin(F.broadcast(total))
     text = F.concat(F.lit(seed), F.col(key).cast("string"))
     e = e.withColumn("pick", md5_mod(text, F.coalesce("n_code", "n_all").cast("bigint")) + 1)
     values = [c for c in pool.columns if c != code]
@@ -116,20 +120,20 @@ def paired_deltas(results: DataFrame, base: str, dims: Sequence[str], rates: dic
     cols = {d: F.coalesce(d, F.lit(0.0)) for d in dims} | {n: r.cast("double") for n, r in rates.items()}
     flat = results.select(condition, key, *[c.alias(n) for n, c in cols.items()])
     b = flat.where(F.col(condition) == base).select(key, *[F.col(n).alias(f"__b_{n}") for n in cols])
-    return salted_join(flat.where(F.col(condition) != base), b, [key], "inner", [condition]).groupBy(condition).agg(
+    # A key occurs once for each condition, so it cannot be hot.
+    return flat.where(F.col(condition) != base).join(b, key, "inner").groupBy(condition).agg(
         F.count(F.lit(1)).alias("n_paired"), *[F.avg(F.col(n) - F.col(f"__b_{n}")).alias(f"{n}_delta") for n in cols])
 
 
 def contrast_pairs(attempts: DataFrame, task: str, success: Column, trial: str, values: Sequence[str]) -> DataFrame:
     """Each success with each failure of the same task.
 
-    A task holds at most K attempts and stops at K, so the pairs of a task are few by construction;
-    the join is on the task only and skewed tasks are salted.
+    A task holds at most K attempts, so its pairs are few by construction (K*K/4 at most).
     """
     a = attempts.withColumn("__ok", success)
     s = a.where("__ok").select(task, F.col(trial).alias("success_trial"), *[F.col(v).alias(f"success_{v}") for v in values])
     f = a.where(~F.col("__ok")).select(task, F.col(trial).alias("fail_trial"), *[F.col(v).alias(f"fail_{v}") for v in values])
-    return salted_join(f, s, [task], "inner", ["fail_trial"])
+    return f.join(s, task, "inner")
 
 
 def improvement_pairs(attempts: DataFrame, task: str, success: Column, trial: str, goal: str) -> DataFrame:
@@ -178,7 +182,7 @@ def fold_rules(rows: DataFrame, fold_of: DataFrame, fold_rules_: DataFrame, comb
     """A held-out row uses the rules of its fold, any other row the combined rules."""
     c = combined.select(F.col("rules").alias("__all"))  # one row
     j = rows.join(fold_of, key, "left")
-    return salted_join(j, fold_rules_, ["fold"], "left", [key]).crossJoin(F.broadcast(c)).select(
+    return j.join(fold_rules_, "fold", "left").crossJoin(F.broadcast(c)).select(
         key, "fold", F.coalesce("rules", "__all").alias("rules"))
 
 

@@ -57,12 +57,14 @@ def _(spark, d):
 
 def _pairing_sql(text):
     return f"""WITH s AS (SELECT s_nationkey AS code, s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS i_all,
- row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i_code, count(*) OVER () AS n_all FROM supplier),
-z AS (SELECT code, count(*) AS n_code FROM s GROUP BY 1),
-e AS (SELECT c_custkey, c_nationkey AS code, n_code, list_reduce(list_prepend(0::HUGEINT, list_transform(range(0, 8),
- lambda i: ('0x' || substr(md5({text}), CAST(i * 4 + 1 AS BIGINT), 4))::HUGEINT)),
- lambda acc, x: (acc * 65536 + x) % coalesce(n_code, (SELECT count(*) FROM supplier))) AS pick FROM customer LEFT JOIN z ON z.code = c_nationkey)
-SELECT e.c_custkey, e.code, s.s_suppkey, s.s_name FROM e JOIN s ON CASE WHEN n_code IS NULL THEN s.i_all = pick ELSE s.code = e.code AND s.i_code = pick END"""
+ row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i_code FROM supplier),
+z AS (SELECT code, count(*) AS n_code FROM s GROUP BY 1), w AS (SELECT count(*) AS n_all FROM s),
+m AS (SELECT c_custkey, c_nationkey AS code, n_code, CAST(coalesce(n_code, n_all) AS HUGEINT) AS n, md5({text}) AS h
+ FROM customer CROSS JOIN w LEFT JOIN z ON z.code = c_nationkey),
+e AS (SELECT c_custkey, code, n_code, list_reduce(list_prepend(0::HUGEINT, list_transform(range(0, 8),
+ lambda i: ('0x' || substr(h, CAST(i * 4 + 1 AS BIGINT), 4))::HUGEINT)), lambda acc, x: (acc * 65536 + x) % n) AS pick FROM m)
+SELECT e.c_custkey, e.code, s.s_suppkey, s.s_name FROM e JOIN s
+ ON CASE WHEN n_code IS NULL THEN s.i_all = pick ELSE s.code = e.code AND s.i_code = pick END"""
 
 
 def _pairing(spark, d, seed=""):
