@@ -19,7 +19,6 @@ BLOCK = 10_000
 
 def _subset_sums(values: DataFrame, m: int, n: int, n_perm: int, seed: int) -> DataFrame:
     """(perm, s): sum of m of the n values ``x`` (numbered 1..n in ``i``) for each permutation."""
-    spark = values.sparkSession
     sizes = [min(BLOCK, n - b) for b in range(0, n, BLOCK)]
 
     def split(perm: int) -> np.ndarray:
@@ -39,7 +38,7 @@ def _subset_sums(values: DataFrame, m: int, n: int, n_perm: int, seed: int) -> D
 
     blocks = values.withColumn("block", F.floor((F.col("i") - 1) / BLOCK).cast("int"))
     per_block = blocks.groupBy("block").applyInPandas(sums, "perm int, s double")
-    return per_block.groupBy("perm").agg(F.sum("s").alias("s")) if spark else per_block
+    return per_block.groupBy("perm").agg(F.sum("s").alias("s"))
 
 
 def mean_difference(df: DataFrame, value: Column, in_first: Column, order: Column, n_perm: int = 1000,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duologue.operators.joins import first_per_key
-from duologue.operators.scale import running_sums
+from duologue.operators.scale import running_sums, salted_join
 
 
 def project(df: DataFrame, vec: str, keep: Sequence[str]) -> DataFrame:
@@ -96,4 +96,4 @@ def pooled_texts(archives: dict[str, DataFrame], text: str) -> tuple[DataFrame,
         pool = one if pool is None else pool.unionByName(one, allowMissingColumns=True)
     unique = first_per_key(pool, [text], F.struct("archive", "id"), ["archive", "id"])
     ids = unique.select(text, F.col("archive").alias("unique_archive"), F.col("id").alias("unique_id"))
-    return unique, pool.join(ids, text)
+    return unique, salted_join(pool, ids, [text], "inner", ["archive", "id"])
