@@ -1 +1,67 @@
+"""Section N: the driver tables as file streams; each result equals its batch form."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from duologue.operators import rules
+from duologue.plans.frames import ATTEMPTS, attempts, table
+from duologue.plans.registry import query
+from duologue.plans.summaries import CHILDREN, children
+from duologue.streaming import jobs as S
+
+
+def _stream(spark, d, name="events"):
+    return S.file_stream(spark, f"{d}/{name}.parquet", table(spark, d, name).schema)
+
+
+class _Streamed:
+    """Lets the stand-in frames read a stream instead of a table."""
+
+    def __init__(self, spark):
+        self._spark = spark
+        self.read = self
+
+    def parquet(self, path):
+        return S.file_stream(self._spark, path, self._spark.read.parquet(path).schema)
+
+
+@query("s01_latest_versions", """WITH v AS (SELECT user_id AS id, event_id AS version, value, CASE WHEN event_id % 4 = 0 THEN 'in_progress' ELSE 'completed' END AS status FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn FROM v) SELECT id, version, value, status FROM r WHERE rn = 1 AND status <> 'in_progress'""")
+def _(spark, d):
+    v = _stream(spark, d).select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), "value",
+                                 F.when(F.col("event_id") % 4 == 0, "in_progress").otherwise("completed").alias("status"))
+    return S.completed_only(S.latest_versions(v, "id", "version"))
+
+
+@query("s02_rolling_summary", f"""WITH {ATTEMPTS} SELECT source, count(*) AS total, count(*) FILTER (error) AS errors,
+ count(*) FILTER (NOT error AND goal >= 7 AND relationship >= 0 AND judge) AS passed FROM a GROUP BY 1""")
+def _(spark, d):
+    a = attempts(_Streamed(spark), d)
+    return S.last_batch(S.run_to_table(S.rolling_summary(a, "source", rules.success("goal_rel_judge"), F.col("error")), "complete"))
+
+
+@query("s03_bounded_slope", f"""WITH {ATTEMPTS}, r AS (SELECT task, goal, event_id, row_number() OVER (PARTITION BY task ORDER BY event_id DESC) AS rn FROM a),
+w AS (SELECT task, list(goal ORDER BY event_id) AS x FROM r WHERE rn <= 10 GROUP BY 1)
+SELECT CAST(task AS VARCHAR) AS key, len(x) AS n, CASE WHEN len(x) < 4 THEN 0 ELSE list_avg(x[len(x) // 2 + 1:]) - list_avg(x[:len(x) // 2]) END AS slope FROM w""")
+def _(spark, d):
+    a = attempts(_Streamed(spark), d)
+    return S.last_value(S.run_to_table(S.bounded_slope(a, "task", "event_id", "goal"), "update"), ["key"])
+
+
+@query("s04_admission", """WITH u AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT q.id, true AS admitted, round(greatest(coalesce(max(list_cosine_similarity(q.e, v.e)), 0), 0), 6) AS within_batch_dupe
+FROM u q LEFT JOIN u v ON v.id < q.id GROUP BY 1""")
+def _(spark, d):
+    e = _stream(spark, d, "embeddings")
+    return S.admit(e, "vec_id", "embedding", 0.3, "vec_id").select("id", "admitted", F.round("within_batch_dupe", 6).alias("within_batch_dupe"))
+
+
+@query("s05_posterior_stream", f"WITH {CHILDREN} SELECT anchor, sum(alpha) AS alpha_votes, sum(beta) AS beta_votes, count(*) AS n_selected FROM cv GROUP BY 1")
+def _(spark, d):
+    return S.last_batch(S.run_to_table(S.posterior_stream(children(_Streamed(spark), d)), "complete"))
+
+
+@query("s06_every_n_rows", "SELECT count(*) AS total, count(*) >= 500 AS fired FROM events")
+def _(spark, d):
+    return S.every_n_rows(_stream(spark, d), 500, lambda total: None).select("total", "fired")
