@@ -34,14 +34,19 @@ TEXT_CUTS = {
 }
 
 
+# Every character that counts as white space.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+               "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def clean_text(c: Column) -> Column:
     """Drop NUL, turn no-break spaces to spaces, trim."""
-    return strip(F.translate(c, " \x00", " "))
+    return strip(F.replace(F.replace(c, F.lit("\x00"), F.lit("")), F.lit("\xa0"), F.lit(" ")))
 
 
 def umbrella_label(c: Column) -> Column:

@@ -43,6 +43,18 @@ def first_hit(text: Column, patterns: Sequence[str], ignore_case: bool = True) -
     return F.coalesce(*[F.when(F.rlike(text, F.lit(flag + p)), F.lit(p)) for p in patterns])
 
 
+def any_hit(text: Column, patterns: Sequence[str]) -> Column:
+    """Whether any pattern is found, in one scan: a shared word boundary is tested once, not for each pattern.
+
+    For lists that ignore case pass the lower-case text.
+    """
+    if all(p.startswith(r"\b") for p in patterns):
+        joined = r"\b(?:" + "|".join(p[2:] for p in patterns) + ")"
+    else:
+        joined = "|".join(f"(?:{p})" for p in patterns)
+    return F.rlike(text, F.lit(joined))
+
+
 def first_problem() -> Column:
     """First reason a generated scenario is invalid, null if it is sound.
 
@@ -134,21 +146,22 @@ def key_leaks(df: DataFrame, key: str, conditions: str, triggers: str, public: C
                        first_hit(F.col("item"), KEY_ARTIFACTS).alias("artifact"))
 
 
-def entry_issues(condition: Column, guidance: Column, provenance: Column) -> Column:
+def entry_issues(both_lower: Column, guidance: Column, guidance_lower: Column, provenance: Column) -> Column:
     """Issues of one rule entry, in fixed order."""
-    both = F.concat(condition, F.lit("\n"), guidance)
     return F.array_compact(F.array(
-        F.when(first_hit(both, ENTRY_ARTIFACTS).isNotNull(), F.lit("unexecutable")),
-        F.when(first_hit(guidance, ENTRY_CROSS_REFERENCES, False).isNotNull(), F.lit("not_self_contained")),
-        F.when(first_hit(guidance, ENTRY_OVERCLAIMS).isNotNull(), F.lit("overgeneralised")),
+        F.when(any_hit(both_lower, ENTRY_ARTIFACTS), F.lit("unexecutable")),
+        F.when(any_hit(guidance, ENTRY_CROSS_REFERENCES), F.lit("not_self_contained")),
+        F.when(any_hit(guidance_lower, ENTRY_OVERCLAIMS), F.lit("overgeneralised")),
         F.when(~F.rlike(F.coalesce(provenance, F.lit("")), F.lit(f"(?i){PROVENANCE}")), F.lit("bad_provenance"))))
 
 
 def entry_quality(entries: DataFrame, owner: str, max_entries: int = 3) -> DataFrame:
     """Entries with their issues, plus a flag for owners holding too many."""
     over = entries.groupBy(owner).agg((F.count(F.lit(1)) > max_entries).alias("too_many"))
-    issues = entries.withColumn("issues", entry_issues(F.col("condition"), F.col("guidance"), F.col("provenance")))
-    return issues.join(over, owner)
+    low = entries.withColumn("__low", F.lower("guidance"))
+    both = F.concat(F.lower("condition"), F.lit("\n"), F.col("__low"))
+    issues = low.withColumn("issues", entry_issues(both, F.col("guidance"), F.col("__low"), F.col("provenance")))
+    return issues.drop("__low").join(over, owner)
 
 
 def validity_flags(attempts: DataFrame, turns: DataFrame, key: str, goal_ok: Column, key_ok: Column,

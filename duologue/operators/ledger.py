@@ -140,14 +140,14 @@ def _tag(block: Column, tag: str) -> Column:
 
 def parse_entries(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """M4: tag blocks to rows; unknown kinds get a default and the standing note is taken out."""
-    pat = F.lit(r'(?s)<Entry\s+id="([^"]+)">(.*?)</Entry>')
-    found = F.arrays_zip(F.regexp_extract_all(F.col(text), pat, F.lit(1)).alias("i"),
-                         F.regexp_extract_all(F.col(text), pat, F.lit(2)).alias("b"))
-    rows = df.select(*keep, F.posexplode(found).alias("pos", "m"))
-    b = F.col("m.b")
+    pat = r'(?s)<Entry\s+id="([^"]+)">.*?</Entry>'
+    # One scan of the text; the id and the tags come from the short blocks.
+    rows = df.select(*keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pat), F.lit(0))).alias("pos", "b"))
+    b = F.col("b")
     kind, dim = F.upper(_tag(b, "Type")), F.upper(_tag(b, "Dimension"))
     return rows.select(
-        *keep, "pos", strip(F.col("m.i")).alias("entry_id"), _tag(b, "Condition").alias("condition"),
+        *keep, "pos", strip(F.regexp_extract(b, r'^<Entry\s+id="([^"]+)">', 1)).alias("entry_id"),
+        _tag(b, "Condition").alias("condition"),
         strip(F.replace(_tag(b, "Guidance"), F.lit(STANDING_NOTE), F.lit(""))).alias("guidance"),
         F.when(kind.isin(ENTRY_TYPES), kind).otherwise("HEURISTIC").alias("entry_type"),
         F.when(dim.isin(ENTRY_DIMENSIONS), dim).otherwise("GOAL").alias("dimension"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from duologue.operators.nearest import Rule, best_match, top_k, vectors
 from duologue.operators.rules import node_role
-from duologue.operators.scale import salted_join
+from duologue.operators.scale import SaltedEdges, salted_join
 from duologue.operators.summaries import gini
 from duologue.session import cut
 
@@ -51,6 +51,9 @@ def degree_stats(nodes: DataFrame, edges: DataFrame, role: Column | None = None)
         F.count_if(out == 0).alias("leaf_count"), F.count_if(out > 0).alias("backbone_count"))
 
 
+SMALL_GRAPH = 200_000  # below this many edges no key can overload a task, so nothing is salted
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """L2: smallest id of the weakly connected component of each node.
 
@@ -59,14 +62,19 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
     """
     e = edges.select(F.col("parent").alias("u"), F.col("child").alias("v")).where(F.col("u") != F.col("v"))
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    n = e.count()
     seen = None
     for _ in range(max_rounds):
+        def hang(left: DataFrame, low: DataFrame, n: int = n) -> DataFrame:
+            if n < SMALL_GRAPH:
+                return left.join(low.drop("__n"), "u")
+            return salted_join(left, low.drop("__n"), ["u"], "inner", ["v"], counts=low.select("u", "__n"))
+
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = cut(salted_join(both, low, ["u"], "inner", ["v"]).where("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = salted_join(large, down, ["u"], "inner", ["v"])
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("__n"))
+        large = cut(hang(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__n"))
+        hung = hang(large, down)
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
             down.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small)
@@ -80,10 +88,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
 
 def depth_from(seeds: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """L3: number of steps from the nearest seed; unreachable nodes have no row."""
+    graph = SaltedEdges(edges)
     level = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     done = level
     for depth in range(1, max_depth):
-        step = salted_join(edges, level.select(F.col("id").alias("parent")), ["parent"], "left_semi", ["child"])
+        step = graph.children_of(level.select(F.col("id").alias("parent")), "left_semi")
         level = cut(step.select(F.col("child").alias("id")).distinct().join(done, "id", "left_anti").withColumn(
             "depth", F.lit(depth)))
         if level.isEmpty():
@@ -94,10 +103,11 @@ def depth_from(seeds: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> D
 
 def longest_from(seeds: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """Longest path from a seed (acyclic graphs): the last round that reaches a node."""
+    graph = SaltedEdges(edges)
     level = cut(seeds.select("id").distinct())
     done = level.withColumn("longest", F.lit(0))
     for depth in range(1, max_depth):
-        step = salted_join(edges, level.select(F.col("id").alias("parent")), ["parent"], "left_semi", ["child"])
+        step = graph.children_of(level.select(F.col("id").alias("parent")), "left_semi")
         level = cut(step.select(F.col("child").alias("id")).distinct())
         if level.isEmpty():
             break
@@ -108,11 +118,11 @@ def longest_from(seeds: DataFrame, edges: DataFrame, max_depth: int = 10_000) ->
 def seed_reach(seeds: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """L4: (seed, id) for every node reached from a seed; a seed counts as its own ancestor only."""
     s = seeds.select("id").distinct()
-    inner = edges.join(s.select(F.col("id").alias("child")), "child", "left_anti")
+    graph = SaltedEdges(edges.join(s.select(F.col("id").alias("child")), "child", "left_anti"))
     level = cut(s.select(F.col("id").alias("seed"), "id"))
     done = level
     for _ in range(max_depth):
-        nxt = salted_join(inner, level.select("seed", F.col("id").alias("parent")), ["parent"], "inner", ["child"])
+        nxt = graph.children_of(level.select("seed", F.col("id").alias("parent")))
         level = cut(nxt.select("seed", F.col("child").alias("id")).distinct().join(done, ["seed", "id"], "left_anti"))
         if level.isEmpty():
             break

@@ -1,10 +1,10 @@
 """Exact nearest-neighbour and cosine-threshold joins without a cross join.
 
-A sample of at most ``MAX_PIVOTS`` corpus vectors cuts the corpus into cells (nearest pivot). Angles
+Some rows of a sample of at most ``SAMPLE_ROWS`` corpus vectors, the pivots, cut the corpus into cells (nearest pivot). Angles
 between unit vectors form a metric, so a query needs a cell only if both bounds allow a match within
 its search angle: |angle(q, pivot) - angle(v, pivot)| over the cell's angle range, and half the gap
 between angle(q, pivot) and the query's own nearest pivot. The search angle is the wanted similarity,
-or the k-th best among the pivots, which are corpus rows themselves. Nothing is dropped: pruned cells
+or the k-th best in the sample, which holds corpus rows. Nothing is dropped: pruned cells
 provably hold no better row.
 
 Cells are cut into blocks of bounded size and their queries into batches, so one hot cell becomes many
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from duologue.functions.vectors import unit
 
-MAX_PIVOTS = 1024
+SAMPLE_ROWS = 1024
+ROWS_PER_CELL = 512  # wanted; the number of cells stops at the sample size
 BLOCK_ROWS = 4096
 QUERY_ROWS = 4096
 _SLACK = 1e-7  # guards the bounds against rounding
@@ -84,24 +85,26 @@ def _collapse(corpus: DataFrame, keep: int, rule: Rule) -> DataFrame:
     return corpus.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= keep).drop("__n")
 
 
-def _pick_pivots(corpus: DataFrame) -> pd.DataFrame:
-    # At most MAX_PIVOTS rows come to the driver.
-    sample = corpus.orderBy(F.xxhash64("id"), "id").limit(MAX_PIVOTS).toPandas()
-    n = len(sample) if len(sample) < MAX_PIVOTS else corpus.count()
-    return sample.head(max(1, min(MAX_PIVOTS, math.isqrt(max(n, 1)))) if n else 0)
+def _pick_sample(corpus: DataFrame) -> tuple[pd.DataFrame, int]:
+    """(sample, number of pivots): the pivots are its first rows."""
+    # At most SAMPLE_ROWS rows come to the driver.
+    sample = corpus.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
+    n = len(sample) if len(sample) < SAMPLE_ROWS else corpus.count()
+    return sample, min(len(sample), max(8, n // ROWS_PER_CELL))
 
 
 def _search(queries: DataFrame, corpus: DataFrame, k: int | None, min_sim: float | None, rule: Rule) -> DataFrame:
     """(id, nid, sim): the k best for each query, or every row above ``min_sim``, or both limits."""
     spark = corpus.sparkSession
-    pivots = _pick_pivots(corpus)
-    if len(pivots) == 0:
+    sample, n_pivots = _pick_sample(corpus)
+    if len(sample) == 0:
         return spark.createDataFrame([], "id bigint, nid bigint, sim double")
-    pv = spark.sparkContext.broadcast((pivots, _matrix(pivots["vec"])))
+    known = _matrix(sample["vec"])
+    pv = spark.sparkContext.broadcast((sample.drop(columns="vec"), known, known[:n_pivots]))
     wide = math.acos(max(-1.0, min(1.0, min_sim))) if min_sim is not None else math.pi
 
     def home(batches):
-        _, p = pv.value
+        p = pv.value[2]
         for b in batches:
             if len(b):
                 ang = _angles(_matrix(b["vec"]), p)
@@ -116,7 +119,7 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int | None, min_sim: float
     rg = spark.sparkContext.broadcast((cells, ranges["lo"].to_numpy(), ranges["hi"].to_numpy()))
 
     def visits(batches):
-        table, p = pv.value
+        table, rows_known, p = pv.value
         ids, lo, hi = rg.value
         for b in batches:
             if not len(b):
@@ -124,8 +127,8 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int | None, min_sim: float
             q = _matrix(b["vec"])
             ang = _angles(q, p)
             limit = np.full(len(b), wide)
-            if k is not None and len(p) >= k:
-                seen = ang.copy()
+            if k is not None and len(table) >= k:
+                seen = _angles(q, rows_known)
                 ok = rule.mask(b, table)
                 if ok is not None:
                     seen[~ok] = np.inf

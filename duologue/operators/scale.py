@@ -100,6 +100,19 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], split
     return running_sums(df, keys, order, {out: F.lit(1).cast("bigint")}, split, slices=slices)
 
 
+def number_rows(df: DataFrame, out: str) -> DataFrame:
+    """1-based position of each row of a scan, in partition order. Rows are not moved: one row for each
+    partition is counted and its offset is joined back."""
+    at = F.monotonically_increasing_id()
+    marked = df.withColumn("__m", at).withColumn("__part", F.shiftright("__m", 33)).withColumn(
+        "__idx", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    return marked.join(offsets, "__part").withColumn(out, F.col("__off") + F.col("__idx") + 1).drop(
+        "__m", "__part", "__idx", "__off")
+
+
 def near_rows(df: DataFrame, keys: Sequence[str], position: str, before: int, after: int,
               aggregates: dict[str, callable], block: int = 8192) -> DataFrame:
     """Aggregates over the rows ``position-before .. position+after`` (positions are dense, from 1).
@@ -131,16 +144,17 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread: Sequence[str],
-                salts: int = 64, share: float = 0.001) -> DataFrame:
+                salts: int = 64, share: float = 0.001, counts: DataFrame | None = None) -> DataFrame:
     """Equi-join that splits keys holding more than ``share`` of the left rows.
 
     Hot left keys (at most ``1/share`` of them, so the flag table is bounded) get a salt from the
     ``spread`` columns; the matching right rows are repeated once for each salt. Other rows keep salt 0.
-    Works for ``inner``, ``left``, ``left_semi`` and ``left_anti``.
+    ``counts`` (on..., __n) saves the counting pass where the caller has it. Works for ``inner``, ``left``, ``left_semi`` and ``left_anti``.
     """
     on = list(on)
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    total = left.agg(F.count(F.lit(1)).alias("__all"))
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__all"))
     # `total` is one row, `hot` at most 1/share rows.
     hot = counts.crossJoin(F.broadcast(total)).where(F.col("__n") > F.col("__all") * share + 1000).select(
         *on, F.lit(True).alias("__hot"))
@@ -149,3 +163,29 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     r = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
     return l.join(r, on + ["__salt"], how).drop("__salt")
+
+
+class SaltedEdges:
+    """Edges prepared once for many joins on ``parent``: hot parents are split over salts.
+
+    The edges are checkpointed with their salt; the list of hot parents (at most 1/share) is kept apart.
+    """
+
+    def __init__(self, edges: DataFrame, salts: int = 64, share: float = 0.001):
+        from duologue.session import cut
+
+        counts = edges.groupBy("parent").agg(F.count(F.lit(1)).alias("__n"))
+        total = counts.agg(F.sum("__n").alias("__all"))
+        self.hot = cut(counts.crossJoin(F.broadcast(total)).where(F.col("__n") > F.col("__all") * share + 1000).select(
+            "parent", F.lit(True).alias("__hot")))
+        self.salts = salts if not self.hot.isEmpty() else 1
+        salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("child"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+        self.edges = cut(edges.join(F.broadcast(self.hot), "parent", "left").withColumn("__salt", salt).drop("__hot"))
+
+    def children_of(self, frontier: DataFrame, how: str = "inner") -> DataFrame:
+        """Edges whose parent is in ``frontier`` (a table with a ``parent`` column)."""
+        if self.salts == 1:  # no hot parent in this graph
+            return self.edges.drop("__salt").join(frontier, "parent", how)
+        copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(self.salts - 1))).otherwise(F.array(F.lit(0)))
+        f = frontier.join(F.broadcast(self.hot), "parent", "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+        return self.edges.join(f, ["parent", "__salt"], how).drop("__salt")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duologue.operators.rules import reader_category
 from duologue.operators.ordering import custom_order
-from duologue.operators.scale import rank_rows
+from duologue.operators.scale import number_rows
 
 # A text column that may hold a JSON list is read as text and parsed later.
 RAW_PROFILE = ("struct<pk:string,first_name:string,last_name:string,age:int,gender:string,gender_identity:string,"
@@ -86,12 +86,11 @@ def _blank_profile(n: int) -> Column:
 
 def read_seeds(spark: SparkSession, path: str, limit: int | None = None, both_perspectives: bool = True) -> DataFrame:
     """A1: seed rows, one output row for each perspective; ``limit`` counts file rows."""
-    raw = spark.read.schema(SEED_SCHEMA).json(path).withColumn("__m", F.monotonically_increasing_id())
-    raw = rank_rows(raw, [], [F.col("__m")], F.col("__m"), "__row").drop("__m")
+    raw = number_rows(spark.read.schema(SEED_SCHEMA).json(path), "__row")
+    raw = raw.withColumn("__made", F.transform(F.coalesce("agent_profiles", F.array().cast(f"array<{RAW_PROFILE}>")), _profile).cast(PROFILES))
     if limit is not None:
         raw = raw.where(F.col("__row") <= limit)
-    made = F.transform(F.coalesce("agent_profiles", F.array().cast(f"array<{RAW_PROFILE}>")), _profile)
-    made = made.cast(PROFILES)
+    made = F.col("__made")
     blank = F.array(_blank_profile(1), _blank_profile(2)).cast(PROFILES)
     padded = F.concat(made, F.slice(blank, F.least(F.size(made), F.lit(1)) + 1, F.greatest(2 - F.size(made), F.lit(0))))
     goals = F.slice(F.concat(F.coalesce("agent_goals", F.array().cast("array<string>")), F.array(F.lit(""), F.lit(""))), 1, 2)
