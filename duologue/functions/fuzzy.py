@@ -59,11 +59,17 @@ def _best_window(short: str, long: str, floor: float) -> float:
         i += max(1, need - got)
     for cut in (lambda k: long[:k], lambda k: long[n - k:]):
         k = min(m - 1, n)
-        while k > 0 and 200.0 * min(k, cap) / (m + k) > best:
+        while k > 0:
+            # No window of k letters shares more than min(k, cap); below k = cap that bound only falls.
+            if 200.0 * min(k, cap) / (m + k) <= best:
+                if k <= cap:
+                    break
+                k = max(cap, min(k - 1, int(200.0 * cap / best - m)))
+                continue
             got = _common(masks, m, cut(k))
             best = max(best, 200.0 * got / (m + k))
-            # With this common length only windows shorter than 2*got/best - m can win.
-            k = min(k - 1, int(200.0 * got / best - m) if best > 0 else k - 1)
+            # Shorter windows share at most `got`: only those under 2*got/best - m letters can win.
+            k = min(k - 1, int(200.0 * got / best - m)) if best > 0 else k - 1
     return best
 
 

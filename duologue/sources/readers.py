@@ -163,12 +163,13 @@ def read_episodes(spark: SparkSession, path: str) -> DataFrame:
 def read_bank(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """A5: (completed records, quarantine). In-progress records are left out, unparsable files are kept aside."""
     schema = BANK_SCHEMA + ", _corrupt_record string"
-    raw = _or_empty(spark, schema, lambda: spark.read.schema(schema).option("mode", "PERMISSIVE").option(
-        "multiLine", multi_line).json(path).select("*", F.col("_metadata.file_path").alias("file")))
-    if "file" not in raw.columns:
-        raw = raw.withColumn("file", F.lit(None).cast("string"))
-    bad = raw.where(F.col("_corrupt_record").isNotNull()).select("file", "_corrupt_record")
-    good = raw.where(F.col("_corrupt_record").isNull() & ~F.col("status").eqNullSafe("in_progress")).drop("_corrupt_record", "file")
+    text = _or_empty(spark, "value string, file string", lambda: spark.read.option("wholetext", multi_line).text(path).select(
+        "*", F.col("_metadata.file_path").alias("file"))).where(F.trim("value") != "")
+    raw = text.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    # Folders written one for each status carry it in their name.
+    status = F.coalesce("r.status", "status") if "status" in text.columns else F.col("r.status")
+    bad = raw.where(F.col("r._corrupt_record").isNotNull()).select("file", F.col("r._corrupt_record").alias("_corrupt_record"))
+    good = raw.where(F.col("r._corrupt_record").isNull() & ~status.eqNullSafe("in_progress")).select("r.*").drop("_corrupt_record")
     return good, bad
 
 
