@@ -16,7 +16,7 @@ def graph(spark, n, edges):
 
 def test_components(spark, monkeypatch):
     rng = random.Random(4)
-    chain = [(i, i + 1) for i in range(100, 160)]
+    chain = [(i, i + 1) for i in range(100, 120)]
     hub = [(250, i) for i in range(200, 250)]
     extra = [(rng.randrange(0, 90), rng.randrange(0, 90)) for _ in range(40)]
     n, e = graph(spark, 300, chain + hub + extra)
