@@ -1,8 +1,9 @@
 """Permutation tests whose work is spread over blocks of rows.
 
-A random relabelling picks m of the N values. Drawing first how many fall in each block (multivariate
-hypergeometric) and then which ones inside it gives the same law, so every block works alone and only
-its sums travel.
+A random relabelling picks m of the N values. Drawing first how many fall in each block and then which
+ones inside it gives the same law. The counts come from halving the blocks again and again with a
+hypergeometric draw at each node, seeded by the node: a block follows the log2(blocks) draws on its own
+path, so blocks agree without talking and only their sums travel.
 """
 
 from __future__ import annotations
@@ -19,20 +20,38 @@ BLOCK = 10_000
 
 def _subset_sums(values: DataFrame, m: int, n: int, n_perm: int, seed: int) -> DataFrame:
     """(perm, s): sum of m of the n values ``x`` (numbered 1..n in ``i``) for each permutation."""
-    sizes = [min(BLOCK, n - b) for b in range(0, n, BLOCK)]
-
-    def split(perm: int) -> np.ndarray:
-        # Same for every block of a permutation, so blocks agree without talking.
-        rng = np.random.Generator(np.random.PCG64([seed, perm]))
-        return rng.multivariate_hypergeometric(sizes, m, method="marginals")
+    n_blocks = max(1, -(-n // BLOCK))
+
+    def rows_in(lo: int, hi: int) -> int:
+        return min(hi * BLOCK, n) - lo * BLOCK
+
+    def left_share(rng: np.random.Generator, left: int, right: int, take: int) -> int:
+        if left + right < 1_000_000_000:
+            return int(rng.hypergeometric(left, right, take))
+        # Beyond the generator's range the law is normal to far more digits than a p-value shows.
+        p = left / (left + right)
+        sd = (take * p * (1 - p) * (left + right - take) / (left + right - 1)) ** 0.5
+        return int(min(max(round(rng.normal(take * p, sd)), take - right, 0), left, take))
+
+    def taken(perm: int, block: int) -> int:
+        lo, hi, take, node = 0, n_blocks, m, 1
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            rng = np.random.Generator(np.random.PCG64([seed, perm, node]))
+            left = left_share(rng, rows_in(lo, mid), rows_in(mid, hi), take)
+            if block < mid:
+                hi, take, node = mid, left, 2 * node
+            else:
+                lo, take, node = mid, take - left, 2 * node + 1
+        return take
 
     def sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(key[0])
         x = pdf.sort_values("i")["x"].to_numpy(dtype=np.float64)
         out = np.empty(n_perm)
         for p in range(n_perm):
-            take = int(split(p)[block])
-            rng = np.random.Generator(np.random.PCG64([seed, p, block]))
+            take = taken(p, block)
+            rng = np.random.Generator(np.random.PCG64([seed, p, block, 7]))
             out[p] = rng.permutation(x)[:take].sum()
         return pd.DataFrame({"perm": np.arange(n_perm), "s": out})
 

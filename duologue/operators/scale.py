@@ -69,29 +69,25 @@ def running_sums(
     ``inclusive=False`` a row sees only earlier rows (0 for the first).
     """
     keys = list(keys)
-    sliced = with_slice(df, split, slices)
-    part = keys + [_SLICE]
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(
+    # One struct holds keys and slice: a struct is never null, so rows with null keys join by plain
+    # equality, and window and join share one partitioning.
+    sliced = with_slice(df, split, slices).withColumn("__key", F.struct(*keys, _SLICE)).drop(_SLICE)
+    w = Window.partitionBy("__key").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1
     )
     local = sliced
     for name, expr in sums.items():
         local = local.withColumn(name, F.coalesce(F.sum(expr).over(w), F.lit(0)))
-    totals = sliced.groupBy(*part).agg(*[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy("__key").agg(*[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
+    owner = [F.col(f"__key.{k}") for k in keys] or [F.lit(0)]
+    before = Window.partitionBy(*owner).orderBy(f"__key.{_SLICE}").rowsBetween(Window.unboundedPreceding, -1)
     # At most MAX_SLICES rows for each key reach this window.
     offsets = totals.select(
-        *[F.col(k).alias(f"__k_{k}") for k in part],
-        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
-    )
-    cond = None
-    for k in part:
-        eq = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        cond = eq if cond is None else cond & eq
-    joined = local.join(offsets, cond, "left")
+        "__key", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    joined = local.join(offsets, "__key", "left")
     for n in sums:
         joined = joined.withColumn(n, F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)))
-    return joined.drop(_SLICE, *[f"__k_{k}" for k in part], *[f"__o_{n}" for n in sums])
+    return joined.drop("__key", *[f"__o_{n}" for n in sums])
 
 
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], split: Column, out: str = "rn",
