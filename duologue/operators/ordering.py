@@ -39,7 +39,7 @@ def newest(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 def equal_sizes(rows: DataFrame, method: str, iteration: str = "iteration", id_col: str = "id") -> DataFrame:
     """Cut every method to the smallest one; seeds (iteration < 0) stay first, then by iteration."""
-    ranked = rank_rows(rows, [method], [F.col(iteration), F.col(id_col)], F.col(iteration), "rn")
+    ranked = rank_rows(rows, [method], [F.col(iteration), F.col(id_col)], F.col(iteration), "rn", then=F.col(id_col))
     smallest = rows.groupBy(method).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("__n"))  # one row
     return ranked.crossJoin(F.broadcast(smallest)).where(F.col("rn") <= F.col("__n")).drop("__n")
 
@@ -52,7 +52,7 @@ def rank_candidates(cands: DataFrame, scores: DataFrame, slot: str, pos: str) ->
     j = cands.join(scores, [slot, pos], "left")
     bad = j.groupBy(slot).agg(F.bool_or(F.coalesce("error", F.lit(False))).alias("__bad"))
     j = j.join(bad, slot).withColumn("__s", F.when(F.col("__bad"), F.lit(0.0)).otherwise(-F.coalesce("score", F.lit(0.0))))
-    return rank_rows(j, [slot], [F.col("__s"), F.col(pos)], F.col("__s"), "place").drop("__s", "__bad")
+    return rank_rows(j, [slot], [F.col("__s"), F.col(pos)], F.col("__s"), "place", then=F.col(pos)).drop("__s", "__bad")
 
 
 def relevant_in_order(entries: DataFrame, by: Sequence[str], score: str, pos: str, k: int) -> DataFrame:

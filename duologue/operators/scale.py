@@ -32,26 +32,45 @@ def _slices_wanted(df: DataFrame) -> int:
     return max(4, min(MAX_SLICES, parts * 4))
 
 
-def with_slice(df: DataFrame, on: Column, slices: int | None = None, out: str = _SLICE) -> DataFrame:
-    """Add the slice number of ``on`` (numeric), a monotone function with balanced slices."""
-    n = slices or _slices_wanted(df)
-    probes = [i / n for i in range(1, n)]
-    row = df.select(on.cast("double").alias("v")).agg(
-        F.percentile_approx("v", probes, max(1000, n * 4)).alias("q")
-    ).head()
-    cuts = sorted(set(row["q"] or []))
+def _place(cuts: list[float], x: Column) -> Column:
+    """Number of cuts <= x, found in two steps: about 2*sqrt(n) comparisons a row instead of n."""
     if not cuts:
-        return df.withColumn(out, F.lit(0))
-    # Two-step search: about 2*sqrt(n) comparisons a row instead of n.
+        return F.lit(0)
     width = max(1, math.isqrt(len(cuts)))
     groups = [cuts[i:i + width] for i in range(0, len(cuts), width)]
     heads = F.array(*[F.lit(g[0]) for g in groups])
-    nested = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
-    x = on.cast("double")
+    nested = F.array(*[F.array(*[F.lit(v) for v in g]) for g in groups])
     coarse = F.size(F.filter(heads, lambda h: h <= x))
     fine = F.size(F.filter(F.get(nested, coarse - 1), lambda h: h <= x))
-    slice_no = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * F.lit(width) + fine)
-    return df.withColumn(out, F.coalesce(slice_no, F.lit(-1)).cast("int"))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * F.lit(width) + fine)
+
+
+def _quantiles(df: DataFrame, on: Column, n: int) -> list[float]:
+    probes = [i / n for i in range(1, n)]
+    row = df.select(on.cast("double").alias("v")).agg(
+        F.percentile_approx("v", probes, max(1000, n * 4)).alias("q")).head()
+    return list(row["q"] or [])
+
+
+def with_slice(df: DataFrame, on: Column, slices: int | None = None, then: Column | None = None,
+               out: str = _SLICE) -> DataFrame:
+    """Add the slice number of ``on`` (numeric), a monotone function with balanced slices.
+
+    A value that fills more than one slice gets a slice of its own, which is cut again by ``then``, the
+    column that orders equal values.
+    """
+    n = slices or _slices_wanted(df)
+    points = _quantiles(df, on, n)
+    heavy = sorted({p for p, q in zip(points, points[1:]) if p == q}) if then is not None else []
+    cuts = sorted(set(points) | {math.nextafter(h, math.inf) for h in heavy})
+    x = on.cast("double")
+    # Nulls sort first.
+    first = F.when(x.isNull(), F.lit(-1)).otherwise(_place(cuts, x)).cast("bigint")
+    if heavy:
+        tie = x.isin(heavy)
+        inner = _place(sorted(set(_quantiles(df.where(tie), then, n))), then.cast("double"))
+        first = first * (n + 1) + F.when(tie, inner).otherwise(0)
+    return df.withColumn(out, first)
 
 
 def running_sums(
@@ -62,22 +81,23 @@ def running_sums(
     split: Column,
     inclusive: bool = True,
     slices: int | None = None,
+    then: Column | None = None,
 ) -> DataFrame:
     """Prefix sums per key in ``order``; ``split`` is a numeric column that ``order`` starts with.
 
+    Where many rows may share one ``split`` value, ``then`` names the second, numeric order column.
+
     One shuffle of the rows on ``(key, slice)`` and one of the much smaller slice totals. With
     ``inclusive=False`` a row sees only earlier rows (0 for the first).
     """
     keys = list(keys)
     # One struct holds keys and slice: a struct is never null, so rows with null keys join by plain
     # equality, and window and join share one partitioning.
-    sliced = with_slice(df, split, slices).withColumn("__key", F.struct(*keys, _SLICE)).drop(_SLICE)
+    sliced = with_slice(df, split, slices, then).withColumn("__key", F.struct(*keys, _SLICE)).drop(_SLICE)
     w = Window.partitionBy("__key").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1
     )
-    local = sliced
-    for name, expr in sums.items():
-        local = local.withColumn(name, F.coalesce(F.sum(expr).over(w), F.lit(0)))
+    local = sliced.withColumns({n: F.coalesce(F.sum(e).over(w), F.lit(0)) for n, e in sums.items()})
     totals = sliced.groupBy("__key").agg(*[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
     owner = [F.col(f"__key.{k}") for k in keys] or [F.lit(0)]
     before = Window.partitionBy(*owner).orderBy(f"__key.{_SLICE}").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,15 +105,14 @@ def running_sums(
     offsets = totals.select(
         "__key", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
     joined = local.join(offsets, "__key", "left")
-    for n in sums:
-        joined = joined.withColumn(n, F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)))
+    joined = joined.withColumns({n: F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)) for n in sums})
     return joined.drop("__key", *[f"__o_{n}" for n in sums])
 
 
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], split: Column, out: str = "rn",
-              slices: int | None = None) -> DataFrame:
+              slices: int | None = None, then: Column | None = None) -> DataFrame:
     """1-based dense position of every row inside its key, without one task per key."""
-    return running_sums(df, keys, order, {out: F.lit(1).cast("bigint")}, split, slices=slices)
+    return running_sums(df, keys, order, {out: F.lit(1).cast("bigint")}, split, slices=slices, then=then)
 
 
 def number_rows(df: DataFrame, out: str) -> DataFrame:

@@ -76,7 +76,7 @@ def child_priors(children: DataFrame, roots: DataFrame, mass: float = 4.0, max_d
     time. Each depth is checkpointed, so the lineage of the plan stays short.
     """
     before = running_sums(children, ["parent"], [F.col("iteration"), F.col("id")],
-                          {"a0": F.col("alpha"), "b0": F.col("beta")}, F.col("iteration"), inclusive=False)
+                          {"a0": F.col("alpha"), "b0": F.col("beta")}, F.col("iteration"), inclusive=False, then=F.col("id"))
     before = cut(before.select("id", "parent", "a0", "b0"))
     level = roots.select("id", F.col("prior_alpha").cast("double"), F.col("prior_beta").cast("double"))
     done = None

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def micros() -> F.Column:
     """Event time as a number. `events.ts` has no zone; the session zone must not move it."""
-    return F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    return F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
 
 
 # One scored attempt for each event.

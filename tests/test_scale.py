@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from duologue.operators.scale import SaltedEdges, near_rows, number_rows, rank_rows, running_sums, salted_join, top_rows
+from duologue.operators.scale import SaltedEdges, near_rows, number_rows, rank_rows, running_sums, salted_join, top_rows, with_slice
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,16 @@ def test_empty_input(spark):
     assert rank_rows(df, ["k"], [F.col("o")], F.col("o")).count() == 0
 
 
+def test_heavy_value_is_cut_again(spark):
+    df = spark.range(4000).withColumn("o", F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id") % 50))
+    cut = with_slice(df, F.col("o"), 16, F.col("id"))
+    assert cut.where("o = -1").groupBy("__slice").count().agg(F.max("count")).head()[0] < 1000
+    assert cut.where("o <> -1").agg(F.min("__slice")).head()[0] > cut.where("o = -1").agg(F.max("__slice")).head()[0]
+    got = rank_rows(df, [], [F.col("o"), F.col("id")], F.col("o"), slices=16, then=F.col("id")).collect()
+    want = sorted(got, key=lambda r: (r["o"], r["id"]))
+    assert [r["rn"] for r in want] == list(range(1, 4001))
+
+
 def test_all_orders_equal(spark):
     df = spark.range(500).withColumn("o", F.lit(7))
     got = rank_rows(df, [], [F.col("o"), F.col("id")], F.col("o"))
