@@ -6,6 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from duologue.plans.rounding import ROUNDED
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +24,26 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(name: str, sql: str | None = None):
+    """Register a query and the SQL for the same result.
+
+    Engines add floating-point numbers in different orders, so such columns are rounded to six places on
+    both sides, as the last step.
+    """
+    floats = ROUNDED.get(name, [])
+
     def keep(fn: Runner) -> Runner:
         if name in REGISTRY:
             raise ValueError(f"query {name} registered twice")
-        REGISTRY[name] = Query(name, fn, sql)
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = fn(spark, sf_dir)
+            return out.withColumns({c: F.round(F.col(c).cast("double"), 6) + 0.0 for c in floats}) if floats else out
+
+        text = sql
+        if sql and floats:
+            cols = ", ".join(f'round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS "{c}"' for c in floats)
+            text = f"SELECT * REPLACE ({cols}) FROM ({sql}) AS result"
+        REGISTRY[name] = Query(name, run, text)
         return fn
 
     return keep
