@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duologue.llm import packing
+from duologue.llm import classifier, packing
 from duologue.llm.common import table
 from duologue.llm.registry import QUERIES, SQL, query
 
@@ -14,3 +14,9 @@ __all__ = ["QUERIES", "SQL"]
 @query("op2_harmonic_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op9_co_training")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    return classifier.classify(docs, table(spark, sf_dir, "labels")).drop("text", "source", "lang")
