@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duologue.llm import classifier, packing
+from duologue.llm import classifier, neardup, packing
 from duologue.llm.common import table
 from duologue.llm.registry import QUERIES, SQL, query
 
@@ -20,3 +20,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
     return classifier.classify(docs, table(spark, sf_dir, "labels")).drop("text", "source", "lang")
+
+
+@query("op3_signature_trees")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90)
