@@ -121,7 +121,7 @@ def fit_content(docs: Docs, use: np.ndarray, y: np.ndarray, max_features: int, l
     f, lab = docs.words[known], label[row[known]]
     n1 = np.bincount(f, lab, 1 << BITS)
     n = np.bincount(f, minlength=1 << BITS).astype(float)
-    prior = np.bincount(row[known], lab).sum() / max(1, known.sum())
+    prior = y.mean()
     z = (n1 - n * prior) / np.sqrt(n * prior * (1 - prior) + 1e-9)
     z[n < 4] = 0
     best = np.argsort(-z, kind="stable")[:max_features]
@@ -136,7 +136,6 @@ def fit_content(docs: Docs, use: np.ndarray, y: np.ndarray, max_features: int, l
     w, b = np.zeros(len(best)), float(logit(np.array([y.mean()]))[0])
     target = np.nan_to_num(label)
     sel = ~np.isnan(label)
-    curve = np.bincount(c, minlength=len(best)) * 0.25 + 1.0
     size = np.maximum(1, np.bincount(r, minlength=len(label)))  # features of one document share its curvature
     curve = np.bincount(c, 0.25 * size[r], len(best)) + 1.0
     for _ in range(300):
@@ -181,6 +180,19 @@ def cotrain(docs: Docs, label: np.ndarray, rounds: int = 3, sure: float = 0.98,
     return model
 
 
+def telling(words: pa.Array, reject: np.ndarray) -> list[np.ndarray]:
+    """Each document's word features without those that cannot become evidence: met in fewer than four documents, or
+    met in twenty labelled ones and there less often rejected than features are on the whole."""
+    n, n1, nl = (np.zeros(1 << BITS, np.int32) for _ in range(3))
+    for x, r in zip(words, reject, strict=True):
+        f = np.frombuffer(x.as_buffer(), np.int32)
+        for counts, counted in ((n, True), (n1, r == 1), (nl, r == r)):
+            if counted:
+                np.add.at(counts, f, 1)
+    use = (n >= 4) & ~((nl >= 20) & (n1 * float(nl.sum()) < nl * float(n1.sum())))
+    return [f[use[f]] for x in words for f in [np.frombuffer(x.as_buffer(), np.int32)]]
+
+
 def sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tuple[Docs, np.ndarray]:
     """The two bounded samples, by the hash of the id, with their features."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where(
@@ -213,10 +225,11 @@ def sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tup
 
     got = picked.mapInArrow(features, "doc_id long, reject double, words binary, layout array<double>").toArrow()
     got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable")))
-    parts = [np.frombuffer(x, np.int32) for x in got["words"].to_pylist()]
+    reject = got["reject"].to_numpy().astype(float)
+    parts = telling(got["words"].combine_chunks(), reject)
     bounds = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
     lay = np.array(got["layout"].to_pylist(), float).reshape(len(parts), LAYOUT + 2 * SLOTS)
-    return Docs(np.concatenate(parts) if parts else np.array([], np.int32), bounds, lay), got["reject"].to_numpy().astype(float)
+    return Docs(np.concatenate(parts) if parts else np.array([], np.int32), bounds, lay), reject
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -255,7 +268,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return base.mapInArrow(work, f"{kinds}, content_reject double, metadata_reject double, reject double, keep boolean")
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, pool: int = 4_000, rounds: int = 3) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = 16_000, pool: int = 4_000, rounds: int = 3) -> DataFrame:
     """Scores every row of docs(doc_id, text, source, lang, ...): the same columns plus the three scores and ``keep``.
 
     At most ``labelled`` labelled rows and ``pool`` unlabelled ones are used for fitting; all rows are scored. Null text is
