@@ -337,4 +337,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     named = sets.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")).join(
         comp, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component_id"))
     return sets.drop("keys").join(named, ["k1", "k2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duologue.llm import classifier, neardup, packing
+from duologue.llm import classifier, collision, impact, neardup, packing, suffixes
 from duologue.llm.common import table
 from duologue.llm.registry import QUERIES, SQL, query
 
@@ -25,3 +25,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_signature_trees")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90)
+
+
+@query("op6_deep_shallow_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op7_collision_counting")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query("op8_impact_ordered", sql="""
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))

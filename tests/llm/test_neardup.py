@@ -78,7 +78,7 @@ def test_trees_find_every_component():
     for trial in range(20):
         sets = []
         for _ in range(60):
-            base = rng.choice(np.uint64(1) << np.uint64(60), 40, replace=False) if not sets or rng.random() < 0.4 else sets[rng.integers(len(sets))]
+            base = rng.integers(0, 1 << 60, 40).astype(np.uint64) if not sets or rng.random() < 0.4 else sets[rng.integers(len(sets))]
             new = base.copy()
             hit = rng.integers(0, len(new), rng.integers(0, 4))
             new[hit] = rng.integers(0, 1 << 60, len(hit)).astype(np.uint64)
@@ -98,5 +98,5 @@ def test_trees_find_every_component():
 def test_empty_table_and_repeats(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (0, "A B C D")], "doc_id long, text string")
     got = sorted((tuple(r) for r in neardup.near_duplicates(df).collect()), key=str)
-    assert got == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (None, 1, 0)] or got == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (None, 1, None)]
+    assert got == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (None, 1, None)]
     assert neardup.near_duplicates(df.where("false")).count() == 0
