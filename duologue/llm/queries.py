@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duologue.llm import classifier, collision, impact, neardup, packing, suffixes
+from duologue.llm import classifier, collision, impact, language, neardup, packing, suffixes
 from duologue.llm.common import table
 from duologue.llm.registry import QUERIES, SQL, query
 
@@ -47,3 +47,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query("op10_elias_fano_trie")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.scores(table(spark, sf_dir, "documents", "doc_id", "text"))
