@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duologue.llm import classifier, collision, impact, language, neardup, packing, suffixes
+from duologue.llm import classifier, collision, impact, language, licences, neardup, packing, suffixes
 from duologue.llm.common import table
 from duologue.llm.registry import QUERIES, SQL, query
 
@@ -38,9 +38,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op8_impact_ordered", sql="""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
@@ -52,3 +52,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_elias_fano_trie")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op1_licence_sentences", sql=licences.scan_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
