@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duologue.llm import classifier, collision, impact, language, licences, neardup, packing, suffixes
+from duologue.llm import classifier, collision, impact, language, licences, maincontent, neardup, packing, suffixes
 from duologue.llm.common import table
 from duologue.llm.registry import QUERIES, SQL, query
 
@@ -57,3 +57,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_licence_sentences", sql=licences.scan_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op4_minimum_cut")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maincontent.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
