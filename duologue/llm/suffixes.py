@@ -384,17 +384,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the text that stays).
+def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the text that stays), then the
+    columns named in ``carry``.
 
     ``length`` is at least 64 and at most 159. Null text is empty. A row with a null id takes no part and stays whole. Rows
     of one id must hold one text; they count as one document. ``kept`` leaves out a character of which a byte goes.
     """
     if not 2 * K <= length <= 159:
         raise ValueError("length must be from 64 to 159 bytes")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated(docs, length).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    both = docs.join(spans, "doc_id", "left")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    spans = repeated(docs.select("doc_id", "text"), length).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    both = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *carry)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields[3:])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -409,6 +412,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
             if rows:
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.string(), pa.string()), strict=False)]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                yield pa.RecordBatch.from_arrays(cols[: 5 + with_text], names[: 5 + with_text])
+                yield pa.RecordBatch.from_arrays([*cols[: 5 + with_text], *b.columns[3:]], [*names[: 5 + with_text], *carry])
 
-    return both.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    return both.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + kinds)
