@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duologue.llm import classifier, collision, impact, language, licences, maincontent, neardup, packing, suffixes
+from duologue.llm import classifier, collision, impact, language, licences, maincontent, neardup, packing, segments, suffixes
 from duologue.llm.common import table
 from duologue.llm.registry import QUERIES, SQL, query
 
@@ -62,3 +62,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_minimum_cut")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maincontent.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op5_gumbel_segmentations")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.segmentations(table(spark, sf_dir, "documents", "doc_id", "text"))
