@@ -218,7 +218,7 @@ class Row:
 
 
 def sampled(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text up to k (steps, log probability, perturbed score, inclusion probability), best first."""
+    """For each text up to k (steps, log probability, perturbed score, log inclusion probability), best first."""
     chunks, sizes = [], []
     for t in texts:
         c = CHUNK.findall(SPACE + t.replace(SPACE, STAND_IN).replace(" ", SPACE)) if t else []
@@ -293,11 +293,15 @@ def sampled(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int)
     result = []
     for row_ in rows:
         least = max((q[0] for q in row_.queue), default=-np.inf)
-        result.append([(whole, lp, top, float(-np.expm1(-np.exp(min(700.0, lp - least)))) if least > -np.inf else 1.0)
-                       for whole, _, top, lp in row_.paths])
+        result.append([(whole, lp, top, log_inclusion(lp - least)) for whole, _, top, lp in row_.paths])
     return result
 
 
+def log_inclusion(x: float) -> float:
+    """log(1 - exp(-exp(x))), for x the log probability less the threshold (-inf where nothing is left to be drawn)."""
+    return x if x < -30 else 0.0 if x > 30 else float(np.log(-np.expm1(-np.exp(x))))
+
+
 def others(lat: Lattices, step: int, out: tuple[int, ...]) -> tuple[list[int], list[float]]:
     """The steps at a step's position that are not out, with their chances."""
     pos = lat.source[step]
@@ -330,10 +334,10 @@ def model_path() -> str:
 
 def segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, seed: int = 1, path: str | None = None, batch_chars: int = 2_000_000,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rank (from 1), n_pieces, log_prob, score (perturbed), inclusion, round_trip, ids: up to k rows per row of docs.
+    """doc_id, rank (from 1), n_pieces, log_prob, score (perturbed), log_inclusion, round_trip, ids: up to k rows per row of docs.
 
     A null or empty text has one segmentation, the empty one. Texts with fewer than k segmentations give them all, with
-    inclusion 1. round_trip says that decoding the ids gives the text. Rows of one id and text give equal results.
+    log inclusion 0. round_trip says that decoding the ids gives the text. Rows of one id and text give equal results.
     """
     path = path or model_path()
 
@@ -356,7 +360,7 @@ def segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, seed: int
             flat = pa.array(np.concatenate(cols[7]) if cols[7] else np.zeros(0, np.int32))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
             return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:7], kinds, strict=True)), pa.ListArray.from_arrays(pa.array(bounds), flat)],
-                                              ["doc_id", "rank", "n_pieces", "log_prob", "score", "inclusion", "round_trip", "ids"])
+                                              ["doc_id", "rank", "n_pieces", "log_prob", "score", "log_inclusion", "round_trip", "ids"])
 
         ids, texts, size = [], [], 0
         for b in batches:
@@ -372,4 +376,4 @@ def segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, seed: int
 
     cols = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")]
     return docs.select(*cols).mapInArrow(
-        work, "doc_id long, rank int, n_pieces long, log_prob double, score double, inclusion double, round_trip boolean, ids array<int>")
+        work, "doc_id long, rank int, n_pieces long, log_prob double, score double, log_inclusion double, round_trip boolean, ids array<int>")
