@@ -179,8 +179,9 @@ def id_overlap(corpora: dict[str, DataFrame], evaluation: DataFrame, ids: Sequen
 
 
 def fold_rules(rows: DataFrame, fold_of: DataFrame, fold_rules_: DataFrame, combined: DataFrame, key: str) -> DataFrame:
-    """A held-out row uses the rules of its fold, any other row the combined rules."""
-    c = combined.select(F.col("rules").alias("__all"))  # one row
+    """A held-out row uses the rules of its fold, any other row the combined rules, of which there is one row at most."""
+    n = F.count(F.lit(1))
+    c = combined.agg(F.when(n <= 1, F.first("rules")).otherwise(F.raise_error(F.lit("more than one row of combined rules"))).alias("__all"))
     j = rows.join(fold_of, key, "left")
     return j.join(fold_rules_, "fold", "left").crossJoin(F.broadcast(c)).select(
         key, "fold", F.coalesce("rules", "__all").alias("rules"))

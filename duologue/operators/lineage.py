@@ -6,6 +6,8 @@ Hubs are salted: one parent may own a third of all edges.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def degree_stats(nodes: DataFrame, edges: DataFrame, role: Column | None = None)
 SMALL_GRAPH = 200_000  # below this many edges no key can overload a task, so nothing is salted
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """L2: smallest id of the weakly connected component of each node.
 
     Large-star and small-star rounds (Kiveris et al., 2014): every round hangs neighbours onto the
@@ -64,7 +66,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     n = e.count()
     seen = None
-    for _ in range(max_rounds):
+    while True:
         def hang(left: DataFrame, low: DataFrame, n: int = n) -> DataFrame:
             if n < SMALL_GRAPH:
                 return left.join(low.drop("__n"), "u")
@@ -86,12 +88,12 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
         "id", F.coalesce("component", "id").alias("component"))
 
 
-def depth_from(seeds: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def depth_from(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """L3: number of steps from the nearest seed; unreachable nodes have no row."""
     graph = SaltedEdges(edges)
     level = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     done = level
-    for depth in range(1, max_depth):
+    for depth in count(1):
         step = graph.children_of(level.select(F.col("id").alias("parent")), "left_semi")
         level = cut(step.select(F.col("child").alias("id")).distinct().join(done, "id", "left_anti").withColumn(
             "depth", F.lit(depth)))
@@ -101,27 +103,30 @@ def depth_from(seeds: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> D
     return done
 
 
-def longest_from(seeds: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """Longest path from a seed (acyclic graphs): the last round that reaches a node."""
+def longest_from(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Longest path from a seed: the last round that reaches a node. A cycle that seeds reach is an error."""
+    most = edges.select("child").distinct().count()
     graph = SaltedEdges(edges)
     level = cut(seeds.select("id").distinct())
     done = level.withColumn("longest", F.lit(0))
-    for depth in range(1, max_depth):
+    for depth in count(1):
         step = graph.children_of(level.select(F.col("id").alias("parent")), "left_semi")
         level = cut(step.select(F.col("child").alias("id")).distinct())
         if level.isEmpty():
             break
+        if depth > most:  # a path without repeated nodes has no more steps than there are children
+            raise ValueError("the lineage has a cycle")
         done = done.unionByName(level.withColumn("longest", F.lit(depth)))
     return done.groupBy("id").agg(F.max("longest").alias("longest"))
 
 
-def seed_reach(seeds: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def seed_reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """L4: (seed, id) for every node reached from a seed; a seed counts as its own ancestor only."""
     s = seeds.select("id").distinct()
     graph = SaltedEdges(edges.join(s.select(F.col("id").alias("child")), "child", "left_anti"))
     level = cut(s.select(F.col("id").alias("seed"), "id"))
     done = level
-    for _ in range(max_depth):
+    while True:
         nxt = graph.children_of(level.select("seed", F.col("id").alias("parent")))
         level = cut(nxt.select("seed", F.col("child").alias("id")).distinct().join(done, ["seed", "id"], "left_anti"))
         if level.isEmpty():

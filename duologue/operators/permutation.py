@@ -8,6 +8,8 @@ path, so blocks agree without talking and only their sums travel.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,29 @@ from duologue.operators.scale import rank_rows
 BLOCK = 10_000
 
 
+def hypergeometric(rng: np.random.Generator, left: int, right: int, take: int) -> int:
+    """How many of ``take`` draws fall on the left side. Beyond the generator's range the law is summed outwards from its
+    mode, by the ratios of neighbouring probabilities, until they no longer count."""
+    if left + right < 1_000_000_000:
+        return int(rng.hypergeometric(left, right, take))
+    lo, hi = max(0, take - right), min(left, take)
+    mode = min(hi, max(lo, (take + 1) * (left + 1) // (left + right + 2)))
+    p = left / (left + right)
+    reach = int(40 * (take * p * (1 - p)) ** 0.5) + 40
+    up = np.arange(mode, min(hi, mode + reach), dtype=np.float64)  # from k to k + 1
+    down = np.arange(mode, max(lo, mode - reach), -1, dtype=np.float64)  # from k to k - 1
+    above = np.cumprod((left - up) / (up + 1) * (take - up) / (right - take + up + 1))
+    below = np.cumprod(down / (left - down + 1) * (right - take + down) / (take - down + 1))
+    law = np.r_[below[::-1], 1.0, above]
+    at = int(np.searchsorted(np.cumsum(law), rng.random() * law.sum(), "right"))
+    return mode - len(below) + min(at, len(law) - 1)
+
+
+@lru_cache(maxsize=100_000)  # blocks of a task share the upper nodes of their paths
+def left_share(seed: int, perm: int, node: int, left: int, right: int, take: int) -> int:
+    return hypergeometric(np.random.Generator(np.random.PCG64([seed, perm, node])), left, right, take)
+
+
 def _subset_sums(values: DataFrame, m: int, n: int, n_perm: int, seed: int) -> DataFrame:
     """(perm, s): sum of m of the n values ``x`` (numbered 1..n in ``i``) for each permutation."""
     n_blocks = max(1, -(-n // BLOCK))
@@ -25,20 +50,11 @@ def _subset_sums(values: DataFrame, m: int, n: int, n_perm: int, seed: int) -> D
     def rows_in(lo: int, hi: int) -> int:
         return min(hi * BLOCK, n) - lo * BLOCK
 
-    def left_share(rng: np.random.Generator, left: int, right: int, take: int) -> int:
-        if left + right < 1_000_000_000:
-            return int(rng.hypergeometric(left, right, take))
-        # Beyond the generator's range the law is normal to far more digits than a p-value shows.
-        p = left / (left + right)
-        sd = (take * p * (1 - p) * (left + right - take) / (left + right - 1)) ** 0.5
-        return int(min(max(round(rng.normal(take * p, sd)), take - right, 0), left, take))
-
     def taken(perm: int, block: int) -> int:
         lo, hi, take, node = 0, n_blocks, m, 1
         while hi - lo > 1:
             mid = (lo + hi) // 2
-            rng = np.random.Generator(np.random.PCG64([seed, perm, node]))
-            left = left_share(rng, rows_in(lo, mid), rows_in(mid, hi), take)
+            left = left_share(seed, perm, node, rows_in(lo, mid), rows_in(mid, hi), take)
             if block < mid:
                 hi, take, node = mid, left, 2 * node
             else:
@@ -62,11 +78,13 @@ def _subset_sums(values: DataFrame, m: int, n: int, n_perm: int, seed: int) -> D
 
 def mean_difference(df: DataFrame, value: Column, in_first: Column, order: Column, n_perm: int = 1000,
                     seed: int = 0) -> DataFrame:
-    """|difference of means| and p = (hits + 1) / (n_perm + 1)."""
+    """|difference of means| and p = (hits + 1) / (n_perm + 1); null where a group is empty."""
     base = df.select(value.cast("double").alias("x"), in_first.alias("f"), order.alias("o"))
     t = base.agg(F.count(F.lit(1)).alias("n"), F.count_if("f").alias("m"), F.sum("x").alias("sx"),
                  F.sum(F.when(F.col("f"), F.col("x"))).alias("sf")).head()
     n, m = t["n"], t["m"]
+    if not 0 < m < n:
+        return df.sparkSession.sql("SELECT CAST(NULL AS double) AS observed, CAST(NULL AS bigint) AS hits, CAST(NULL AS double) AS p_value")
     obs = abs(t["sf"] / m - (t["sx"] - t["sf"]) / (n - m))
     sums = _subset_sums(rank_rows(base, [], [F.col("o")], F.col("o"), "i"), m, n, n_perm, seed)
     gap = F.abs(F.col("s") / m - (F.lit(t["sx"]) - F.col("s")) / (n - m))
@@ -75,12 +93,14 @@ def mean_difference(df: DataFrame, value: Column, in_first: Column, order: Colum
 
 
 def trend(df: DataFrame, hit: Column, order: str, n_perm: int = 1000, seed: int = 0) -> DataFrame:
-    """Correlation of a 0/1 series with its position, two-sided permutation p."""
+    """Correlation of a 0/1 series with its position, two-sided permutation p; null where the series does not vary."""
     base = df.select(hit.cast("int").alias("y"), F.col(order).alias("o"))
     ranked = rank_rows(base, [], [F.col("o")], F.col("o"), "i")
     t = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("m"),
                    F.sum(F.when(F.col("y") == 1, F.col("i") - 1)).alias("s")).head()
     n, m = int(t["n"]), int(t["m"] or 0)
+    if not 0 < m < n:
+        return df.sparkSession.sql("SELECT CAST(NULL AS double) AS r, CAST(NULL AS bigint) AS hits, CAST(NULL AS double) AS p_value")
     mean_i = (n - 1) / 2
     # Variances do not change under relabelling: r is linear in the summed positions of the ones.
     sxx, syy = n * (n * n - 1) / 12, m - m * m / n

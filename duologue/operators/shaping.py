@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duologue.functions.text import head_tail
+from duologue.functions.text import head_tail, strip
 from duologue.operators.rules import DIMENSIONS
 from duologue.operators.scale import top_rows
 
 
 def clean_turns(turns: DataFrame, speaker: str = "speaker", content: str = "content") -> DataFrame:
     """Drop scene messages and idle turns, private prefixes and outer quotes; drop what is then empty."""
-    body = F.trim(F.regexp_replace(F.col(content), r"^\[private to \[.*?\]\]\s+(?:said:\s*)?", ""))
+    body = strip(F.regexp_replace(F.col(content), r"^\[private to \[.*?\]\]\s+(?:said:\s*)?", ""))
     quoted = F.startswith(body, F.lit('"')) & F.endswith(body, F.lit('"'))
     inner = F.when(F.length(body) > 1, F.substr(body, F.lit(2), F.length(body) - 2)).otherwise("")
     return (turns.where((F.col(speaker) != "Environment") & ~F.contains(F.col(content), F.lit("did nothing")))

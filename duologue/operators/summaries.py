@@ -125,7 +125,7 @@ def condition_summary(df: DataFrame, dims: Sequence[str], goal_rel: Column, solv
 def vote_collapse(votes: DataFrame) -> DataFrame:
     """A pair scores 2 only if both presentation orders favour the later attempt.
 
-    The progress value divides by all votes; a scenario whose votes all failed is quarantined.
+    The progress value divides by all votes and is rounded to four places; a scenario whose votes all failed is quarantined.
     """
     later = (((F.col("vote_order") == "A=1,B=j") & (F.col("verdict") == "B"))
              | ((F.col("vote_order") == "A=j,B=1") & (F.col("verdict") == "A"))) & ~F.col("is_error")
@@ -136,7 +136,7 @@ def vote_collapse(votes: DataFrame) -> DataFrame:
     return pairs.groupBy("scenario").agg(
         F.sum(F.when(F.col("ab") & F.col("ba"), 2).otherwise(0)).alias("improved_votes"),
         F.sum("n").alias("total_votes"), n_rows().alias("n_pairs"), F.sum("err").alias("n_error_votes"),
-    ).select("*", (F.col("improved_votes") / F.col("total_votes")).alias("lp_value"),
+    ).select("*", F.round(F.col("improved_votes") / F.col("total_votes"), 4).alias("lp_value"),
              (F.col("n_error_votes") == F.col("total_votes")).alias("quarantine"))
 
 
@@ -161,12 +161,20 @@ def classify(attempts: DataFrame, solved: Column, lp: DataFrame, key: str, error
 
 def stuck_slot(attempts: DataFrame, key: str, solved: Column, met: str = "conditions_met",
                tripped: str = "triggers_tripped", repaired: str = "triggers_repaired") -> DataFrame:
-    """Which slot made a scenario unwinnable; ordered rules, else unknown."""
-    open_left = F.size(F.array_except(F.col(tripped), F.col(repaired))) > 0
+    """Which slot made a scenario unwinnable; ordered rules, else unknown.
+
+    Attempts without a verdict (none of the three arrays) do not count; a missing array of a verdict is empty.
+    """
+    def arr(name: str) -> Column:
+        return F.coalesce(F.col(name), F.array().cast(attempts.schema[name].dataType))
+
+    judged = F.coalesce(F.col(met), F.col(tripped), F.col(repaired)).isNotNull()
+    open_left = F.size(F.array_except(arr(tripped), arr(repaired))) > 0
     per = attempts.groupBy(key).agg(
-        n_rows().alias("n"), n_rows(open_left).alias("n_open"), n_rows(F.size(F.col(tripped)) > 0).alias("n_tripped"),
-        F.bool_or(F.size(F.col(met)) > 0).alias("any_met"), F.bool_or(solved).alias("any_solved"))
-    slot = (F.when((F.col("n_open") > 0) & (F.col("n_open") >= F.floor((F.col("n") + 1) / 2)),
+        n_rows(judged).alias("n"), n_rows(judged & open_left).alias("n_open"), n_rows(judged & (F.size(arr(tripped)) > 0)).alias("n_tripped"),
+        F.bool_or(judged & (F.size(arr(met)) > 0)).alias("any_met"), F.bool_or(judged & solved).alias("any_solved"))
+    slot = (F.when(F.col("n") == 0, "unknown")
+            .when((F.col("n_open") > 0) & (F.col("n_open") >= F.floor((F.col("n") + 1) / 2)),
                    "hardening_triggers_too_congruent")
             .when(~F.col("any_met") & (F.col("n_tripped") <= F.floor(F.col("n") / 2)),
                   "surface_misdirection_undiscoverable")

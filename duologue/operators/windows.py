@@ -68,7 +68,7 @@ def half_means(series: DataFrame, order: str, value: Column) -> DataFrame:
         F.avg(F.when(early, F.col("__v"))).alias("first_half"), F.avg(F.when(~early, F.col("__v"))).alias("second_half"))
 
 
-def child_priors(children: DataFrame, roots: DataFrame, mass: float = 4.0, max_depth: int = 10_000) -> DataFrame:
+def child_priors(children: DataFrame, roots: DataFrame, mass: float = 4.0) -> DataFrame:
     """prior of each child = its parent's posterior before the child's own outcome, capped in mass.
 
     children(id, parent, iteration, alpha, beta), roots(id, prior_alpha, prior_beta). The votes of earlier
@@ -80,7 +80,7 @@ def child_priors(children: DataFrame, roots: DataFrame, mass: float = 4.0, max_d
     before = cut(before.select("id", "parent", "a0", "b0"))
     level = roots.select("id", F.col("prior_alpha").cast("double"), F.col("prior_beta").cast("double"))
     done = None
-    for _ in range(max_depth):
+    while True:
         p = level.select(F.col("id").alias("parent"), F.col("prior_alpha").alias("pa"), F.col("prior_beta").alias("pb"))
         a, b = F.col("pa") + F.col("a0"), F.col("pb") + F.col("b0")
         m = a + b

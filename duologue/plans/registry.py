@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duologue.plans.rounding import ROUNDED
+from duologue.session import ship
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             out = fn(spark, sf_dir)
             return out.withColumns({c: F.round(F.col(c).cast("double"), 6) + 0.0 for c in floats}) if floats else out
 

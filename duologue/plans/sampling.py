@@ -62,10 +62,10 @@ def _(spark, d):
 
 @query("e22_trend_permutation")
 def _(spark, d):
-    return P.trend(iterations(spark, d), F.col("classification") == "frontier", "iteration", 200)
+    return P.trend(iterations(spark, d), F.col("classification") == "frontier", "iteration")
 
 
 @query("e23_mean_difference")
 def _(spark, d):
     it = iterations(spark, d)
-    return P.mean_difference(it, F.col("goal"), F.col("generated"), F.col("iteration"), 200)
+    return P.mean_difference(it, F.col("goal"), F.col("generated"), F.col("iteration"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from duologue.functions import text as T
 from duologue.operators import rules, shaping as B, summaries as S
-from duologue.operators.scale import top_rows
+from duologue.operators.scale import rank_rows, top_rows
 from duologue.plans.frames import (ATTEMPTS, EPISODES, ITERATIONS, LINEAGE, TURNS, attempts, episodes, iterations,
                                    lineage_nodes, table, turns)
 from duologue.plans.registry import query
@@ -228,8 +228,8 @@ LEFT JOIN r ON r.k = r_regionkey LEFT JOIN e ON e.k = r_regionkey""")
 def _(spark, d):
     nation = table(spark, d, "nation")
     owners = table(spark, d, "region").select(F.col("r_regionkey").alias("k"))
-    rl = top_rows(nation.select(F.col("n_regionkey").alias("k"), "n_nationkey", F.col("n_name").alias("text")),
-                  ["k"], [F.col("n_nationkey")], 50, "n")
+    rl = rank_rows(nation.select(F.col("n_regionkey").alias("k"), "n_nationkey", F.col("n_name").alias("text")),
+                   ["k"], [F.col("n_nationkey")], F.col("n_nationkey"), "n")
     ex = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("n_regionkey").alias("k"), F.col("s_name").alias("text"), "s_acctbal", "s_suppkey")
     ex = top_rows(ex, ["k"], [F.desc("s_acctbal"), F.col("s_suppkey")], 2, "n")

@@ -149,7 +149,7 @@ pr AS (SELECT scenario, j, count(*) AS n, count(*) FILTER (is_error) AS err,
   FROM v GROUP BY 1, 2),
 lp AS (SELECT scenario, sum(CASE WHEN both_later THEN 2 ELSE 0 END) AS improved_votes, sum(n) AS total_votes,
   count(*) AS n_pairs, sum(err) AS n_error_votes,
-  sum(CASE WHEN both_later THEN 2 ELSE 0 END) / sum(n) AS lp_value, sum(err) = sum(n) AS quarantine
+  round(sum(CASE WHEN both_later THEN 2 ELSE 0 END) / sum(n), 4) AS lp_value, sum(err) = sum(n) AS quarantine
   FROM pr GROUP BY 1)
 """
 

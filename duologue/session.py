@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +27,34 @@ def local_session(cores: str = "8", memory: str = "8g", name: str = "duologue")
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for a Spark application; they need no path of the driver's."""
+    context = spark.sparkContext
+    if getattr(context, "_duologue_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.suffix != ".zip":  # else it came as a shipped file itself
+        made = os.path.join(tempfile.mkdtemp(prefix="duologue-"), "duologue.zip")
+        with zipfile.ZipFile(made, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(made)
+    context._duologue_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine)
-    a temporary folder is made and kept for the life of the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the master is local
+    a temporary folder is made and kept for the life of the session; elsewhere a missing setting is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
     made = spark.conf.get("duologue.scratch.dir", None)
     if made is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         made = tempfile.mkdtemp(prefix="duologue-")
         spark.conf.set("duologue.scratch.dir", made)
     return made

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duologue.operators.rules import reader_category
 from duologue.operators.ordering import custom_order
-from duologue.operators.scale import number_rows
 
 # A text column that may hold a JSON list is read as text and parsed later.
 RAW_PROFILE = ("struct<pk:string,first_name:string,last_name:string,age:int,gender:string,gender_identity:string,"
@@ -84,9 +83,30 @@ def _blank_profile(n: int) -> Column:
     return F.struct(F.lit(f"Agent{n}").alias("first_name"), *[(F.lit(0) if e == "age" else F.lit("")).alias(e) for e in empty])
 
 
+def in_file_order(scan: DataFrame, out: str) -> DataFrame:
+    """1-based position of each row of a file scan by file name, place of the block in the file, and place in the block.
+
+    One row for each (file, block) is counted and its offset is joined back; rows are not moved.
+    """
+    at = F.monotonically_increasing_id()
+    marked = scan.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), at.alias("__m"))
+    sizes = marked.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__m0"))
+    w = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__f", "__b", "__m0", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    return marked.join(offsets, ["__f", "__b"]).withColumn(out, F.col("__off") + F.col("__m") - F.col("__m0") + 1).drop(
+        "__f", "__b", "__m", "__m0", "__off")
+
+
 def read_seeds(spark: SparkSession, path: str, limit: int | None = None, both_perspectives: bool = True) -> DataFrame:
-    """A1: seed rows, one output row for each perspective; ``limit`` counts file rows."""
-    raw = number_rows(spark.read.schema(SEED_SCHEMA).json(path), "__row")
+    """A1: seed rows, one output row for each perspective; ``limit`` counts rows in the order of file names and lines.
+
+    Rows are numbered only where that is needed: for a limit, or where a row has no key of its own.
+    """
+    raw = spark.read.schema(SEED_SCHEMA).json(path)
+    if limit is not None or not raw.where(F.col("env_pk").isNull()).isEmpty():
+        raw = in_file_order(raw, "__row")
+    else:
+        raw = raw.withColumn("__row", F.lit(None).cast("bigint"))
     raw = raw.withColumn("__made", F.transform(F.coalesce("agent_profiles", F.array().cast(f"array<{RAW_PROFILE}>")), _profile).cast(PROFILES))
     if limit is not None:
         raw = raw.where(F.col("__row") <= limit)
@@ -161,16 +181,21 @@ def read_episodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bank(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """A5: (completed records, quarantine). In-progress records are left out, unparsable files are kept aside."""
-    schema = BANK_SCHEMA + ", _corrupt_record string"
+    """A5: (completed records, quarantine). In-progress records are left out, unparsable files are kept aside.
+
+    Of records with one id that the record sink wrote at different times the last one counts.
+    """
+    schema = BANK_SCHEMA + ", written_at double, _corrupt_record string"
     text = _or_empty(spark, "value string, file string", lambda: spark.read.option("wholetext", multi_line).text(path).select(
         "*", F.col("_metadata.file_path").alias("file"))).where(F.trim("value") != "")
     raw = text.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     # Folders written one for each status carry it in their name.
     status = F.coalesce("r.status", "status") if "status" in text.columns else F.col("r.status")
     bad = raw.where(F.col("r._corrupt_record").isNotNull()).select("file", F.col("r._corrupt_record").alias("_corrupt_record"))
-    good = raw.where(F.col("r._corrupt_record").isNull() & ~status.eqNullSafe("in_progress")).select("r.*").drop("_corrupt_record")
-    return good, bad
+    good = raw.where(F.col("r._corrupt_record").isNull()).select("r.*", status.alias("__status")).drop("_corrupt_record")
+    newest = good.where("written_at is not null").groupBy("id").agg(F.max("written_at").alias("__last"))
+    good = good.join(newest, "id", "left").where(F.col("written_at").isNull() | (F.col("written_at") == F.col("__last")))
+    return good.where(~F.col("__status").eqNullSafe("in_progress")).drop("__status", "__last", "written_at"), bad
 
 
 CATEGORY_ORDER = ["too_easy", "frontier_solved", "frontier_unsolved", "beyond_frontier"]

@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 
 
 def write_records(df: DataFrame, path: str, status: str = "status") -> None:
-    """Records as JSON lines in one folder for each status."""
-    df.write.mode("overwrite").partitionBy(status).json(path)
+    """Records as JSON lines in one folder for each status. Records written before stay; one written again under its id
+    takes the place of the old one when they are read (``readers.read_bank``), whatever status it had."""
+    stamped = df.withColumn("written_at", F.current_timestamp().cast("double"))
+    stamped.write.mode("append").partitionBy(status).json(path)
 
 
 def write_snapshot(df: DataFrame, path: str, iteration: int) -> None:
-    """A snapshot for each iteration; writing one again replaces it."""
+    """A snapshot for each iteration; writing one again replaces it. A pointer names the one written last."""
     df.write.mode("overwrite").parquet(f"{path}/snapshot_iter={iteration}")
+    df.sparkSession.range(1).select(F.lit(iteration).cast("bigint").alias("snapshot_iter")).coalesce(1).write.mode("overwrite").json(
+        f"{path}/_latest")
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot; only its folder is read (partition pruning)."""
-    all_ = spark.read.parquet(path)
-    last = all_.agg(F.max("snapshot_iter")).head()[0]
-    return all_.where(F.col("snapshot_iter") == last).drop("snapshot_iter")
+    """The snapshot that the pointer names; no other folder is looked at."""
+    last = spark.read.schema("snapshot_iter bigint").json(f"{path}/_latest").head()[0]
+    return spark.read.parquet(f"{path}/snapshot_iter={last}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

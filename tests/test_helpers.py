@@ -1,8 +1,10 @@
 """Small helpers: edit similarity, ledgers, permutation tests, draws, hand-checked constants."""
 
 import math
+import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -120,3 +122,70 @@ def test_hand_checked_constants(spark):
     one = spark.range(1)
     assert one.select(md5_mod(F.lit("abc"), F.lit(120).cast("bigint"))).head()[0] == 10
     assert math.exp(-63 / 2) == pytest.approx(2.0879679116459336e-14)
+
+
+def test_stuck_slot_needs_verdicts(spark):
+    from duologue.operators import summaries as S
+
+    kind = "k string, solved boolean, conditions_met array<bigint>, triggers_tripped array<bigint>, triggers_repaired array<bigint>"
+    df = spark.createDataFrame([("a", False, [], [1], None), ("a", False, None, None, None), ("a", False, None, None, None),
+                                ("b", True, None, None, None)], kind)
+    assert {r.k: r.stuck_knob for r in S.stuck_slot(df, "k", F.col("solved")).collect()} == {
+        "a": "hardening_triggers_too_congruent", "b": "unknown"}
+
+
+def test_turns_lose_all_white_space(spark):
+    from duologue.operators.shaping import clean_turns
+
+    df = spark.createDataFrame([("Ann", '\t"hello"\n'), ("Bob", "\xa0 \n")], "speaker string, content string")
+    assert [r.content for r in clean_turns(df).collect()] == ["hello"]
+
+
+def test_one_row_of_combined_rules(spark):
+    from duologue.operators.joins import fold_rules
+
+    rows, folds = spark.createDataFrame([(1,), (2,)], "id bigint"), spark.createDataFrame([(1, 0)], "id bigint, fold bigint")
+    rules, all_ = spark.createDataFrame([(0, "x")], "fold bigint, rules string"), spark.createDataFrame([("all",)], "rules string")
+    assert {tuple(r) for r in fold_rules(rows, folds, rules, all_, "id").collect()} == {(1, 0, "x"), (2, None, "all")}
+    with pytest.raises(Exception, match="more than one row"):
+        fold_rules(rows, folds, rules, all_.union(all_), "id").collect()
+
+
+def test_permutation_edges(spark):
+    from duologue.operators import permutation as P
+
+    df = spark.createDataFrame([(float(i), i, False) for i in range(5)], "x double, i bigint, f boolean")
+    assert P.mean_difference(df, F.col("x"), F.col("f"), F.col("i"), 10).head().p_value is None
+    assert P.trend(df, F.col("f"), "i", 10).head().p_value is None
+
+
+def test_large_hypergeometric_draws():
+    rng = np.random.default_rng(1)
+    from duologue.operators.permutation import hypergeometric
+
+    got = np.array([hypergeometric(rng, 600_000_000, 1_400_000_000, 1_000_000) for _ in range(300)])
+    sd = (1e6 * 0.3 * 0.7) ** 0.5
+    assert abs(got.mean() - 300_000) < 5 * sd / 300**0.5 and 0.8 * sd < got.std() < 1.2 * sd
+    assert all(7 <= hypergeometric(rng, 10, 2_000_000_000, 1_999_999_997 + 10) <= 10 for _ in range(20))
+
+
+def test_cycles_are_errors(spark):
+    from duologue.operators.lineage import longest_from
+
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 1)], "parent bigint, child bigint")
+    with pytest.raises(ValueError, match="cycle"):
+        longest_from(spark.createDataFrame([(0,)], "id bigint"), edges)
+
+
+def test_package_reaches_executors(tmp_path):
+    """A query with Python workers, from another folder and without a path set for them."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; from duologue.session import local_session\n"
+            "s = local_session('2', '1g'); q = e.queries()\n"
+            "print('ROWS', q['d17_self_distance'](s, '/root/testdata/sf0.001').count(), q['m02_rule_ledger'](s, '/root/testdata/sf0.001').count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]

@@ -29,6 +29,13 @@ def test_seeds(spark, tmp_path):
     assert a["agent_goals"] == ["g", ""] and a["relationship"] == "3" and a["tag"] == "src" and a["iteration"] == -1
     assert [x["first_name"] for x in b["agent_profiles"]] == ["Unknown", "Bo"] and b["target_agent_idx"] == 1
     assert R.read_seeds(spark, p, limit=1, both_perspectives=False).count() == 1
+    d = tmp_path / "many"
+    d.mkdir()
+    put(d / "a.jsonl", {"scenario": "first"})
+    (d / "b.jsonl").write_text("\n".join(json.dumps({"env_pk": f"k{i}", "scenario": "later " * 50}) for i in range(300)))
+    one = R.read_seeds(spark, str(d), limit=1, both_perspectives=False).collect()
+    assert [(r["id"], r["scenario"]) for r in one] == [("seed_1_p0", "first")]  # by file name, not by size
+    assert R.read_seeds(spark, str(d)).count() == 602
 
 
 def test_probes(spark, tmp_path):
@@ -74,6 +81,9 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "completed"), (2, "in_progress")], "id bigint, status string")
     K.write_records(df, str(tmp_path / "r"))
     assert {p.name for p in (tmp_path / "r").glob("status=*")} == {"status=completed", "status=in_progress"}
+    K.write_records(spark.createDataFrame([(2, "completed"), (3, "completed")], "id bigint, status string"), str(tmp_path / "r"))
+    kept, _ = R.read_bank(spark, str(tmp_path / "r"), multi_line=False)
+    assert {r["id"] for r in kept.collect()} == {"1", "2", "3"}  # 2 was in progress, 1 was not written again
     for i in (1, 2, 10):
         K.write_snapshot(df.limit(i), str(tmp_path / "s"), i)
     K.write_snapshot(df.limit(1), str(tmp_path / "s"), 10)
