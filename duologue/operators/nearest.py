@@ -8,8 +8,8 @@ or the k-th best in the sample, which holds corpus rows. Nothing is dropped: pru
 provably hold no better row.
 
 Cells are cut into blocks of bounded size and their queries into batches, so one hot cell becomes many
-small tasks. Equal vectors are collapsed first: of each group of copies only the k + 1 first can be in
-any answer.
+small tasks. Equal vectors are collapsed first: ties go to the row first in ``ord``, then to the smaller id, so of each
+group of copies only the k + 1 first can be in any answer.
 """
 
 from __future__ import annotations
@@ -80,8 +80,7 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _collapse(corpus: DataFrame, keep: int, rule: Rule) -> DataFrame:
     """Of equal vectors keep the first rows that could appear in an answer."""
     keys = ["vec"] + (["grp"] if rule.other_group else [])
-    order = ([F.col("ord")] if rule.earlier else []) + [F.col("id")]
-    w = Window.partitionBy(*keys).orderBy(*order)
+    w = Window.partitionBy(*keys).orderBy("ord", "id")
     return corpus.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= keep).drop("__n")
 
 
@@ -94,11 +93,11 @@ def _pick_sample(corpus: DataFrame) -> tuple[pd.DataFrame, int]:
 
 
 def _search(queries: DataFrame, corpus: DataFrame, k: int | None, min_sim: float | None, rule: Rule) -> DataFrame:
-    """(id, nid, sim): the k best for each query, or every row above ``min_sim``, or both limits."""
+    """(id, nid, sim, nord): the k best for each query, or every row above ``min_sim``, or both limits."""
     spark = corpus.sparkSession
     sample, n_pivots = _pick_sample(corpus)
     if len(sample) == 0:
-        return spark.createDataFrame([], "id bigint, nid bigint, sim double")
+        return spark.createDataFrame([], "id bigint, nid bigint, sim double, nord bigint")
     known = _matrix(sample["vec"])
     pv = spark.sparkContext.broadcast((sample.drop(columns="vec"), known, known[:n_pivots]))
     wide = math.acos(max(-1.0, min(1.0, min_sim))) if min_sim is not None else math.pi
@@ -155,7 +154,8 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int | None, min_sim: float
         "batch", F.explode(F.sequence(F.lit(0).cast("bigint"), n_batches[F.col("cell")].cast("bigint") - 1)))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "nid": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "nid": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64"),
+                              "nord": pd.Series(dtype="int64")})
         if not len(left) or not len(right):
             return empty
         sim = _matrix(left["vec"]) @ _matrix(right["vec"]).T
@@ -164,26 +164,26 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int | None, min_sim: float
             sim[~ok] = -np.inf
         if min_sim is not None:
             sim[sim <= min_sim] = -np.inf
-        qid, nid = left["id"].to_numpy(), right["id"].to_numpy()
+        qid, nid, nord = left["id"].to_numpy(), right["id"].to_numpy(), right["ord"].to_numpy()
         if k is None:
             r, col = np.nonzero(np.isfinite(sim))
-            return pd.DataFrame({"id": qid[r], "nid": nid[col], "sim": sim[r, col]})
-        order = np.lexsort((np.broadcast_to(nid, sim.shape), -np.round(sim, 9)), axis=1)[:, :k]
+            return pd.DataFrame({"id": qid[r], "nid": nid[col], "sim": sim[r, col], "nord": nord[col]})
+        order = np.lexsort((np.broadcast_to(nid, sim.shape), np.broadcast_to(nord, sim.shape), -np.round(sim, 9)), axis=1)[:, :k]
         r = np.repeat(np.arange(len(left)), order.shape[1])
         col = order.ravel()
         good = np.isfinite(sim[r, col])
-        return pd.DataFrame({"id": qid[r[good]], "nid": nid[col[good]], "sim": sim[r[good], col[good]]})
+        return pd.DataFrame({"id": qid[r[good]], "nid": nid[col[good]], "sim": sim[r[good], col[good]], "nord": nord[col[good]]})
 
     keys = ["cell", "block", "batch"]
     return q.withColumn("block", F.col("block").cast("int")).groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(
-        best, "id bigint, nid bigint, sim double")
+        best, "id bigint, nid bigint, sim double, nord bigint")
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, rule: Rule = Rule(), min_sim: float | None = None) -> DataFrame:
-    """(id, rank, nid, sim), ties by the smaller neighbour id."""
+    """(id, rank, nid, sim), ties by the neighbour's ``ord``, then by its smaller id."""
     found = _search(queries, _collapse(corpus, k + 1, rule), k, min_sim, rule)
-    w = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "nid")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    w = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "nord", "nid")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("nord")
 
 
 def best_match(queries: DataFrame, corpus: DataFrame, rule: Rule = Rule(), min_sim: float | None = None) -> DataFrame:
@@ -191,19 +191,38 @@ def best_match(queries: DataFrame, corpus: DataFrame, rule: Rule = Rule(), min_s
     return top_k(queries, corpus, 1, rule, min_sim).select("id", "nid", "sim")
 
 
-def above(queries: DataFrame, corpus: DataFrame, min_sim: float, rule: Rule = Rule()) -> DataFrame:
+def above(queries: DataFrame, corpus: DataFrame, min_sim: float, rule: Rule = Rule(), expand: bool = False) -> DataFrame:
     """Pairs with cosine > ``min_sim``. Output grows with the matches, not with all pairs.
 
-    Copies are collapsed on both sides: ``copies`` and ``n_copies`` say how many rows a pair stands for.
+    Copies are collapsed on both sides: (id, nid, sim, copies, n_copies) are pairs of representatives with the number of
+    rows each stands for. ``expand`` gives every pair of rows (id, nid, sim) instead; a rule on ids or order needs that.
     """
+    if (rule.not_self or rule.earlier) and not expand:
+        raise ValueError("a rule on ids or order is about rows: use expand")
+    keys = ["vec"] + (["grp"] if rule.other_group else [])
+
     def reps(df: DataFrame) -> DataFrame:
-        return df.groupBy("vec").agg(F.min("id").alias("id"), F.min("grp").alias("grp"), F.min("ord").alias("ord"),
-                                     F.count(F.lit(1)).alias("copies"))
+        grp = [] if rule.other_group else [F.lit(0).cast("bigint").alias("grp")]
+        return df.groupBy(*keys).agg(F.min("id").alias("id"), *grp, F.lit(0).cast("bigint").alias("ord"), F.count(F.lit(1)).alias("copies"))
 
     q, c = reps(queries), reps(corpus)
-    found = _search(q.select("id", "vec", "grp", "ord"), c.select("id", "vec", "grp", "ord"), None, min_sim, rule)
-    return found.join(q.select("id", F.col("copies")), "id").join(
-        c.select(F.col("id").alias("nid"), F.col("copies").alias("n_copies")), "nid")
+    cols = ["id", "vec", "grp", "ord"]
+    found = _search(q.select(cols), c.select(cols), None, min_sim, Rule(other_group=rule.other_group)).drop("nord")
+    if not expand:
+        return found.join(q.select("id", F.col("copies")), "id").join(
+            c.select(F.col("id").alias("nid"), F.col("copies").alias("n_copies")), "nid")
+
+    def members(df: DataFrame, r: DataFrame, rep: str, id_: str, ord_: str) -> DataFrame:
+        return df.select(*keys, F.col("id").alias(id_), F.col("ord").alias(ord_)).join(
+            r.select(*keys, F.col("id").alias(rep)), keys).select(rep, id_, ord_)
+
+    out = found.select(F.col("id").alias("__q"), F.col("nid").alias("__c"), "sim").join(
+        members(queries, q, "__q", "id", "__qo"), "__q").join(members(corpus, c, "__c", "nid", "__co"), "__c")
+    if rule.not_self:
+        out = out.where("id <> nid")
+    if rule.earlier:
+        out = out.where("__co < __qo")
+    return out.select("id", "nid", "sim")
 
 
 def duplicates(queries: DataFrame, corpus: DataFrame, limit: float) -> DataFrame:

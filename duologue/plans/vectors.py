@@ -25,9 +25,9 @@ def _(spark, d):
     return V.top_k(v, v, 5, V.Rule(not_self=True)).select("id", "rank", "nid", F.round("sim", 6).alias("sim"))
 
 
-@query("d10_inferred_parents", _P + f""", p AS (SELECT q.id, v.id AS nid, {_SIM} AS sim FROM u q JOIN u v
+@query("d10_inferred_parents", _P + f""", p AS (SELECT q.id, v.id AS nid, v.iteration AS nord, {_SIM} AS sim FROM u q JOIN u v
  ON v.iteration < q.iteration AND v.id <> q.id WHERE q.iteration >= 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, nid) AS rank FROM p)
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, nord, nid) AS rank FROM p)
 SELECT id, rank, nid, round(sim, 6) AS sim FROM r WHERE rank <= 3""")
 def _(spark, d):
     v = V.vectors(archive(spark, d), "id", "embedding", order=F.col("iteration"))
@@ -64,7 +64,7 @@ def _sides(spark, d):
 
 @query("d14_semantic_overlaps", _SEM + " SELECT id, nid, round(sim, 6) AS sim FROM p")
 def _(spark, d):
-    return V.above(*_sides(spark, d), 0.3).select("id", "nid", F.round("sim", 6).alias("sim"))
+    return V.above(*_sides(spark, d), 0.3, expand=True).select("id", "nid", F.round("sim", 6).alias("sim"))
 
 
 @query("d14_contamination", _SEM + """ SELECT 0 AS n_exact, count(*) AS n_semantic, 0.3 AS threshold, count(*) > 0 AS contaminated FROM p""")
@@ -120,7 +120,7 @@ def _(spark, d):
 
 @query("g08_top_overlaps", _SEM + " SELECT id, nid, round(sim, 6) AS sim FROM p ORDER BY sim DESC, id, nid LIMIT 10")
 def _(spark, d):
-    return V.above(*_sides(spark, d), 0.3).select("id", "nid", F.round("sim", 6).alias("sim")).orderBy(
+    return V.above(*_sides(spark, d), 0.3, expand=True).select("id", "nid", F.round("sim", 6).alias("sim")).orderBy(
         F.desc("sim"), "id", "nid").limit(10)
 
 

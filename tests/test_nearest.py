@@ -87,3 +87,28 @@ def test_mean_pairwise_distance(spark, data):
         want = 1 - (sub.sum() - len(ids)) / (len(ids) * (len(ids) - 1))
         assert got[g] == pytest.approx(want, abs=1e-9)
     assert got[9] is None
+
+
+def plain(spark, rows):
+    return spark.createDataFrame(rows, "id bigint, vec array<double>, grp bigint, ord bigint")
+
+
+def test_pairs_of_copies(spark):
+    e = [1.0, 0.0]
+    q, c = plain(spark, [(1, e, 0, 0), (2, e, 0, 0)]), plain(spark, [(7, e, 0, 0), (8, e, 0, 0)])
+    assert {(r.id, r.nid) for r in above(q, c, 0.9, expand=True).collect()} == {(1, 7), (1, 8), (2, 7), (2, 8)}
+    assert [(r.copies, r.n_copies) for r in above(q, c, 0.9).collect()] == [(2, 2)]
+    g = plain(spark, [(1, e, 0, 0), (2, e, 1, 1), (3, e, 1, 2)])
+    assert {(r.id, r.nid) for r in above(g, g, 0.9, Rule(other_group=True), expand=True).collect()} == {(1, 2), (1, 3), (2, 1), (3, 1)}
+    assert {(r.id, r.nid) for r in above(g, g, 0.9, Rule(earlier=True), expand=True).collect()} == {(2, 1), (3, 1), (3, 2)}
+    assert above(g, g, 0.9, Rule(not_self=True), expand=True).count() == 6
+    with pytest.raises(ValueError, match="expand"):
+        above(g, g, 0.9, Rule(not_self=True))
+
+
+def test_ties_go_to_the_earlier_row(spark):
+    e = [1.0, 0.0]
+    c = plain(spark, [(3, e, 0, 3), *[(i, e, 0, -1) for i in (5, 10, 15, 20, 25)]])
+    q = plain(spark, [(99, e, 0, 50)])
+    assert [r.nid for r in top_k(q, c, 3, Rule(earlier=True)).orderBy("rank").collect()] == [5, 10, 15]
+    assert [r.nid for r in top_k(q, c, 6, Rule(earlier=True)).orderBy("rank").collect()] == [5, 10, 15, 20, 25, 3]
