@@ -44,9 +44,12 @@ def cosine(a: Column, b: Column, zero: str = "zero") -> Column:
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """Word-hash embedding that needs no model: signed counts of hashed words, unit length."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: let(F.xxhash64(w), lambda h: F.struct(
-        F.pmod(h, F.lit(size)).cast("int").alias("i"), F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0).alias("s"))))
-    # One pass over the words for each coordinate.
-    counts = let(slots, lambda ws: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(
-        F.filter(ws, lambda p: p["i"] == i), F.lit(0.0), lambda acc, p: acc + p["s"])))
-    return unit(counts)
+    # A word's number is made of the first 32 bits of its md5, so other engines can follow: twice the slot, odd for minus.
+    number = F.transform(words, lambda w: let(F.conv(F.left(F.md5(w), F.lit(8)), 16, 10).cast("bigint"), lambda h: (
+        F.pmod(h, F.lit(size)) * 2 + F.shiftright(h, 24).bitwiseAND(F.lit(1))).cast("int")))
+
+    def counts(ws: Column) -> Column:
+        met = lambda n: F.size(ws) - F.size(F.array_remove(ws, n))
+        return F.array(*[(met(2 * i) - met(2 * i + 1)).cast("double") for i in range(size)])
+
+    return unit(let(number, counts))

@@ -34,8 +34,28 @@ def _(spark, d):
     path = fresh_path(spark, "episodes")
     attempts(spark, d).select(F.col("event_id").cast("string").alias("scenario_id"), F.struct("goal").alias("scores"),
                               F.when(F.col("error"), "timeout").alias("error")).write.json(path)
-    # These files hold one record on each line; the reader's default is one record in each file.
-    return spark.read.schema(R.EPISODE_SCHEMA).json(path).where(F.col("error").isNull()).select("scenario_id", F.col("scores.goal").alias("goal"))
+    return R.read_episodes(spark, path, multi_line=False).select("scenario_id", F.col("scores.goal").alias("goal"))
+
+
+@query("a02_probes", """SELECT 'p' || p_partkey AS id, p_name AS scenario, split_part(p_brand, '#', 1) AS first_name, CASE WHEN p_partkey % 2 = 0 THEN 'rival'
+ ELSE 'acquaintance' END AS relationship, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS target_agent_idx FROM part""")
+def _(spark, d):
+    path, k = fresh_path(spark, "probes"), F.col("p_partkey")
+    rows = table(spark, d, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("id"), F.col("p_name").alias("scenario"),
+                                          F.array(F.struct(F.concat(F.split("p_brand", "#")[0], F.lit("  of Mill")).alias("name"))).alias("agent_profiles"),
+                                          F.when(k % 2 == 0, "rival").alias("relationship"), F.when(k % 3 == 0, 1).alias("target_agent_idx"))
+    extra = spark.createDataFrame([("# a comment",), ("  ",), ('{"_format_doc": "fields"}',)], "value string")
+    rows.select(F.to_json(F.struct("*")).alias("value")).unionByName(extra).write.text(path)
+    return R.read_probes(spark, path).select("id", "scenario", F.trim(F.col("agent_profiles")[0]["first_name"]).alias("first_name"),
+                                             "relationship", "target_agent_idx")
+
+
+@query("a03_archive", """SELECT 'tasks' AS bucket, 'v' || vec_id AS id, label AS iteration FROM embeddings""")
+def _(spark, d):
+    path = fresh_path(spark, "archive") + ".jsonl"
+    table(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), F.col("label").alias("iteration"),
+                                         "embedding").write.json(path)
+    return R.read_archive(spark, path).select("bucket", "id", "iteration")
 
 
 @query("a05_completed_records", "SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 4 <> 0")

@@ -139,6 +139,12 @@ def _(spark, d):
                     F.round(cosine(F.col("e"), F.col("f"), "epsilon"), 6).alias("eps"))
 
 
-@query("u05_hashed_embedding")
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", hashed_embedding(F.col("text"), 16).alias("embedding"))
+@query("u05_hashed_embedding", r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\W+')) AS w FROM documents),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM w WHERE w <> ''),
+c AS (SELECT doc_id, h % 16 AS i, sum(CASE WHEN (h >> 24) & 1 = 0 THEN 1 ELSE -1 END) AS s FROM h GROUP BY 1, 2),
+g AS (SELECT d.doc_id, CAST(r.i AS INTEGER) AS i, coalesce(c.s, 0) AS s FROM documents d, range(16) r(i) LEFT JOIN c ON c.doc_id = d.doc_id AND c.i = r.i),
+n AS (SELECT doc_id, sqrt(sum(s * s)) AS norm FROM g GROUP BY 1)
+SELECT doc_id, i, round(CASE WHEN norm = 0 THEN 0 ELSE s / norm END, 6) + 0.0 AS value FROM g JOIN n USING (doc_id)""")
+def _(spark, d):
+    e = table(spark, d, "documents").select("doc_id", F.posexplode(hashed_embedding(F.col("text"), 16)).alias("i", "value"))
+    return e.withColumn("value", F.round("value", 6) + 0.0)

@@ -134,7 +134,10 @@ def read_seeds(spark: SparkSession, path: str, limit: int | None = None, both_pe
 def read_probes(spark: SparkSession, path: str) -> DataFrame:
     """A2: probe rows; blank lines, ``#`` comments and format rows are skipped, full names are split."""
     lines = spark.read.text(path).select(F.trim("value").alias("v")).where((F.col("v") != "") & ~F.startswith("v", F.lit("#")))
-    p = lines.select(F.from_json("v", PROBE_SCHEMA).alias("p"), F.contains("v", F.lit('"_format_doc"')).alias("doc")).where("not doc").select("p.*")
+    doc = F.array_contains(F.coalesce(F.json_object_keys("v"), F.array().cast("array<string>")), "_format_doc")
+    p = lines.select(F.from_json("v", PROBE_SCHEMA).alias("p"), F.sha2("v", 256).alias("__d"), doc.alias("doc")).where("not doc").select("p.*", "__d")
+    # A probe without an id is named after its content, so that it keeps its name when files are joined or cut.
+    p = p.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("probe_"), F.left("__d", F.lit(12))))).drop("__d")
 
     def person(x):
         parts = F.split(F.trim(F.coalesce(x["name"], F.lit("Agent"))), r"\s+", 2)
@@ -174,9 +177,9 @@ def _flat(struct: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _parse_datatype_string(struct).fields)
 
 
-def read_episodes(spark: SparkSession, path: str) -> DataFrame:
-    """A4: one JSON file for each record; error rows are skipped."""
-    return _or_empty(spark, EPISODE_SCHEMA, lambda: spark.read.schema(EPISODE_SCHEMA).option("multiLine", True).json(path)).where(
+def read_episodes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A4: one JSON file for each record (or one record on each line); error rows are skipped."""
+    return _or_empty(spark, EPISODE_SCHEMA, lambda: spark.read.schema(EPISODE_SCHEMA).option("multiLine", multi_line).json(path)).where(
         F.col("error").isNull())
 
 

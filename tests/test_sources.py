@@ -46,6 +46,9 @@ def test_probes(spark, tmp_path):
     assert len(rows) == 1 and rows[0]["relationship"] == "acquaintance" and rows[0]["target_agent_idx"] == 0
     assert [(x["first_name"], x["last_name"]) for x in rows[0]["agent_profiles"]] == [("Ann", "Lee Poe"), ("Bo", "")]
     assert rows[0]["structured_goals"][1] is None
+    p = put(tmp_path / "q.jsonl", {"scenario": 'talks about "_format_doc" here'}, {"scenario": "T"})
+    ids = [r["id"] for r in R.read_probes(spark, p).collect()]
+    assert len(ids) == 2 and all(i.startswith("probe_") and len(i) == 18 for i in ids)
 
 
 def test_archive_keys(spark, tmp_path):
