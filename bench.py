@@ -16,7 +16,7 @@ HEADLINE = [
     "e10_vote_collapse", "e11_classification", "e13_posterior", "e18_mean_pairwise_distance", "e21_wilson_by_source",
     "e23_mean_difference", "f01_sliding_frontier_share", "f02_learning_slope", "f04_running_counters", "f06_child_priors",
     "g01_first_outcomes", "h01_pooled_texts", "j02_folds", "l02_components", "l04_fan_out", "m01_parse_operations",
-    "m02_rule_ledger", "s02_rolling_summary", "c02_surface_novelty", "c03_key_delta", "c04_key_leaks", "d12_other_lineage_neighbours",
+    "m02_rule_ledger", "s02_rolling_summary", "c02_surface_novelty", "c03_key_delta", "d12_other_lineage_neighbours",
     "d20_row_audit", "e15_lineage_statistics", "g08_top_overlaps", "u05_hashed_embedding",
 ]
 

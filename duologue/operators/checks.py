@@ -97,9 +97,10 @@ def surface_novelty(pairs: DataFrame, child_names: str, anchor_names: str, child
     """Reused first names, and near-verbatim text only where the names pass is not already a reject."""
     reused = F.array_intersect(_names(F.col(child_names)), _names(F.col(anchor_names)))
     a, b = F.lower(strip(F.coalesce(child_text, F.lit("")))), F.lower(strip(F.coalesce(anchor_text, F.lit(""))))
-    sim = partial_ratio_udf(limit)(a, b)
     out = pairs.withColumn("reused_names", reused)
-    return out.withColumn("text_similarity", F.when((a != "") & (b != ""), sim).otherwise(F.lit(0.0))).withColumn(
+    ask = (F.size("reused_names") == 0) & (a != "") & (b != "")
+    short = lambda x: F.when(ask, x).otherwise("")  # noqa: E731  a Python function runs on every row, so others get nothing to do
+    return out.withColumn("text_similarity", F.when(ask, partial_ratio_udf(limit)(short(a), short(b))).otherwise(F.lit(0.0))).withColumn(
         "is_clone", F.col("text_similarity") > limit).withColumn(
         "passes", (F.size("reused_names") == 0) & ~F.col("is_clone"))
 
@@ -110,7 +111,7 @@ def key_delta(pairs: DataFrame, slots: dict[str, tuple[str, str]], declared: str
 
     ``slots`` maps a slot letter to its (child, anchor) text columns.
     """
-    ratio, partial = ratio_udf(), partial_ratio_udf()
+    ratio, partial = ratio_udf(), partial_ratio_udf(floor)
     said = F.transform(F.coalesce(F.col(declared), F.array().cast("array<string>")), lambda x: F.lower(strip(x)))
     known = F.filter(said, lambda x: x.isin(*slots))
     changed = F.lit(False)

@@ -52,11 +52,10 @@ def _doc_pairs(spark, d):
     parents = docs.select(F.col("doc_id").alias("parent_id"), F.col("text").alias("parent_text"))
     child = docs.where(F.col("doc_id") > 0).withColumn("parent_id", F.floor(F.col("doc_id") / 3))
     j = spread(child.join(parents, "parent_id"), "doc_id")
-    return (j.withColumn("child_names", F.slice(F.split("text", " "), 1, 5))
-            .withColumn("parent_names", F.slice(F.split("parent_text", " "), 1, 5)))
+    return j.withColumn("child_names", F.split("text", " ")).withColumn("parent_names", F.split("parent_text", " "))
 
 
-@query("c02_shared_names", """WITH x AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(text, ' ')[1:5],
+@query("c02_shared_names", """WITH x AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(text, ' '),
  lambda w: lower(regexp_replace(w, '^\\s+|\\s+$', '', 'g'))), lambda w: w <> '')) AS names FROM documents)
 SELECT c.doc_id, c.doc_id // 3 AS parent_id, len(list_intersect(c.names, p.names)) AS n_reused
 FROM x c JOIN x p ON p.doc_id = c.doc_id // 3 WHERE c.doc_id > 0""")
@@ -77,15 +76,15 @@ def _(spark, d):
     j = _doc_pairs(spark, d).withColumn("slots", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(" B "), F.lit("a"))).otherwise(F.array(F.lit("a"))))
     j = j.withColumn("b_child", F.regexp_extract("text", r"^[^.]*", 0)).withColumn(
         "b_parent", F.regexp_extract("parent_text", r"^[^.]*", 0))
-    out = C.key_delta(j, {"b": ("b_child", "b_parent")}, "slots", "child_names", "parent_names", "b_child", "b_parent")
+    out = C.key_delta(j, {"b": ("b_child", "b_parent")}, "slots", "child_names", "parent_names", "text", "parent_text")
     return out.select("doc_id", "parent_id", F.array_join("issues", ",").alias("issues"))
 
 
 @query("c04_key_leaks")
 def _(spark, d):
-    # First sentence: hidden condition, last one: trigger. Public is the whole parent text.
+    # Sentences in turn: hidden conditions and triggers. Public is the whole parent text.
     j = _doc_pairs(spark, d).withColumn("s", F.filter(F.split("text", r"(?<=\.)\s+"), lambda x: F.length(x) > 0))
-    j = j.withColumn("conditions", F.slice("s", 1, 1)).withColumn("triggers", F.slice("s", -1, 1))
+    j = j.withColumn("conditions", F.filter("s", lambda x, i: i % 2 == 0)).withColumn("triggers", F.filter("s", lambda x, i: i % 2 == 1))
     return C.key_leaks(j, "doc_id", "conditions", "triggers", F.col("parent_text"), F.col("parent_text"))
 
 
