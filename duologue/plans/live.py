@@ -8,6 +8,7 @@ from duologue.operators import rules
 from duologue.plans.frames import ATTEMPTS, attempts, table
 from duologue.plans.registry import query
 from duologue.plans.summaries import CHILDREN, children
+from duologue.session import fresh_path
 from duologue.streaming import jobs as S
 
 
@@ -65,3 +66,36 @@ def _(spark, d):
 @query("s06_every_n_rows", "SELECT count(*) AS total, count(*) >= 500 AS fired FROM events")
 def _(spark, d):
     return S.every_n_rows(_stream(spark, d), 500, lambda total: None).select("total", "fired")
+
+
+def _in_order(spark, d, repeats: bool = False):
+    """events in four files by event time, one a micro-batch; with ``repeats`` some rows of each file come again in the next."""
+    path, e = fresh_path(spark, "events"), table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    quarter = F.least(F.floor(F.dayofmonth("ts") / 8), F.lit(3))
+    for k in range(4):
+        again = (quarter == k - 1) & (F.col("event_id") % 10 == 0) if repeats else F.lit(False)
+        part = e.where(quarter == k)
+        (part.unionByName(e.where(again)) if repeats and k else part).coalesce(1).write.mode("append").parquet(path)
+    return S.file_stream(spark, path, e.schema, 1)
+
+
+@query("sx_01_tumbling_windows", """SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents
+FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def _(spark, d):
+    w = S.tumbling(_in_order(spark, d), "ts", "1 hour", "1 hour", ["event_type"], F.count(F.lit(1)).alias("n"),
+                   F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
+    return S.run_to_table(w, "append").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", "cents")
+
+
+@query("sx_02_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events
+ WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def _(spark, d):
+    w = S.sessions(_in_order(spark, d), "ts", "6 hours", "1 hour", ["user_id"], F.count(F.lit(1)).alias("n"))
+    return S.run_to_table(w, "append").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
+
+
+@query("sx_03_repeats_within_watermark", "SELECT event_id, user_id FROM events")
+def _(spark, d):
+    return S.run_to_table(S.without_repeats(_in_order(spark, d, True), "ts", "1 hour", ["event_id"]), "append").select("event_id", "user_id")

@@ -43,14 +43,36 @@ def drain(stream: DataFrame, mode: str, out: str, checkpoint: str,
     q.awaitTermination()
 
 
-def run_to_table(stream: DataFrame, mode: str, work=None) -> DataFrame:
-    """Drain into a fresh folder and read it back."""
+def run_to_table(stream: DataFrame, mode: str, work=None, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Drain into a folder and read it back. A job that is given its two paths again goes on where it stopped."""
     spark = stream.sparkSession
-    out = fresh_path(spark, "stream")
-    drain(stream, mode, out, fresh_path(spark, "checkpoint"), work)
+    out = out or fresh_path(spark, "stream")
+    drain(stream, mode, out, checkpoint or fresh_path(spark, "checkpoint"), work)
     return spark.read.parquet(out)
 
 
+def tumbling(stream: DataFrame, time: str, size: str, late: str, keys: list[str], *aggregates: Column) -> DataFrame:
+    """Aggregates of each key and window of event time; append mode gives a window once it is older than ``late``."""
+    w = F.window(time, size)
+    return _flat_window(stream.withWatermark(time, late).groupBy(*keys, w).agg(*aggregates), "window")
+
+
+def sessions(stream: DataFrame, time: str, gap: str, late: str, keys: list[str], *aggregates: Column) -> DataFrame:
+    """Aggregates of each key's sessions: rows of a key that follow each other within ``gap``."""
+    s = F.session_window(time, gap)
+    return _flat_window(stream.withWatermark(time, late).groupBy(*keys, s).agg(*aggregates), "session_window")
+
+
+def _flat_window(df: DataFrame, window: str) -> DataFrame:
+    rest = [c for c in df.columns if c != window]
+    return df.select(F.col(f"{window}.start").alias("start"), F.col(f"{window}.end").alias("stop"), *rest)
+
+
+def without_repeats(stream: DataFrame, time: str, late: str, keys: list[str]) -> DataFrame:
+    """First row of each key; a key is remembered for ``late`` of event time."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
 def last_batch(table: DataFrame) -> DataFrame:
     """Newest complete-mode result."""
     last = table.agg(F.max("batch").alias("b"))  # one row
