@@ -37,6 +37,25 @@ def parse_operations(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return rows.where(ok).select(*keep, "pos", kind.alias("op"), num.alias("num"), rule.alias("rule"))
 
 
+def parse_votes(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """M3: operations of a text, one a line: ADD text, UPVOTE n, DOWNVOTE n, EDIT n text; other lines (DONE, notes) say nothing.
+
+    Gives (pos, op, num, rule) as ``fold`` with ``apply_votes`` takes them; pos is the line from 0.
+    """
+    line = strip(F.col("line"))
+    rest = strip(F.expr("substring(l, length(op) + 1)"))
+    number = F.regexp_extract("rest", r"^[+]?(\d{1,9})(\s|$)", 1)
+    said = F.when(F.col("op") == "ADD", F.col("rest")).when(
+        F.col("op") == "EDIT", strip(F.regexp_extract("rest", r"(?s)^\S+\s+(.*)$", 1))).otherwise(F.lit(""))
+    rows = df.select(*keep, F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("pos", "line"))
+    rows = rows.select(*keep, "pos", line.alias("l")).withColumn("op", F.regexp_extract("l", r"^(ADD|UPVOTE|DOWNVOTE|EDIT)\s", 1))
+    rows = rows.where(F.col("op") != "").withColumn("rest", rest).withColumn("num", F.when(
+        F.col("op") != "ADD", F.nullif(number, F.lit("")).cast("int"))).withColumn("rule", said)
+    ok = F.when(F.col("op") == "ADD", F.col("rule") != "").when(
+        F.col("op") == "EDIT", F.col("num").isNotNull() & (F.col("rule") != "")).otherwise(F.col("num").isNotNull())
+    return rows.where(ok).select(*keep, "pos", "op", "num", "rule")
+
+
 Rules = list[list]  # [text, count]
 
 

@@ -47,6 +47,15 @@ def _(spark, d):
     return M.fold(_log(spark, d, ["ADD", "UPVOTE", "EDIT", "DOWNVOTE", "ADD"]), "user_id", "step", M.apply_votes, top=10)
 
 
+@query("m03_parse_votes", """SELECT doc_id, 0 AS pos, 'ADD' AS op, CAST(NULL AS INTEGER) AS num, source || ' first.' AS rule FROM documents
+UNION ALL SELECT doc_id, 1, 'UPVOTE', CAST(doc_id % 4 AS INTEGER), '' FROM documents UNION ALL SELECT doc_id, 3, 'EDIT', 2, lang || ' x' FROM documents
+UNION ALL SELECT doc_id, 5, 'DOWNVOTE', 12, '' FROM documents""")
+def _(spark, d):
+    t = F.concat(F.lit("ADD  "), F.col("source"), F.lit(" first. \n\tUPVOTE "), (F.col("doc_id") % 4).cast("string"),
+                 F.lit(" as said\nnothing\r\nEDIT 2 "), F.col("lang"), F.lit(" x\nDOWNVOTE two\nDOWNVOTE 12\nEDIT 3\nADD\nDONE"))
+    return M.parse_votes(table(spark, d, "documents").withColumn("t", t), "t", ["doc_id"])
+
+
 @query("m04_parse_entries", """SELECT doc_id, 'e' || doc_id AS entry_id, lang AS condition, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS guidance,
  CASE WHEN doc_id % 2 = 0 THEN 'WARNING' ELSE 'HEURISTIC' END AS entry_type, CASE WHEN doc_id % 3 = 0 THEN 'REL' ELSE 'GOAL' END AS dimension, source AS provenance FROM documents
 UNION ALL SELECT doc_id, 'x_' || doc_id, '', '', 'HEURISTIC', 'GOAL', '' FROM documents""")
