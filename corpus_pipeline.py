@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from duologue.llm import classifier, neardup, packing, suffixes
 from duologue.llm.common import fresh_path
+from duologue.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_path(spark, name.replace(" ", "-"))

@@ -1,10 +1,13 @@
 """Exact n-gram Jaccard self-join with signature trees, as connected components.
 
 1. Each document becomes its set of hashed word shingles; equal sets collapse to the smallest id.
-2. Sets that can reach the similarity are brought together. Two sets of at most m shingles that do differ in at most
+2. Sets that can reach the similarity t are brought together. Two sets of at most m shingles that do differ in at most
    d = 2 m (1 - t) / (1 + t) of them. Shingle space is cut into more than d ranges, so at least one range holds the same
    shingles in both, and the sum over a range is the key that meets there. Ranges hold about (1 + t) / 2 (1 - t)
-   shingles, so a passage that many documents share does not bring them together. Size classes keep m tight.
+   shingles, so a passage that many documents share does not bring them together. Size classes keep m tight. Below
+   t = 0.88 ranges would hold fewer than EXACT shingles (at 0.8 they hold 4.5) and bring together what a shared line already
+   has in common; there, ranges are wider and keys are drawn from several orders of the shingles, so that a pair at the very
+   threshold is missed with probability LOSS, and a closer one with far less.
 3. Sets connected by such keys form clusters, which are cut into blocks. In a block a signature tree (nodes with OR-ed
    bitmaps of their shingles and ranges of sizes) is traversed against itself or another tree: node pairs whose largest
    possible overlap is too small, or that are already one component, are pruned; what is left is compared exactly.
@@ -58,11 +61,46 @@ def shingles(words: list[bytes], k: int, hashes: WordHash) -> np.ndarray:
     return np.unique(total)
 
 
-def ranges_of(size_class: int, percent: int) -> tuple[int, int]:
-    """Number of ranges of a class, and how many of a set's ranges may be empty without being keys."""
-    d = 2 * (STARTS[size_class + 1] - 1) * (100 - percent) // (100 + percent)
-    spare = (d + 1) // 32
-    return d + 1 + spare, spare
+EXACT = 8  # shingles that a range of the exact scheme must hold
+WIDE = 2.0  # differing shingles a wide range meets on average, at the least similarity
+LOSS = 1e-6  # probability that two sets at the least similarity share no key of the wide scheme
+
+
+def difference(size_class: int, percent: int) -> int:
+    """In how many shingles linked sets of a class may differ."""
+    return 2 * (STARTS[size_class + 1] - 1) * (100 - percent) // (100 + percent)
+
+
+def range_keys(tokens: np.ndarray, size_class: int, parts: int, spare: int) -> np.ndarray:
+    """A key for each range of sorted tokens, and for empty ones where more than ``spare`` are empty."""
+    at = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    tag = at[starts] + np.uint64(size_class << 40)
+    out = mix(np.add.reduceat(mix(tokens ^ SEEDS[5]), starts) + tag * SEEDS[0])
+    if parts - len(starts) > spare:
+        empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[starts])
+        out = np.r_[out, mix((empty + np.uint64(size_class << 40)) * SEEDS[1])]
+    return out
+
+
+def wide_keys(tokens: np.ndarray, size_class: int, d: int) -> np.ndarray:
+    """Keys of ranges that hold several differing shingles on average: each is equal in two linked sets with probability
+    exp(-WIDE) at least, and there are enough of them, over several orders of the shingles where one has too few."""
+    parts = round(d / WIDE)
+    want = int(np.ceil(np.log(LOSS) / np.log1p(-np.exp(-WIDE))))
+    out = []
+    for order in range(-(-want // parts)):
+        t = mix(tokens ^ (SEEDS[order % 8] + np.uint64(order)))
+        at = ((t >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        use = at < want - order * parts
+        t, at = t[use], at[use]
+        if len(t):
+            by = np.argsort(at, kind="stable")
+            at = at[by]
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            tag = at[starts] + np.uint64((size_class << 40) + ((order + 1) << 50))
+            out.append(mix(np.add.reduceat(mix(t[by] ^ SEEDS[5]), starts) + tag * SEEDS[0]))
+    return np.concatenate(out) if out else np.array([], np.uint64)
 
 
 def keys(tokens: np.ndarray, percent: int) -> np.ndarray:
@@ -70,18 +108,14 @@ def keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     n = len(tokens)
     if not n:
         return np.array([], np.int64)
-    first = bisect_right(STARTS, n) - 1
-    classes = [first] + [first + 1] * (100 * n >= percent * STARTS[first + 1])
-    spread, top, out = mix(tokens ^ SEEDS[5]), tokens >> np.uint64(32), []
-    for c in classes:
-        parts, spare = ranges_of(c, percent)
-        at = (top * np.uint64(parts)) >> np.uint64(32) if parts < 1 << 31 else top % np.uint64(parts)
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        tag = at[starts] + np.uint64(c << 40)
-        out.append(mix(np.add.reduceat(spread, starts) + tag * SEEDS[0]))
-        if parts - len(starts) > spare:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[starts])
-            out.append(mix((empty + np.uint64(c << 40)) * SEEDS[1]))
+    first, out = bisect_right(STARTS, n) - 1, []
+    for c in [first] + [first + 1] * (100 * n >= percent * STARTS[first + 1]):
+        d = difference(c, percent)
+        if d <= 8 or (100 + percent) >= 2 * EXACT * (100 - percent):
+            spare = (d + 1) // 32
+            out.append(range_keys(tokens, c, d + 1 + spare, spare))
+        else:
+            out.append(wide_keys(tokens, c, d))
     return np.concatenate(out).view(np.int64)
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from duologue.session import ship
+
 Runner = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Runner] = {}
@@ -14,7 +16,11 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
     def keep(fn: Runner) -> Runner:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return fn
