@@ -48,22 +48,22 @@ class Index:
                 after = gains[i + 1][1] - base if i + 1 < len(gains) else 0
                 plan.append((hi - base, rows, lo - base, hi - lo, after))
         plan.sort(key=lambda s: -s[0])
-        got, loose = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        got, loose = np.zeros(n), np.zeros(n)  # whole numbers below 2**53
         if own >= 0:
-            got[own] = loose[own] = -(1 << 60)
+            got[own] = -np.inf
         left = np.arange(n)
-        if n > FEW:
-            check = max(1, len(plan) // 12)
-            for i, (top, rows, least, spread, after) in enumerate(plan):
-                got[rows] += least
-                loose[rows] += spread
-                rest -= top - after
-                if (i + 1) % check == 0 or i + 1 == len(plan):
-                    kth = np.partition(got, n - k)[n - k] if n > k else got.min()
-                    alive = got + loose + rest >= kth
-                    if i + 1 == len(plan) or np.count_nonzero(alive) <= FEW:
-                        left = np.flatnonzero(alive)
-                        break
+        step = max(1, len(plan) // 12)
+        for at in range(0, len(plan) if n > FEW else 0, step):  # several segments at a time, then a look at what is proven
+            top, rows, least, spread, after = zip(*plan[at: at + step], strict=True)
+            where, size = np.concatenate(rows), [len(r) for r in rows]
+            got += np.bincount(where, np.repeat(np.array(least, float), size), n)
+            loose += np.bincount(where, np.repeat(np.array(spread, float), size), n)
+            rest -= sum(top) - sum(after)
+            kth = np.partition(got, n - k)[n - k] if n > k else -np.inf
+            alive = got + loose + rest >= kth
+            if at + step >= len(plan) or np.count_nonzero(alive) <= FEW:
+                left = np.flatnonzero(alive)
+                break
         if own >= 0:
             left = left[left != own]
         score = self.values[left] @ query
@@ -76,7 +76,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, ca
     """query_id, rank, vec_id, score of the k largest integer inner products; queries are the ids divisible by ``every``.
 
     Vectors that are null or hold null or non-finite components, and rows with a null id, take no part; a shorter vector
-    counts as filled up with zeros; repeated rows count once. All candidates are returned where there are fewer than k.
+    counts as filled up with zeros; repeated rows count once. All candidates are returned where there are fewer than k. Scores
+    are exact while sums of products stay below 2**53.
     """
 
     def work(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cands: np.ndarray) -> tuple:
