@@ -155,7 +155,8 @@ def cotrain(docs: Docs, label: np.ndarray, rounds: int = 3, sure: float = 0.98,
     """``label``: 1 reject, 0 keep, nan for the pool. Every fourth labelled row calibrates and is never trained on."""
     known = np.flatnonzero(~np.isnan(label))
     model = Model()
-    model.mean, model.scale = docs.layout.mean(0), docs.layout.std(0) + 1e-6
+    if len(docs.layout):
+        model.mean, model.scale = docs.layout.mean(0), docs.layout.std(0) + 1e-6
     held, train = known[::4], np.setdiff1d(known, known[::4])
     if len(train) < 8 or len(np.unique(label[train])) < 2 or len(np.unique(label[held])) < 2:
         model.combine = np.array([0.0, 0.0, -40.0 if not len(known) or label[known].mean() < 0.5 else 40.0])
@@ -180,7 +181,7 @@ def cotrain(docs: Docs, label: np.ndarray, rounds: int = 3, sure: float = 0.98,
     return model
 
 
-def telling(words: pa.Array, reject: np.ndarray) -> list[np.ndarray]:
+def telling(words: pa.ChunkedArray, reject: np.ndarray) -> list[np.ndarray]:
     """Each document's word features without those that cannot become evidence: met in fewer than four documents, or
     met in twenty labelled ones and there less often rejected than features are on the whole."""
     n, n1, nl = (np.zeros(1 << BITS, np.int32) for _ in range(3))
@@ -224,11 +225,14 @@ def sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tup
                                              ["doc_id", "reject", "words", "layout"])
 
     got = picked.mapInArrow(features, "doc_id long, reject double, words binary, layout array<double>").toArrow()
-    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable")))
+    by = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     reject = got["reject"].to_numpy().astype(float)
-    parts = telling(got["words"].combine_chunks(), reject)
+    parts = telling(got["words"], reject)  # the large column is neither copied nor kept
+    lay = np.array(got["layout"].to_pylist(), float).reshape(len(parts), LAYOUT + 2 * SLOTS)[by]
+    del got
+    pa.default_memory_pool().release_unused()
+    parts, reject = [parts[i] for i in by], reject[by]
     bounds = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
-    lay = np.array(got["layout"].to_pylist(), float).reshape(len(parts), LAYOUT + 2 * SLOTS)
     return Docs(np.concatenate(parts) if parts else np.array([], np.int32), bounds, lay), reject
 
 
