@@ -27,7 +27,7 @@ from duologue.llm.common import mix
 
 SPACE, STAND_IN = "▁", "\udc80"  # the piece for a space; what a real U+2581 becomes (no valid text holds it)
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
-MOST = 3_000_000  # positions kept
+MOST = 1_500_000  # positions kept
 SLOTS = 18  # log2 of the places in the table of piece starts
 
 
@@ -133,6 +133,7 @@ class Lattices:
         spelt = np.flatnonzero(p < 0)
         code = -1 - p[spelt]
         score[spelt] = (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)) * v.score[v.byte[0]]
+        p[spelt] = np.where(code < 0x80, v.byte[np.minimum(code, 0x7F)], p[spelt])
         place = np.empty(len(chars), np.int32)  # positions in order of their distance from the chunk's end
         place[np.argsort(left.astype(np.int16) if left.max() < 1 << 15 else left, kind="stable")] = np.arange(len(chars))
         by = np.argsort(place[s], kind="stable")
@@ -313,14 +314,15 @@ def ids_of(lat: Lattices, steps: np.ndarray) -> np.ndarray:
     p = lat.piece[steps]
     if not (p < 0).any():
         return p
-    out: list[int] = []
-    for x in p.tolist():
-        if x >= 0:
-            out.append(x)
-        else:
-            c = chr(-1 - x)
-            out += lat.v.byte[list((SPACE if c == STAND_IN else c).encode())].tolist()
-    return np.array(out, np.int64)
+    spelt = np.flatnonzero(p < 0)
+    chars = [SPACE if c == STAND_IN else c for c in map(chr, (-1 - p[spelt]).tolist())]
+    size = np.ones(len(p), np.int64)
+    size[spelt] = [len(c.encode()) for c in chars]
+    out, first = np.repeat(p, size), np.cumsum(size) - size
+    for at, c in zip(first[spelt].tolist(), chars, strict=True):
+        raw = c.encode()
+        out[at: at + len(raw)] = lat.v.byte[list(raw)]
+    return out
 
 
 KEPT: dict[tuple[str, float], Lattices] = {}  # of a worker, over its tasks
@@ -332,7 +334,7 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, seed: int = 1, path: str | None = None, batch_chars: int = 2_000_000,
+def segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, seed: int = 1, path: str | None = None, batch_chars: int = 1_000_000,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rank (from 1), n_pieces, log_prob, score (perturbed), log_inclusion, round_trip, ids: up to k rows per row of docs.
 
