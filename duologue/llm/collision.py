@@ -4,7 +4,8 @@ Largest inner product becomes smallest distance by one more component, sqrt(M^2
 queries, with M the largest norm. Each of ``projections`` random lines keeps the candidates of a block as a sorted array.
 A window centred on the query grows on every line from round to round (virtual rehashing: no table is built again), and
 a candidate's count is the number of windows it has been in. Candidates whose count reaches the threshold are verified
-with their exact inner product. The search ends when a vector at the distance of the k-th best found would have reached
+with their exact inner product. While fewer than k are
+found the windows grow by a factor; then they go straight to the width at which the search ends. It ends when a vector at the distance of the k-th best found would have reached
 the threshold by now with probability ``sure``, or when every candidate has been verified.
 """
 
@@ -39,39 +40,54 @@ class Lines:
 
     def __init__(self, points: np.ndarray, lines: np.ndarray):
         place = points @ lines
-        self.order = np.argsort(place, axis=0).T.copy()
-        self.place = np.take_along_axis(place.T, self.order, 1)
+        order = np.argsort(place, axis=0).T.astype(np.int32)
+        place = np.take_along_axis(place.T, order, 1)
+        # The lines end to end, so that one search finds a place on each of them.
+        n, self.step = len(points), 4 * float(np.abs(place).max()) + 4
+        self.shift = np.arange(len(place)) * self.step
+        self.begin, self.end = np.arange(len(place)) * n, np.arange(1, len(place) + 1) * n
+        self.order, self.place = order.ravel(), (place + self.shift[:, None]).ravel()
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        """The number of candidates before a place on each line, counted over the lines end to end."""
+        inside = np.clip(at, -self.step / 2, self.step / 2)
+        return np.clip(self.place.searchsorted(inside + self.shift), self.begin, self.end)
 
     def near(self, query: np.ndarray, points: np.ndarray, cands: np.ndarray, q: np.ndarray, q2: float, own: int, ids: np.ndarray,
              k: int, threshold: int, per_distance: float, growth: float) -> tuple[np.ndarray, np.ndarray]:
         """``query``: its projections; ``q2``: M^2 + |q|^2, so the distance of a candidate is sqrt(q2 - 2 score)."""
-        n, lines = self.order.shape[1], len(query)
-        count, tested = np.zeros(n, np.int16), np.zeros(n, bool)
+        n = len(cands)
+        count, tested = np.zeros(n, np.int64), np.zeros(n, bool)
         if own >= 0:
             tested[own] = True
-        lo = np.array([np.searchsorted(self.place[i], query[i]) for i in range(lines)])
-        hi, half = lo.copy(), per_distance * sqrt(max(q2, 1e-12)) / 64
+        lo = hi = self.find(query)
+        half = per_distance * sqrt(max(q2, 1e-12)) / 16
         rows, score = np.array([], np.int64), np.array([])
         while True:
-            for i in range(lines):
-                a, b = np.searchsorted(self.place[i], (query[i] - half, query[i] + half))
-                count[self.order[i, a: lo[i]]] += 1
-                count[self.order[i, hi[i]: b]] += 1
-                lo[i], hi[i] = min(a, lo[i]), max(b, hi[i])
+            a, b = np.minimum(self.find(query - half), lo), np.maximum(self.find(query + half), hi)
+            grown = [self.order[x:y] for x, y in zip([*a.tolist(), *hi.tolist()], [*lo.tolist(), *b.tolist()], strict=True) if x < y]
+            lo, hi = a, b
+            if grown:
+                count += np.bincount(np.concatenate(grown), minlength=n)
             new = np.flatnonzero((count >= threshold) & ~tested)
             if len(new):
                 tested[new] = True
-                rows, score = np.r_[rows, new], np.r_[score, cands[new] @ q]
-                if len(rows) > 8 * k:
-                    best = first_k(score, ids[rows], k)
-                    rows, score = rows[best], score[best]
+                found = cands[new] @ q if 3 * len(new) < n else (cands @ q)[new]
+                rows, score = np.r_[rows, new], np.r_[score, found]
+                if len(rows) > 8 * k:  # what may still be among the best, rounding allowed for
+                    keep = score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9 * max(1.0, q2)
+                    rows, score = rows[keep], score[keep]
             if tested.all():
                 break
             if len(rows) >= k:
                 kth = np.partition(score, len(score) - k)[len(score) - k]
-                if half >= per_distance * sqrt(max(q2 - 2 * kth, 0.0)):
+                enough = per_distance * sqrt(max(q2 - 2 * kth, 0.0))
+                if half >= enough:
                     break
-            half *= growth
+                half = enough  # better ones found on the way only make less enough
+            else:
+                half *= growth
+        score = (cands[rows] * q).sum(1)  # equal vectors get equal scores, in whatever round they were found
         best = first_k(score, ids[rows], k)
         return rows[best], score[best]
 
