@@ -1,17 +1,22 @@
 """Language model scores from sharded Elias-Fano n-gram tries.
 
 The model is a bigram model with Dirichlet smoothing, P(w | p) = (c(p w) + mu P0(w)) / (c(p) + mu), where c counts training
-documents and P0 is the word level: words among the ``HEAD`` most frequent have (c + 1) to their name; every other word,
-seen or not, belongs to one of ``CLASSES`` hash classes, which shares the mass of its words and of one unseen word evenly.
-So the word level has a fixed size, and it is all that is broadcast, together with the hot words' counts.
+documents and P0(w) = (c(w) + 1) / (tokens + distinct words + ``CLASSES``) has every seen word by its own count; ``CLASSES``
+is the number of unseen words it leaves mass for.
+
+Every token but the end is the context of the next one, and there are as many begins as ends, so over a document the divisors
+c(p) + mu of all contexts are those of all its tokens: its score is the sum of log10 (c(p w) + mu P0(w)) / (c(w) + mu). That
+needs counts of w only, so bigrams are sharded by their second word, and a shard counts its words itself: no table of words
+is joined or broadcast but the hot words' counts.
 
 1. Words are counted over all training documents.
-2. Every bigram of every document goes to a shard by its first word; a word so frequent that it would fill a quarter of a
-   shard is spread by the second word, and its count is known from step 1. Documents travel in units, bigrams as packed
+2. Every bigram of every document goes to a shard by its second word; a word so frequent that it would fill a quarter of a
+   shard is spread by the first word, and its count is known from step 1. Documents travel in units, bigrams as packed
    arrays for each unit and shard.
-3. A shard counts its training bigrams, writes a trie of two levels into a memory-mapped file, and looks up the bigrams of
-   all its units in it: the successors of a context are numbers relative to it, monotone over the level (Elias-Fano), with
-   Elias-Fano pointers from contexts; smoothed probabilities and back-off weights are quantised to 16 bits.
+3. A shard counts its words and training bigrams, writes a trie of two levels (words, and what stands before them) into a
+   memory-mapped file, and looks up the bigrams of all its units in it: the second level's words are numbers relative to the
+   first, monotone over the level (Elias-Fano), with Elias-Fano pointers from the first level; smoothed shares and back-off
+   weights are quantised to 16 bits.
 4. Sums for each document come back to its unit.
 """
 
@@ -31,8 +36,8 @@ from pyspark.sql import functions as F
 
 from duologue.llm.common import WordHash, cut, mix
 
-HEAD = 1 << 16
-CLASSES = 1 << 18
+HEAD = 1 << 16  # hot words are looked for among so many
+CLASSES = 1 << 18  # unseen words that P0 leaves mass for
 END, BEGIN = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(0xFFFFFFFFFFFFFFFD)
 STEP = 40.0 / 65_535  # of quantised log10 probabilities
 
@@ -174,19 +179,18 @@ def found(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordLevel:
-    """P0, and the totals of the base score. A fixed size whatever the corpus."""
+    """P0, the totals of the base score, and the most frequent words with their counts."""
 
-    def __init__(self, tokens: int, distinct: int, ends: int, head: np.ndarray, head_count: np.ndarray, mass: np.ndarray, words: np.ndarray):
+    def __init__(self, tokens: int, distinct: int, ends: int, head: np.ndarray, head_count: np.ndarray):
         by = np.argsort(head)
         self.tokens, self.distinct, self.ends = tokens, distinct, ends
         self.head, self.head_count = head[by], head_count[by]
-        self.share = np.log10((mass + words + 1.0) / (words + 1.0)) if len(mass) else mass
         self.total = np.log10(tokens + distinct + float(CLASSES))
 
-    def log_p0(self, word: np.ndarray) -> np.ndarray:
+    def log_p0(self, word: np.ndarray, count: np.ndarray | int = 0) -> np.ndarray:
+        """``count`` is what the caller has counted of words; words of the head have theirs."""
         i, known = found(self.head, word)
-        kind = (mix(word) >> np.uint64(64 - 18)).astype(np.int64)
-        return np.where(known, np.log10(self.head_count[i] + 1.0) if len(self.head) else 0.0, self.share[kind]) - self.total
+        return np.log10(np.where(known, self.head_count[i] if len(self.head) else 0, count) + 1.0) - self.total
 
 
 def tokens_of(text: str | None, hashes: WordHash) -> np.ndarray:
@@ -220,26 +224,7 @@ def word_level(counts: DataFrame) -> WordLevel:
     end = F.col("word") == int(END.view(np.int64))
     one = counts.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(end, F.col("count"))).alias("e")).head()
     head = counts.orderBy(F.desc("count"), "word").limit(HEAD).toArrow()  # a fixed number of rows
-    least = head["count"].to_numpy().min() if len(head) else 0
-    last = head["word"].to_numpy()[-1] if len(head) else 0
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass, words = np.zeros(CLASSES), np.zeros(CLASSES)
-        for b in batches:
-            w, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            tail = (c < least) | ((c == least) & (w > last))
-            kind = (mix(w[tail].view(np.uint64)) >> np.uint64(64 - 18)).astype(np.int64)
-            mass += np.bincount(kind, c[tail], CLASSES)
-            words += np.bincount(kind, minlength=CLASSES)
-        k = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(mass[k].astype(np.int64)), pa.array(words[k].astype(np.int64))],
-                                         ["kind", "mass", "words"])
-
-    got = counts.mapInArrow(classes, "kind long, mass long, words long").groupBy("kind").agg(
-        F.sum("mass").alias("mass"), F.sum("words").alias("words")).toArrow()  # at most CLASSES rows
-    mass, words = np.zeros(CLASSES), np.zeros(CLASSES)
-    mass[got["kind"].to_numpy()], words[got["kind"].to_numpy()] = got["mass"].to_numpy(), got["words"].to_numpy()
-    return WordLevel(one.n or 0, one.v or 0, one.e or 0, head["word"].to_numpy().view(np.uint64), head["count"].to_numpy(), mass, words)
+    return WordLevel(one.n or 0, one.v or 0, one.e or 0, head["word"].to_numpy().view(np.uint64), head["count"].to_numpy())
 
 
 def small(a: np.ndarray) -> np.ndarray:
@@ -279,7 +264,7 @@ def bigram_blobs(docs: DataFrame, shards: int, hot: np.ndarray, unit_tokens: int
             p = np.r_[BEGIN, w[:-1]]
             p[ends[:-1]] = BEGIN
             doc = np.repeat(np.arange(len(texts), dtype=np.uint32), [len(t) for t in texts])
-            shard = (mix(np.where(found(hot, p)[1], w, p)) % np.uint64(shards)).astype(np.int64)
+            shard = (mix(np.where(found(hot, w)[1], p, w)) % np.uint64(shards)).astype(np.int64)
             out: dict[int, bytes] = {}
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -287,13 +272,13 @@ def bigram_blobs(docs: DataFrame, shards: int, hot: np.ndarray, unit_tokens: int
                 r = order[cuts[s]: cuts[s + 1]]
                 ps, pi = np.unique(p[r], return_inverse=True)
                 ws, wi = np.unique(w[r], return_inverse=True)
-                key = (pi.astype(np.uint64) * np.uint64(len(ws)) + wi.astype(np.uint64)) * np.uint64(len(texts)) + doc[r]
+                key = (wi.astype(np.uint64) * np.uint64(len(ps)) + pi.astype(np.uint64)) * np.uint64(len(texts)) + doc[r]
                 key, times = np.unique(key, return_counts=True)
                 d = key % np.uint64(len(texts))
                 pair = key // np.uint64(len(texts))
                 first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-                own = (pair[first] // np.uint64(len(ws))).astype(np.int64)
-                out[int(s)] = packed([ps, ws, small(np.bincount(own, minlength=len(ps))), small(pair[first] % np.uint64(len(ws))),
+                own = (pair[first] // np.uint64(len(ps))).astype(np.int64)
+                out[int(s)] = packed([ws, ps, small(np.bincount(own, minlength=len(ws))), small(pair[first] % np.uint64(len(ps))),
                                       small(np.diff(np.r_[first, len(key)])), small(d), small(times)])
             flags = np.array([held_out(i) for i in ids], np.uint8)
             plain = packed([np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), flags])
@@ -319,51 +304,50 @@ def bigram_blobs(docs: DataFrame, shards: int, hot: np.ndarray, unit_tokens: int
     return docs.mapInArrow(work, "shard long, unit long, blob binary, flags binary, docs binary")
 
 
-def shard_sums(blobs: DataFrame, level: WordLevel, hot: np.ndarray, hot_count: np.ndarray, mu: float) -> DataFrame:
+def shard_sums(blobs: DataFrame, level: WordLevel, mu: float) -> DataFrame:
     """(unit, sums, docs): for each unit, sums of the shard's bigrams for each document that has some."""
     known_total = np.log10(level.tokens + level.distinct + 1.0)
 
     def work(t: pa.Table) -> pa.Table:
         rows = [(unpacked(b), np.unpackbits(unpacked(f)[0]).astype(bool)) for b, f in zip(t["blob"].to_pylist(), t["flags"].to_pylist(), strict=True)]
-        ps, ws, cs = [], [], []
-        for (p, w, per, wi, n_docs, doc, times), out in rows:  # training counts of the pairs of each unit
-            pair = np.repeat(np.arange(len(wi)), n_docs)
-            c = np.bincount(pair, times * ~out[doc], len(wi))
+        ws, ps, cs = [], [], []
+        for (w, p, per, pi, n_docs, doc, times), out in rows:  # training counts of the pairs of each unit
+            pair = np.repeat(np.arange(len(pi)), n_docs)
+            c = np.bincount(pair, times * ~out[doc], len(pi))
             seen = c > 0
-            ps.append(np.repeat(p, per)[seen])
-            ws.append(w[wi][seen])
+            ws.append(np.repeat(w, per)[seen])
+            ps.append(p[pi][seen])
             cs.append(c[seen].astype(np.int64))
-        p, w, c = np.concatenate(ps), np.concatenate(ws), np.concatenate(cs)
-        order = np.lexsort((w, p))
-        p, w, c = p[order], w[order], c[order]
-        first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (w[1:] != w[:-1])]) if len(p) else np.array([], np.int64)
-        c = np.add.reduceat(c, first) if len(p) else c
-        p, w = p[first], w[first]
-        contexts, owner = np.unique(p, return_inverse=True)
-        total = np.bincount(owner, c, len(contexts))
-        i, is_hot = found(hot, contexts)
-        total = np.where(is_hot, hot_count[i] if len(hot) else 0, total)
-        words, word = np.unique(w, return_inverse=True)
-        log_p = np.log10(c + mu * 10 ** level.log_p0(w)) - np.log10(total[owner] + mu) if len(w) else np.array([])
+        w, p, c = np.concatenate(ws), np.concatenate(ps), np.concatenate(cs)
+        order = np.lexsort((p, w))
+        w, p, c = w[order], p[order], c[order]
+        first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (p[1:] != p[:-1])]) if len(w) else np.array([], np.int64)
+        c = np.add.reduceat(c, first) if len(w) else c
+        w, p = w[first], p[first]
+        words, owner = np.unique(w, return_inverse=True)
+        i, is_hot = found(level.head, words)
+        total = np.where(is_hot, level.head_count[i] if len(level.head) else 0, np.bincount(owner, c, len(words)))
+        before, place = np.unique(p, return_inverse=True)
+        log_p = np.log10(c + mu * 10 ** level.log_p0(words, total)[owner]) - np.log10(total[owner] + mu) if len(w) else np.array([])
         units, sums = t["unit"].to_pylist(), []
         with tempfile.TemporaryDirectory() as folder:
-            trie = Trie(folder, contexts, words, owner, word, log_p, np.log10(mu / (total + mu)))
-            for (p, w, per, wi, n_docs, doc, times), _ in rows:
-                at = np.repeat(np.arange(len(p)), per)
-                seen, back = trie.look_up(p[at], w[wi])
-                score = np.where(np.isnan(seen), back + level.log_p0(w)[wi], seen)
-                i, known = found(trie.contexts, p)
+            trie = Trie(folder, words, before, owner, place, log_p, np.log10(mu / (total + mu)))
+            for (w, p, per, pi, n_docs, doc, times), _ in rows:
+                at = np.repeat(np.arange(len(w)), per)
+                seen, back = trie.look_up(w[at], p[pi])
+                i, known = found(trie.contexts, w)
                 count = np.where(known, total[i] if len(total) else 0.0, 0.0)
-                j, is_hot = found(hot, p)
-                count = np.where(is_hot, hot_count[j] if len(hot) else 0.0, count)
-                real = p != BEGIN
-                base = np.where(real, np.log10(count + 1) - known_total, 0.0)
-                own = at[np.repeat(np.arange(len(wi)), n_docs)]
+                j, is_hot = found(level.head, w)
+                count = np.where(is_hot, level.head_count[j] if len(level.head) else 0.0, count)
+                back = np.where(known[at], back, np.log10(mu / (count + mu))[at])  # a hot word may have no training bigram here
+                score = np.where(np.isnan(seen), back + level.log_p0(w, count)[at], seen)
+                base = np.log10(count + 1) - known_total
+                own = at[np.repeat(np.arange(len(pi)), n_docs)]
                 score = np.repeat(score, n_docs) * times
                 docs, k = np.unique(doc, return_inverse=True)
-                tokens = np.bincount(k, times * real[own])
-                sums.append(packed([small(docs), np.bincount(k, score), np.bincount(k, base[own] * times), small(tokens.astype(np.int64)),
-                                    small(np.bincount(k, times * (real & (count > 0))[own]).astype(np.int64))]))
+                sums.append(packed([small(docs), np.bincount(k, score), np.bincount(k, base[own] * times),
+                                    small(np.bincount(k, times).astype(np.int64)),
+                                    small(np.bincount(k, times * (count > 0)[own]).astype(np.int64))]))
             del trie
         return pa.table({"unit": pa.array(units, pa.int64()), "sums": pa.array(sums, pa.binary()), "docs": t["docs"]})
 
@@ -381,18 +365,17 @@ def scores(docs: DataFrame, mu: float = 100.0, shard_tokens: int = 3_000_000, un
     counts = cut(word_counts(docs))
     level = word_level(counts)
     shards = max(1, -(-int(level.tokens * 7 / 6) // shard_tokens))
-    often = counts.where((F.col("count") >= max(1, level.tokens // (4 * shards))) & (F.col("word") != int(END.view(np.int64)))).toArrow()
-    hot = np.r_[often["word"].to_numpy().view(np.uint64), BEGIN]  # at most 4 * shards + 1
-    hot_count = np.r_[often["count"].to_numpy(), level.ends]
-    hot, hot_count = hot[np.argsort(hot)], hot_count[np.argsort(hot)]
-    sums = shard_sums(bigram_blobs(docs, shards, hot, unit_tokens), level, hot, hot_count, mu)
-    end_base = float(np.log10(level.ends + 1.0) - np.log10(level.tokens + level.distinct + 1.0))
-    tokens, known_end = int(level.tokens), int(level.ends > 0)
+    often = level.head_count >= max(1, level.tokens // (4 * shards))  # at most 4 * shards + 1
+    hot, hot_count = level.head[often], level.head_count[often]
+    rest = hot != END
+    level = WordLevel(level.tokens, level.distinct, level.ends, np.r_[hot[rest], END], np.r_[hot_count[rest], level.ends])
+    sums = shard_sums(bigram_blobs(docs, shards, level.head, unit_tokens), level, mu)
+    tokens = int(level.tokens)
 
     def gather(t: pa.Table) -> pa.Table:
         ids, null, out = next(unpacked(d, {0: "<i8"}) for d in t["docs"].to_pylist() if d is not None)
         n = len(ids)
-        score, base, n_tok, n_known = np.zeros(n), np.full(n, end_base), np.ones(n, np.int64), np.full(n, known_end)
+        score, base, n_tok, n_known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for raw in t["sums"].to_pylist():
             d, s, b, k, m = unpacked(raw, {1: "<f8", 2: "<f8"})
             score[d] += s

@@ -84,3 +84,14 @@ def test_empty_table(spark):
     held = [i for i in range(60) if language.held_out(i)]
     rows = language.scores(spark.createDataFrame([(held[0], "a b")], "doc_id long, text string")).collect()
     assert rows[0].train_tokens == 0 and rows[0].n_known == 0 and rows[0].n_tokens == 3 and rows[0].held_out
+
+
+@pytest.mark.parametrize("shard_tokens", [3_000_000, 300])
+def test_every_seen_word_has_its_own_count(spark, monkeypatch, shard_tokens):
+    monkeypatch.setattr(language, "HEAD", 5)
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in language.scores(df, mu=20.0, shard_tokens=shard_tokens, unit_tokens=500).collect()}
+    for d, (_, n, known, _, base, score) in brute(docs, 20.0).items():
+        assert got[d].n_known == known and got[d].base_score == pytest.approx(base, rel=1e-9)
+        assert score - 0.0013 * n <= got[d].score <= score + 1e-6
