@@ -1,18 +1,24 @@
 """Licence recognition by sentences: known sentences become identifiers, ordered rules match their sequences.
 
-A text is split into sentences at line ends and after full stops, semicolons and colons; a sentence is normalised (lower
-case, only letters and digits, one space between words) and looked up among known licence sentences. The identifiers of a
+A text is split into pieces at line ends and after full stops, semicolons and colons; a piece is normalised (lower case, only
+letters and digits, one space between words), so comment leaders and banners vanish. A known licence sentence is a piece, or
+several pieces in a row that only line ends part: from each piece on, the longest known sentence is taken, so a wrapped
+sentence is found as well as a notice that is one line among others. Lines without a letter or digit are passed over, as the
+Apache notice has one before its address. The identifiers of a
 document, in order, form its sequence. Rules are tried from the longest sequence of identifiers to the shortest, in the order
 given; a rule takes every place where its sequence is found, and what it took is no longer there for later rules.
 Identifiers that no rule took are reported as unmatched.
 
-All of it is DataFrame functions: the known sentences are one map constant, and a rule is a replacement in the sequence.
+The sentences are found in one pass over Arrow batches; a rule is a replacement in the sequence by DataFrame functions.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +90,8 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 BREAK = r"[\r\n]+|[.;:][ \t]+"
 NOISE = "[^a-z0-9]+"
+LINE, STOP = re.compile(r"[\r\n]+"), re.compile(r"[.;:](?:[ \t]+|\Z)")
+LEADER = re.compile("[^a-z0-9]*")
 
 
 @dataclass(frozen=True)
@@ -93,8 +101,6 @@ class Rulebook:
 
     def known(self) -> dict[str, str]:
         """Normalised sentence to identifier. A sentence that the splitter would cut is known by its parts."""
-        import re
-
         out: dict[str, str] = {}
         for name, forms in self.sentences.items():
             for form in forms:
@@ -105,8 +111,6 @@ class Rulebook:
 
     def sequences(self) -> list[tuple[str, str]]:
         """(licence, "|id|id|...") from the longest rule to the shortest; identifiers of sentences known by parts come in parts."""
-        import re
-
         parts = {n: len([p for p in re.split(BREAK, forms[0]) if re.sub(NOISE, "", p.lower())]) for n, forms in self.sentences.items()}
         named = [(lic, [x for i in ids for x in [*(f"{i}_{k + 1}" for k in range(parts[i] - 1)), i]]) for lic, ids in self.rules]
         return [(lic, "".join(f"<{i}>" for i in ids)) for lic, ids in sorted(named, key=lambda r: -len(r[1]))]
@@ -115,19 +119,58 @@ class Rulebook:
 DEFAULT = Rulebook(SENTENCES, RULES)
 
 
+class Finder:
+    """Identifiers of the known sentences of a text, in order."""
+
+    def __init__(self, known: dict[str, str]):
+        self.known = known
+        self.begins = {s[:m.start()] for s in known for m in re.finditer(" ", s)}  # what a longer sentence may begin with
+        self.noise = re.compile(NOISE)
+
+    def pieces(self, text: str) -> list[tuple[str, bool]]:
+        """(normalised piece, whether only line ends part it from the next)."""
+        out: list[tuple[str, bool]] = []
+        for line in LINE.split(text.lower()):
+            parts = STOP.split(line[LEADER.match(line).end():])
+            for k, part in enumerate(parts):
+                plain = self.noise.sub(" ", part).strip(" ")
+                if plain:
+                    out.append((plain, k == len(parts) - 1))
+                elif out and k < len(parts) - 1:
+                    out[-1] = (out[-1][0], False)
+        return out
+
+    def ids(self, text: str) -> list[str]:
+        pieces, out, i = self.pieces(text), [], 0
+        while i < len(pieces):
+            run, joined = pieces[i]
+            j, hit, after = i, self.known.get(run), i + 1
+            while joined and run in self.begins and j + 1 < len(pieces):
+                j += 1
+                run, joined = f"{run} {pieces[j][0]}", pieces[j][1]
+                if run in self.known:
+                    hit, after = self.known[run], j + 1
+            if hit:
+                out.append(hit)
+            i = after
+        return out
+
+
 def scan(docs: DataFrame, book: Rulebook = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_sentences (known ones), sequence ("<id><id>..."), licences (" AND "-joined names of the
     rules that matched, each once, in alphabetical order), unmatched (identifiers no rule took). Null or empty text: 0 and "".
     """
-    known = F.create_map(*[F.lit(x) for pair in book.known().items() for x in pair])
-    longest = max(map(len, book.known())) * 2
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    candidate = F.filter(F.split(text, BREAK), lambda s: F.length(s).between(3, longest))
-    plain = F.transform(candidate, lambda s: F.trim(F.regexp_replace(F.lower(s), NOISE, " ")))
-    ids = F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), ids.alias("ids"))
-    df = df.select("doc_id", F.size("ids").cast("long").alias("n_sentences"),
-                   F.array_join(F.transform("ids", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "").alias("sequence"))
+    finder = Finder(book.known())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [finder.ids(t.as_py() or "") for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()),
+                                              pa.array(["".join(f"<{i}>" for i in x) for x in ids], pa.string())],
+                                             ["doc_id", "n_sentences", "sequence"])
+
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        work, "doc_id long, n_sentences long, sequence string")
     return matched(df, book)
 
 
