@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log1p
@@ -19,10 +19,13 @@ from math import log1p
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RAW = "script|style|title|noscript|template|svg|math|textarea|select|iframe|object|audio|video|canvas|button"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+#: Ends of the elements that hold no elements; without one they reach to the end of the page.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title")}
+#: Elements whose text is not the page's; an unclosed one ends with its container.
+SKIP = frozenset("noscript template svg math select iframe object audio video canvas button".split())
 ATTRS = re.compile(r"\b(class|id|role|aria-label|hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
@@ -37,6 +40,7 @@ OUT_WORDS = frozenset("ad ads adv advert advertisement adverts adsense banner br
                       "pager pagination popup promo promoted promotion recommend recommended related replies reply respond search share sharing "
                       "sidebar signin signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
 HEAD_WORDS = frozenset("header masthead heading-bar".split())
+DEEPEST = 512  # steps of a place in the tree; deeper elements take their place from the one above
 IN_WORDS = frozenset("article body content entry main post story text".split())
 
 
@@ -71,13 +75,15 @@ class Block:
 
 
 class Element:
-    __slots__ = ("header", "inside", "key", "link", "named", "out", "path", "tag")
+    __slots__ = ("foreign", "header", "inside", "key", "link", "named", "out", "path", "skip", "tag")
 
     def __init__(self, tag: str, key: int, above: Element | None, attrs: str):
         self.tag, self.key = tag, key
         self.inside, self.named, self.out, self.header, self.link = (above.inside, above.named, above.out, above.header, above.link) \
             if above else (False, False, False, False, False)
-        self.path = (*above.path, key) if above and tag not in INLINE else above.path if above else (key,)
+        self.path = (key,) if not above else above.path if tag in INLINE or len(above.path) >= DEEPEST else (*above.path, key)
+        self.skip = tag in SKIP or above is not None and above.skip
+        self.foreign = tag in ("svg", "math") or above is not None and above.foreign
         if tag in IN_TAGS:
             self.inside = True
         elif tag in OUT_TAGS:
@@ -110,6 +116,7 @@ def blocks_of(page: str) -> list[Block]:
     keys, stack = 0, [Element("html", 0, None, "")]
     pieces: list[tuple[str, bool]] = []
     where = stack[0]
+    open_: Counter[str] = Counter()
     at = 0
 
     def end() -> None:
@@ -119,46 +126,68 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 linked = sum(len(p.split()) for p, link in pieces if link)
                 out.append(Block(text, text.count(" ") + 1, linked, where.inside, where.named, where.out, where.header,
-                                 any(e.tag in ("h1", "h2", "h3") for e in stack), where.path))
+                                 any(open_[h] for h in ("h1", "h2", "h3")), where.path))
             pieces = []
 
-    def close(tag: str, barrier: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                del stack[k:]
-                return
-            if stack[k].tag in barrier:
-                return
-
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
+    def innermost(tag: str, barrier: frozenset[str] = frozenset()) -> int:
+        """Place of the innermost open element of that name, 0 if there is none above a barrier."""
+        if open_[tag]:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
+                    return k
+                if stack[k].tag in barrier:
+                    return 0
+        return 0
+
+    def close(k: int) -> None:
+        if k:
+            open_.subtract(e.tag for e in stack[k:])
+            del stack[k:]
+
+    while m := TOKEN.search(page, at):
+        skip = stack[-1].skip
+        if m.start() > at and not skip:
             if not pieces:
                 where = stack[-1]
             pieces.append((html.unescape(page[at: m.start()]), stack[-1].link))
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        closing, attrs = m[2] if m[3] else m[5], (m[4] if m[3] else m[7]) or ""
+        closing, attrs = m[1] if m[2] else m[4], (m[3] if m[2] else m[6]) or ""
+        whole = attrs.endswith("/") and (stack[-1].foreign or tag in ("svg", "math"))
         if tag == "br":
-            pieces.append((" ", False))
+            if not skip:
+                pieces.append((" ", False))
+            continue
+        if tag in RAW and not closing:
+            if not whole:
+                stop = RAW[tag].search(page, at)
+                at = stop.end() if stop else len(page)
             continue
-        if tag not in INLINE:
-            end()
         if closing:
-            close(tag)
+            k = innermost(tag)
+            if tag not in INLINE and not (stack[k].skip if skip and k else skip or tag in SKIP):
+                end()
+            close(k)
             continue
-        if tag in CLOSES_P:
-            close("p", frozenset(("div", "article", "section", "td", "li", "blockquote", "main", "aside", "table")))
-        elif tag == "li":
-            close("li", frozenset(("ul", "ol", "menu")))
-        elif tag in ("td", "th", "tr"):
-            close(tag, frozenset(("table",)))
-        if tag not in VOID:
+        if tag in ("button", "select"):
+            close(innermost(tag))
+            skip = stack[-1].skip
+        if not skip:
+            if tag not in INLINE and tag not in SKIP:
+                end()
+            if tag in CLOSES_P:
+                close(innermost("p", frozenset(("div", "article", "section", "td", "li", "blockquote", "main", "aside", "table"))))
+            elif tag == "li":
+                close(innermost("li", frozenset(("ul", "ol", "menu"))))
+            elif tag in ("td", "th", "tr"):
+                close(innermost(tag, frozenset(("table",))))
+        if tag not in VOID and not whole:
             keys += 1
-            if len(stack) < 512:  # deeper elements take their place from the last one
-                stack.append(Element(tag, keys, stack[-1], attrs))
-    if at < len(page):
+            stack.append(Element(tag, keys, stack[-1], attrs))
+            open_[tag] += 1
+    if at < len(page) and not stack[-1].skip:
         if not pieces:
             where = stack[-1]
         pieces.append((html.unescape(page[at:]), stack[-1].link))
@@ -266,7 +295,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of pages: page_id, url, text, n_chars.
 
     Null, empty or text-free html gives an empty text; broken markup (unclosed elements, a page cut anywhere) is read to its
-    end. Character references are decoded once, white space inside a block is one space, blocks are joined by one newline.
+    end; an unclosed element without text of the page, such as a button, ends with its container. Character references are decoded once, white space inside a block is one space, blocks are joined by one newline.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,3 +54,26 @@ def test_broken_and_empty_pages(spark):
     assert got[3].text == f"{body}\n{body} &am" and got[4].text == body
     assert got[5].n_chars == len(LONG) * 2000 - 1
     assert m.extract(df).count() == 8 and m.extract(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("odd", ["<video-card></video-card>", "<button-row>", "<svg/>", '<svg width="1" />', "<math/>", "<div><button>Menu</div>",
+                                 "<div><select><option>One</div>", "<div><object data=x></div>", "<div><svg><path d=z></div>",
+                                 "<svg><title/><g/></svg>", "<p>One <button>OK<button>No</button> two</p>",
+                                 "<object><object>x</object>hidden</object>", "<template><article><p>hidden</p></article></template>"])
+def test_nothing_after_is_lost(odd):
+    text = m.main_text(page(f"<article><p>{LONG}</p>{odd}<p>{LONG}</p></article><footer>The end of it all</footer>"))
+    body = " ".join(LONG.split())
+    assert text.split("\n")[0] == text.split("\n")[-1] == body and text.count(body) == 2
+    assert not any(x in text for x in ("Menu", "hidden", "OK", "No", "The end", "x</"))
+
+
+def test_raw_text_to_the_end_of_the_page():
+    assert m.main_text(f"<article><p>{LONG}</p><script>var a = '<p>{LONG}</p>'") == " ".join(LONG.split())
+
+
+def test_end_tags_pair_up_in_deep_pages():
+    text = m.main_text(page(f"<article>{'<div>' * 600}<p>{LONG}</p>{'</div>' * 600}<p>{LONG}</p></article><footer>The end of it all</footer>"))
+    assert text.count(" ".join(LONG.split())) == 2
+    blocks = m.blocks_of(f"<div class=menu>{'<div>' * 600}a{'</div>' * 600}<p>b</p></div><p>c</p>")
+    assert [b.out for b in blocks] == [True, True, False]
+    assert len({len(b.path) for b in blocks[1:]}) == 2
