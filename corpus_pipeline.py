@@ -38,7 +38,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens, one row per piece."""
-    return packing.pack(docs)
+    return packing.pack(docs, added=packing.added_tokens(packing.vocabulary("byte_bpe_50k.json")))
 
 
 STAGES = [("quality classifier", good_documents), ("n-gram Jaccard join", without_near_duplicates),

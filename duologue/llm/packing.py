@@ -13,6 +13,7 @@ A worker holds one Arrow batch and at most ``classes`` squared waiting pieces.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,14 +34,23 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Tokens that a tokenizers JSON finds in a text before all else, with their ids."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens with conditions on what stands beside them")
+    return {t["content"]: t["id"] for t in found}
+
+
 class Encoder(dict):
     """Token ids of a text as little-endian unsigned 32-bit numbers.
 
     The pre-tokenizer never joins what stands before white space with it, so a text is the sequence of its chunks
-    (white space, then other characters), and chunks seen before are looked up.
+    (white space, then other characters), and chunks seen before are looked up. ``added`` tokens are cut out first.
     """
 
-    def __init__(self, ranks_path: str, most: int = 300_000):
+    def __init__(self, ranks_path: str, most: int = 300_000, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -50,6 +60,8 @@ class Encoder(dict):
         self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens={})
         self.most = most
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def plain(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
@@ -63,6 +75,12 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.cut and self.cut.search(text):
+            parts = self.cut.split(text)
+            return b"".join(self.added[t] if k % 2 else self.ordinary(t) for k, t in enumerate(parts))
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         if ODD.search(text):
             return self.plain(text)
         return b"".join(map(self.__getitem__, CHUNK.findall(text)))
@@ -145,13 +163,15 @@ class Bins:
 
 
 def pack(docs: DataFrame, capacity: int = 2048, slack: int = 16, classes: int = 32, end_id: int = 1,
-         ranks_path: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         ranks_path: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text",
+         added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids on request).
 
     Every token id of every document, its final ``end_id`` included, lies in exactly one piece. A null or empty text is
     the single token ``end_id``; a null id is kept. Repeated rows are packed once each. ``docs`` must give the same rows
     in the same order when a partition is computed again, as a scan of written files does. At most ``slack`` tokens
-    of padding are accepted where a rest is taken whole.
+    of padding are accepted where a rest is taken whole. ``added`` tokens in a text give their own id (``added_tokens`` reads
+    them from the tokenizer's JSON); without them their characters are text like others.
     """
     path = ranks_path or vocabulary("byte_bpe_50k.tiktoken")
     fields = ["start long", "length long", "ids_crc32 long", "doc_tokens long", "sequence_id long", "offset long"]
@@ -165,7 +185,7 @@ def pack(docs: DataFrame, capacity: int = 2048, slack: int = 16, classes: int =
         return pa.RecordBatch.from_arrays(cols, names + ["ids"] * with_ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder(path, added=added), np.array([end_id], "<u4").tobytes()
         bins = Bins(capacity, classes, TaskContext.get().partitionId() << 36)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -13,7 +13,8 @@ __all__ = ["QUERIES", "SQL"]
 
 @query("op2_harmonic_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"),
+                        added=packing.added_tokens(packing.vocabulary("byte_bpe_50k.json")))
 
 
 @query("op9_co_training")

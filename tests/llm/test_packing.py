@@ -73,3 +73,22 @@ def test_repeats_nulls_and_empty_table(spark):
 def test_cuts_add_up(n):
     parts = packing.cuts(n, 2048, 16, 32)
     assert sum(x for x, _ in parts) == n and all(j == 0 or j * x <= 2048 for x, j in parts)
+
+
+def test_added_tokens_as_the_tokenizer_has_them(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from duologue.llm.queries import QUERIES
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x\n", "no\x1c <|endoftext", "x" * 90 + " <|endoftext|>\n\n y", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (QUERIES["op2_harmonic_packing"](spark, str(tmp_path)).collect(), corpus_pipeline.packed(spark, df, "").collect()):
+        for d, t in enumerate(texts):
+            want = tok.encode(t, add_special_tokens=False).ids + [1]
+            got = sorted((r for r in rows if r.doc_id == d), key=lambda r: r.start)
+            assert sum(r.length for r in got) == len(want)
+            assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(want[r.start: r.start + r.length], "<u4").tobytes()) for r in got]
