@@ -94,11 +94,11 @@ def _names(c: Column) -> Column:
 
 def surface_novelty(pairs: DataFrame, child_names: str, anchor_names: str, child_text: str, anchor_text: str,
                     limit: float = 90.0) -> DataFrame:
-    """Reused first names, and near-verbatim text only where the names pass is not already a reject."""
+    """Reused first names, and near-verbatim text; every pair with two texts is compared, whatever its names."""
     reused = F.array_intersect(_names(F.col(child_names)), _names(F.col(anchor_names)))
     a, b = F.lower(strip(F.coalesce(child_text, F.lit("")))), F.lower(strip(F.coalesce(anchor_text, F.lit(""))))
     out = pairs.withColumn("reused_names", reused)
-    ask = (F.size("reused_names") == 0) & (a != "") & (b != "")
+    ask = (a != "") & (b != "")
     short = lambda x: F.when(ask, x).otherwise("")  # noqa: E731  a Python function runs on every row, so others get nothing to do
     return out.withColumn("text_similarity", F.when(ask, partial_ratio_udf(limit)(short(a), short(b))).otherwise(F.lit(0.0))).withColumn(
         "is_clone", F.col("text_similarity") > limit).withColumn(

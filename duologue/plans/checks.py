@@ -67,7 +67,10 @@ def _(spark, d):
 
 @query("c02_surface_novelty")
 def _(spark, d):
-    out = C.surface_novelty(_doc_pairs(spark, d), "child_names", "parent_names", "text", "parent_text")
+    j = _doc_pairs(spark, d)  # names are capitalised words that no sentence begins with
+    for names, text in (("child_names", "text"), ("parent_names", "parent_text")):
+        j = j.withColumn(names, F.regexp_extract_all(text, F.lit(r"(?<=[\p{L}\p{N},] )\p{Lu}\p{Ll}+\b"), 0))
+    out = C.surface_novelty(j, "child_names", "parent_names", "text", "parent_text")
     return out.select("doc_id", "parent_id", "is_clone", "passes")
 
 

@@ -189,3 +189,25 @@ def test_package_reaches_executors(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+def test_near_copies_are_clones_whatever_their_names(spark):
+    from duologue.operators import checks
+
+    text = "At the market Sasha asks the seller for a lower price, and they talk until the evening comes. " * 3
+    rows = [(1, ["Emily"], ["Sasha"], text.replace("lower", "better"), text), (2, ["Sasha"], ["sasha "], text.replace("lower", "better"), text),
+            (3, ["Emily"], ["Sasha"], "Two friends plan a trip to the mountains.", text), (4, ["Sasha"], ["Sasha"], "", text),
+            (5, text.split(" "), text.split(" "), text + "And more.", text)]
+    df = spark.createDataFrame(rows, "id int, c array<string>, p array<string>, ct string, pt string")
+    got = {r.id: (r.is_clone, r.passes) for r in checks.surface_novelty(df, "c", "p", "ct", "pt").collect()}
+    assert got == {1: (True, False), 2: (True, False), 3: (False, True), 4: (False, False), 5: (True, False)}
+
+
+def test_planted_near_copy_in_the_query(spark, tmp_path):
+    from duologue.plans.registry import load_all
+
+    text = "At the market Sasha asks the seller for a lower price, and they talk until the evening comes. " * 3
+    docs = [(0, text), (1, text.replace("lower", "better")), (2, "Two friends plan a trip with Boris to the far mountains.")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.is_clone, r.passes) for r in load_all()["c02_surface_novelty"].run(spark, str(tmp_path)).collect()}
+    assert got == {1: (True, False), 2: (False, True)}
