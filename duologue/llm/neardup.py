@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard self-join with signature trees, as connected components.
+"""N-gram Jaccard self-join with signature trees, as connected components; exact where t is 0.88 or more.
 
 1. Each document becomes its set of hashed word shingles; equal sets collapse to the smallest id.
 2. Sets that can reach the similarity t are brought together. Two sets of at most m shingles that do differ in at most
@@ -6,8 +6,8 @@
    shingles in both, and the sum over a range is the key that meets there. Ranges hold about (1 + t) / 2 (1 - t)
    shingles, so a passage that many documents share does not bring them together. Size classes keep m tight. Below
    t = 0.88 ranges would hold fewer than EXACT shingles (at 0.8 they hold 4.5) and bring together what a shared line already
-   has in common; there, ranges are wider and keys are drawn from several orders of the shingles, so that a pair at the very
-   threshold is missed with probability LOSS, and a closer one with far less.
+   has in common; there, ranges are wider and keys are drawn from several orders of the shingles, as many as it
+   takes for a pair to be missed with probability LOSS at most, at the very threshold too.
 3. Sets connected by such keys form clusters, which are cut into blocks. In a block a signature tree (nodes with OR-ed
    bitmaps of their shingles and ranges of sizes) is traversed against itself or another tree: node pairs whose largest
    possible overlap is too small, or that are already one component, are pruned; what is left is compared exactly.
@@ -63,7 +63,7 @@ def shingles(words: list[bytes], k: int, hashes: WordHash) -> np.ndarray:
 
 EXACT = 8  # shingles that a range of the exact scheme must hold
 WIDE = 2.0  # differing shingles a wide range meets on average, at the least similarity
-LOSS = 1e-6  # probability that two sets at the least similarity share no key of the wide scheme
+LOSS = 1e-6  # largest probability that two linked sets share no key of the wide scheme
 
 
 def difference(size_class: int, percent: int) -> int:
@@ -83,11 +83,18 @@ def range_keys(tokens: np.ndarray, size_class: int, parts: int, spare: int) -> n
     return out
 
 
-def wide_keys(tokens: np.ndarray, size_class: int, d: int) -> np.ndarray:
-    """Keys of ranges that hold several differing shingles on average: each is equal in two linked sets with probability
-    exp(-WIDE) at least, and there are enough of them, over several orders of the shingles where one has too few."""
-    parts = round(d / WIDE)
-    want = int(np.ceil(np.log(LOSS) / np.log1p(-np.exp(-WIDE))))
+def wide_plan(size_class: int, d: int, percent: int) -> tuple[int, int]:
+    """Ranges of one order, and the number of keys. A range has a key that two linked sets share if none of their at most d
+    differing shingles lies in it and one of the common ones does, of which there are t times the larger set at least. Counts of
+    balls in bins are negatively associated, so no key is shared with at most the product of the ranges' own probabilities."""
+    parts, common = int(np.ceil(d / WIDE)), -(-percent * STARTS[size_class] // 100)
+    off = 1 - 1 / parts
+    return parts, int(np.ceil(np.log(LOSS) / np.log1p(-(off**d) * (1 - off**common))))
+
+
+def wide_keys(tokens: np.ndarray, size_class: int, d: int, percent: int) -> np.ndarray:
+    """Keys of ranges that hold several differing shingles on average, over several orders of the shingles where one has too few."""
+    parts, want = wide_plan(size_class, d, percent)
     out = []
     for order in range(-(-want // parts)):
         t = mix(tokens ^ (SEEDS[order % 8] + np.uint64(order)))
@@ -115,7 +122,7 @@ def keys(tokens: np.ndarray, percent: int) -> np.ndarray:
             spare = (d + 1) // 32
             out.append(range_keys(tokens, c, d + 1 + spare, spare))
         else:
-            out.append(wide_keys(tokens, c, d))
+            out.append(wide_keys(tokens, c, d, percent))
     return np.concatenate(out).view(np.int64)
 
 

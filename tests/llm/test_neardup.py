@@ -100,3 +100,17 @@ def test_empty_table_and_repeats(spark):
     got = sorted((tuple(r) for r in neardup.near_duplicates(df).collect()), key=str)
     assert got == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (None, 1, None)]
     assert neardup.near_duplicates(df.where("false")).count() == 0
+
+
+def test_keys_are_enough_for_every_class():
+    from fractions import Fraction
+    from math import comb
+
+    def all_dirty(m, parts, d):  # by inclusion and exclusion
+        return sum((-1) ** k * comb(m, k) * Fraction(parts - k, parts) ** d for k in range(m + 1))
+
+    for c in range(14):
+        d = neardup.difference(c, 80)
+        if d > 8 and d < 200:
+            parts, want = neardup.wide_plan(c, d, 80)
+            assert float(all_dirty(parts, parts, d) ** (want // parts) * all_dirty(want % parts, parts, d)) <= neardup.LOSS
