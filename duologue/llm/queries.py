@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duologue.llm import classifier, collision, impact, language, licences, maincontent, neardup, packing, segments, suffixes
+from duologue.llm import chat, classifier, collision, divergence, impact, language, licences, maincontent, neardup, packing, resampling, segments, suffixes
 from duologue.llm.common import table
 from duologue.llm.registry import QUERIES, SQL, query
 
@@ -68,3 +68,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_gumbel_segmentations")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.segmentations(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op13_source_divergence", sql=divergence.audit_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op11_offset_masks", sql=chat.digests_sql(" UNION ALL ".join(f"SELECT {c}, {t}, '{r}', '{x}'" for c, t, r, x in CONTROL_TURNS)))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted(turns.unionByName(extra)))
+
+
+@query("op12_importance_resampling", sql=resampling.resample_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
