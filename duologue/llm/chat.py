@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duologue.llm.packing import CHUNK, ODD
+
 TURN, TEXT, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Strings with a meaning to this template or to others in wide use.
 CONTROLS = (TURN, TEXT, END, "<|im_system|>", "<|endoftext|>", "<|begin_of_text|>", "<|end_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>",
@@ -54,6 +57,44 @@ def tokenizer(path: str):
     return tok
 
 
+class OffsetEncoder(dict):
+    """Token ids of a string with their offsets. The pre-tokenizer never joins what stands before white space with it, so a string is the
+    sequence of its marks and chunks (white space, then other characters), and chunks seen before are looked up."""
+
+    def __init__(self, path: str, most: int = 200_000):
+        super().__init__()
+        self.tok, self.most = tokenizer(path), most
+        self.marks = re.compile("(" + "|".join(map(re.escape, (TURN, TEXT, END))) + ")")
+
+    def __missing__(self, chunk: str) -> tuple[bytes, bytes, int]:
+        e = self.tok.encode(chunk, add_special_tokens=False)
+        got = np.array(e.ids, np.int32).tobytes(), np.array(e.offsets, np.int32).tobytes(), len(e.ids)
+        if len(chunk) <= 64:  # long chunks are rarely met again
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = got
+        return got
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        chunks: list[str] = []
+        for k, part in enumerate(self.marks.split(text)):
+            if k % 2 or ODD.search(part):
+                chunks.append(part)
+            else:
+                chunks += CHUNK.findall(part)
+        found = list(map(self.__getitem__, chunks))
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        base = np.repeat((np.cumsum(size) - size).astype(np.int32), np.fromiter((f[2] for f in found), np.int64, len(found)))
+        at = np.frombuffer(b"".join(f[1] for f in found), np.int32).reshape(-1, 2)
+        return np.frombuffer(b"".join(f[0] for f in found), np.int32), at[:, 0] + base, at[:, 1] + base
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> OffsetEncoder:
+    """Loaded once in the life of a worker process."""
+    return OffsetEncoder(path)
+
+
 def masked(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """Which tokens share a character with one of the spans; tokens and spans are in order."""
     lo = np.searchsorted(ends, [a for a, _ in spans], "right")
@@ -83,7 +124,7 @@ def formatted(turns: DataFrame, learn: tuple[str, ...] = ("assistant",), tokeniz
                          *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((role_col, "role"), (text_col, "text"))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, escapes, number = tokenizer(tokenizer_path), Escapes(), TaskContext.get().partitionId() << 32
+        encoder, escapes, number = encoder_of(tokenizer_path), Escapes(), TaskContext.get().partitionId() << 32
         waiting: list[tuple[int | None, int, str, list[tuple[int, int]]]] = []
         parts: list[str] = []
         spans: list[tuple[int, int]] = []
@@ -99,12 +140,12 @@ def formatted(turns: DataFrame, learn: tuple[str, ...] = ("assistant",), tokeniz
         def emit() -> pa.RecordBatch:
             nonlocal number, held
             ids, starts, ends, loss = [], [], [], []
-            for (*_, where), e in zip(waiting, tok.encode_batch([w[2] for w in waiting], add_special_tokens=False), strict=True):
-                at = np.array(e.offsets, np.int32).reshape(-1, 2)
-                ids.append(np.array(e.ids, np.int32))
-                starts.append(np.ascontiguousarray(at[:, 0]))
-                ends.append(np.ascontiguousarray(at[:, 1]))
-                loss.append(masked(starts[-1], ends[-1], where))
+            for *_, text, where in waiting:
+                i, a, b = encoder.encode(text)
+                ids.append(i)
+                starts.append(a)
+                ends.append(b)
+                loss.append(masked(a, b, where))
             ints, flags = pa.list_(pa.int32()), pa.list_(pa.bool_())
             out = pa.RecordBatch.from_arrays(
                 [pa.array([w[0] for w in waiting], pa.int64()), pa.array(range(number, number + len(waiting)), pa.int64()),
@@ -120,7 +161,7 @@ def formatted(turns: DataFrame, learn: tuple[str, ...] = ("assistant",), tokeniz
             for c, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 if c != conv or size > stretch:
                     close()
-                    if held > stretch:
+                    if held > 1 << 18:
                         yield emit()
                     conv = c
                 head, body = f"{TURN}{escapes.put(role)}{TEXT}", escapes.put(text.as_py())
@@ -151,7 +192,7 @@ def learnt(text: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray, es
     return [escapes.take(text[starts[a]: ends[b]]) for a, b in zip(on[np.r_[0, breaks + 1]], on[np.r_[breaks, len(on) - 1]], strict=True)]
 
 
-def digests(pieces: DataFrame, hold: int = 16 << 20) -> DataFrame:
+def digests(pieces: DataFrame, hold: int = 4 << 20) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read back from formatted pieces.
 
     ``pieces`` are in order inside their partitions, as ``formatted`` gives them. A conversation that certainly lies in one partition, and is short, is
