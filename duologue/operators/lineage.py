@@ -11,6 +11,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duologue.operators.graph import components
 from duologue.operators.nearest import Rule, best_match, top_k, vectors
 from duologue.operators.rules import node_role
 from duologue.operators.scale import SaltedEdges, salted_join
@@ -53,41 +54,6 @@ def degree_stats(nodes: DataFrame, edges: DataFrame, role: Column | None = None)
         F.count_if(out == 0).alias("leaf_count"), F.count_if(out > 0).alias("backbone_count"))
 
 
-SMALL_GRAPH = 200_000  # below this many edges no key can overload a task, so nothing is salted
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """L2: smallest id of the weakly connected component of each node.
-
-    Large-star and small-star rounds (Kiveris et al., 2014): every round hangs neighbours onto the
-    smallest id seen, and the number of rounds grows with the logarithm of the longest path.
-    """
-    e = edges.select(F.col("parent").alias("u"), F.col("child").alias("v")).where(F.col("u") != F.col("v"))
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    n = e.count()
-    seen = None
-    while True:
-        def hang(left: DataFrame, low: DataFrame, n: int = n) -> DataFrame:
-            if n < SMALL_GRAPH:
-                return left.join(low.drop("__n"), "u")
-            return salted_join(left, low.drop("__n"), ["u"], "inner", ["v"], counts=low.select("u", "__n"))
-
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("__n"))
-        large = cut(hang(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__n"))
-        hung = hang(large, down)
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
-            down.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
-        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if mark == seen:
-            break
-        seen = mark
-    return nodes.join(e.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select(
-        "id", F.coalesce("component", "id").alias("component"))
-
-
 def depth_from(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """L3: number of steps from the nearest seed; unreachable nodes have no row."""
     graph = SaltedEdges(edges)

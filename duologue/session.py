@@ -73,3 +73,23 @@ def cut(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """The written steps of one iterative job. A step is read by the next ones only, so those before the last two are deleted."""
+
+    def __init__(self, spark: SparkSession, label: str, keep: int = 2):
+        self.spark, self.folder, self.keep = spark, fresh_path(spark, label), keep
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = os.path.join(self.folder, f"step-{len(self.paths)}")
+        df.write.parquet(path)
+        self.paths.append(path)
+        if len(self.paths) > self.keep:
+            self.drop(self.paths[-1 - self.keep])
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
