@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duologue.llm.common import WordHash, cut, mix
-from duologue.operators.lineage import components
+from duologue.llm.common import WordHash, cut, mix, wanted
+from duologue.operators.graph import components
 
 BLOCK = 1000
 PIVOTS = 4
@@ -330,7 +330,8 @@ def links_of(reps: DataFrame, docs: DataFrame, meeting: DataFrame, k: int, perce
     key = F.concat_ws("/", F.col("component"), F.col("b"))
     first = small.unionByName(own.select("id", F.xxhash64("component", "b").alias("task"), key.alias("block"), F.lit(0).alias("side")))
     text = docs.select(F.col("doc_id").alias("id"), "text").where("doc_id is not null")
-    found = cut(linked(first.join(text, "id"), k, percent))
+    first = cut(first)
+    found = cut(linked(first.join(wanted(text, first, "id"), "id"), k, percent))
     if big.isEmpty():
         return found
     done = cut(components(big.select("id"), found.join(big.select(F.col("id").alias("u")), "u", "left_semi").select(
@@ -348,7 +349,8 @@ def links_of(reps: DataFrame, docs: DataFrame, meeting: DataFrame, k: int, perce
     all_ = state.select("id", "component", upto(rest_blocks).alias("i"), F.col("b").alias("j"), F.lit(2).alias("side"))
     pairs = rest.unionByName(all_)
     second = pairs.select("id", F.xxhash64("component", "i", "j").alias("task"), F.concat_ws("/", "component", "i", "j").alias("block"), "side")
-    return found.unionByName(cut(linked(second.join(text, "id"), k, percent)))
+    second = cut(second)
+    return found.unionByName(cut(linked(second.join(wanted(text, second, "id"), "id"), k, percent)))
 
 
 def pivots_of(big: DataFrame) -> DataFrame:
