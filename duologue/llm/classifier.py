@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import fsum
 from operator import eq
 
 import numpy as np
@@ -66,6 +67,11 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def dense_logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Each row in its own fixed order, so that equal rows get equal bits wherever they stand."""
+    return (np.ascontiguousarray(x) * w[:-1]).sum(1) + w[-1]
+
+
 def fit_dense(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     """Weights of a ridge logistic model, the intercept last (Newton's method)."""
     x = np.c_[x, np.ones(len(x))]
@@ -167,7 +173,7 @@ def cotrain(docs: Docs, label: np.ndarray, rounds: int = 3, sure: float = 0.98,
         (ia, ya), (ib, yb) = given
         model.slots, model.bias = fit_content(docs, np.r_[train, ia], np.r_[label[train], ya], max_features)
         model.dense = fit_dense(x[np.r_[train, ib]], np.r_[label[train], yb])
-        views = [content_logit(docs, model.slots, model.bias), x @ model.dense[:-1] + model.dense[-1]]
+        views = [content_logit(docs, model.slots, model.bias), dense_logit(x, model.dense)]
         model.platt = np.array([fit_dense(np.clip(v[held], -30, 30)[:, None], label[held], 0.1) for v in views])
         if k < rounds:  # what one view is sure about teaches the other
             told = []
@@ -256,12 +262,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 raw = (text.as_py() or "").encode()
                 words = raw.lower().split()
                 once = set(words)
-                a.append(sum(map(weight.__getitem__, once)) + model.bias)
+                a.append(fsum(map(weight.__getitem__, once)) + model.bias)  # the same in any order
                 m.append(layout(raw, words, len(once), source[k], lang[k]))
             if not a:
                 continue
             x = (np.array(m) - model.mean) / model.scale
-            got = model.score(np.clip(np.array(a), -30, 30), np.clip(x @ model.dense[:-1] + model.dense[-1], -30, 30))
+            got = model.score(np.clip(np.array(a), -30, 30), np.clip(dense_logit(x, model.dense), -30, 30))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, *(pa.array(v) for v in got), pa.array(got[2] < 0.5)],
                 [*b.schema.names, "content_reject", "metadata_reject", "reject", "keep"])
