@@ -1,8 +1,9 @@
 """Sampled SentencePiece segmentations without replacement (Gumbel top-k by A*), and decoding.
 
 A text is a lattice of vocabulary pieces; the weight of a piece falls with its rank (a power of 1 / rank), and a
-segmentation's probability is in proportion to the product of its pieces' weights. Pieces never cross the start of a run
-of spaces, so the lattice is a sequence of chunk lattices, each computed once for a task and used again.
+segmentation's probability is in proportion to the product of its pieces' weights. No piece of the vocabulary goes over from a word
+into a run of spaces or of certain other characters, so the lattice is a sequence of chunk lattices, each computed once for a
+task and used again.
 
 Top-down A*: the best perturbed score is a Gumbel number and its segmentation an ordinary draw, step by step. What the draw
 left out at each step is a branch; the best perturbed score inside a branch is a Gumbel number at the branch's log
@@ -26,11 +27,21 @@ from pyspark.sql import DataFrame
 from duologue.llm.common import mix
 
 SPACE, STAND_IN = "▁", "\udc80"  # the piece for a space; what a real U+2581 becomes (no valid text holds it)
-CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
-MOST = 1_500_000  # positions kept
+MOST = 3_500_000  # positions kept
 SLOTS = 18  # log2 of the places in the table of piece starts
 
 
+def chunk_pattern(names: list[str]) -> re.Pattern:
+    """Chunks are runs of spaces and marks, then other characters. Marks are ASCII characters other than letters that no piece has
+    right after a character that is neither a mark nor a space. (Marks beyond ASCII would be as right, but make the pattern slow.)"""
+    marks = {c for name in names for c in name if c.isascii() and not c.isalpha()} | {"\n"}
+    steps = {(a, b) for name in names for a, b in zip(name, name[1:], strict=False) if a != SPACE}
+    while late := {b for a, b in steps if b in marks and a not in marks}:
+        marks -= late
+    m = re.escape("".join(sorted(marks)))
+    return re.compile(f"{SPACE}+[{m}]*[^{SPACE}{m}]*|[{m}]+[^{SPACE}{m}]*|[^{SPACE}{m}]+")
+
+
 class Vocabulary:
     def __init__(self, path: str, sharpness: float):
         import sentencepiece
@@ -42,12 +53,16 @@ class Vocabulary:
         plain = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         if any(SPACE in names[i].lstrip(SPACE) for i in plain):
             raise ValueError("a piece crosses the start of a word")
+        self.chunk = chunk_pattern([names[i] for i in plain])
+        self.chars = np.array([1 if m.is_byte(i) else len(names[i]) for i in range(n)], np.int32)
         rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-m.get_score(i), i)))}
         self.score = -sharpness * np.log(np.array([rank.get(i, n) for i in range(n)]) + 2.7)
         self.longest = max(len(names[i]) for i in plain)
         self.bytes = [names[i].replace(SPACE, " ").encode() for i in range(n)]
         for b, i in enumerate(self.byte.tolist()):
             self.bytes[i] = bytes([b])
+        self.flat, self.size = np.frombuffer(b"".join(self.bytes), np.uint8), np.array([len(b) for b in self.bytes], np.int64)
+        self.offset = np.cumsum(self.size) - self.size
         starts: dict[int, list[int]] = {}  # hash of each start of a piece: [piece or -1, whether it goes on]
         chars = [np.array([ord(c) for c in names[i]], np.uint64) for i in plain]
         for i, c in zip(plain, chars, strict=True):
@@ -74,6 +89,12 @@ class Vocabulary:
             lost = lost[(k != h[lost]) & (k != 0)]
         return at
 
+    def raw(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all pieces, and where each piece ends in them."""
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.offset[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes(), ends
+
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids; the space put before it is taken off again."""
         raw = b"".join(map(self.bytes.__getitem__, ids))
@@ -93,19 +114,32 @@ class Lattices:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}  # chunk: its first position
-        self.first, self.count, self.piece, self.next, self.guide, self.source = (np.zeros(0, np.int32) for _ in range(6))
-        self.cum, self.log_p, self.log_rest = (np.zeros(0, np.float64) for _ in range(3))
+        self.positions = self.steps = 0  # used of the arrays, which are longer
+        self.first, self.count, self.piece, self.next, self.guide = (np.zeros(0, np.int32) for _ in range(5))
+        self.cum, self.log_p = (np.zeros(0, np.float64) for _ in range(2))
+
+    def put(self, used: int, **more: np.ndarray) -> None:
+        """Writes behind the first ``used`` items; an array that is full doubles."""
+        for name, values in more.items():
+            array, need = getattr(self, name), used + len(values)
+            if need > len(array):
+                array = np.empty(max(need, min(2 * len(array), need + (1 << 22))), array.dtype)
+                array[:used] = getattr(self, name)[:used]
+                setattr(self, name, array)
+            array[used:need] = values
 
     def starts(self, chunks: list[str]) -> np.ndarray:
-        if len(self.first) > MOST:
+        if self.positions > MOST:
             self.clear()
-        new = [c for c in set(chunks) if c not in self.at]
+        found = list(map(self.at.get, chunks))
+        new = {c for c, at in zip(chunks, found, strict=True) if at is None} if None in found else ()
         if new:
-            self.add(new)
-        return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+            self.add(list(new))
+            found = list(map(self.at.__getitem__, chunks))
+        return np.array(found, np.int64)
 
     def add(self, chunks: list[str]) -> None:
-        v, base, edge_base = self.v, len(self.first), len(self.cum)
+        v, base, edge_base = self.v, self.positions, self.steps
         size = np.array([len(c) for c in chunks], np.int64)
         ends = np.cumsum(size + 1) - 1  # each chunk has one position more than characters
         chars = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -160,13 +194,20 @@ class Lattices:
         guide = np.minimum(guide, bounds[1:][row] - 1)
         first, count = np.zeros(len(chars), np.int32), np.zeros(len(chars), np.int32)
         first[s[rows]], count[s[rows]] = rows + edge_base, many
-        rest = np.where(many[row] > 1, np.log(np.maximum(-np.expm1(np.minimum(log_p, -1e-15)), 1e-300)), -np.inf)
         self.at |= dict(zip(chunks, (base + ends - size).tolist(), strict=True))
-        grow = lambda old, more: np.concatenate((old, more.astype(old.dtype)))
-        self.first, self.count, self.cum = grow(self.first, first), grow(self.count, count), grow(self.cum, cum)
-        self.log_p, self.log_rest, self.piece = grow(self.log_p, log_p), grow(self.log_rest, rest), grow(self.piece, p)
-        self.next, self.guide = grow(self.next, s + n + base), grow(self.guide, guide + edge_base)
-        self.source = grow(self.source, s + base)
+        self.put(base, first=first, count=count)
+        self.put(edge_base, cum=cum, log_p=log_p, piece=p, next=s + n + base, guide=guide + edge_base)
+        self.positions, self.steps = base + len(first), edge_base + len(cum)
+
+    def source(self, steps: np.ndarray) -> np.ndarray:
+        """The positions that steps start from."""
+        p = self.piece[steps]
+        return self.next[steps] - np.where(p < 0, 1, self.v.chars[np.maximum(p, 0)])
+
+    def log_rest(self, steps: np.ndarray) -> np.ndarray:
+        """The log chance of all other steps from the same positions; -inf where there is none."""
+        left = np.log(np.maximum(-np.expm1(np.minimum(self.log_p[steps], -1e-15)), 1e-300))
+        return np.where(self.count[self.source(steps)] > 1, left, -np.inf)
 
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """A step from each position."""
@@ -222,7 +263,7 @@ def sampled(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int)
     """For each text up to k (steps, log probability, perturbed score, log inclusion probability), best first."""
     chunks, sizes = [], []
     for t in texts:
-        c = CHUNK.findall(SPACE + t.replace(SPACE, STAND_IN).replace(" ", SPACE)) if t else []
+        c = lat.v.chunk.findall(SPACE + t.replace(SPACE, STAND_IN).replace(" ", SPACE)) if t else []
         chunks += c
         sizes.append(len(c))
     start, size = lat.starts(chunks), np.array(sizes, np.int64)
@@ -275,7 +316,7 @@ def sampled(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int)
         log_p = lat.log_p[every]
         ahead = np.r_[0.0, np.cumsum(log_p)]
         before = ahead[:-1] - ahead[begins][own]
-        mass = before + lat.log_rest[every]
+        mass = before + lat.log_rest(every)
         mass[place < np.array([p[3] for p in parts], np.int64)[own]] = -np.inf  # branches of the path it comes from
         for x, (_, whole, _, t, _, out) in enumerate(parts):
             if out:  # at the turn all steps drawn so far are out
@@ -305,24 +346,29 @@ def log_inclusion(x: float) -> float:
 
 def others(lat: Lattices, step: int, out: tuple[int, ...]) -> tuple[list[int], list[float]]:
     """The steps at a step's position that are not out, with their chances."""
-    pos = lat.source[step]
+    pos = int(lat.source(np.array([step]))[0])
     es = [e for e in range(lat.first[pos], lat.first[pos] + lat.count[pos]) if e not in out]
     return es, np.exp(lat.log_p[es]).tolist()
 
 
-def ids_of(lat: Lattices, steps: np.ndarray) -> np.ndarray:
+def pieces_of(lat: Lattices, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The piece ids of all steps, and how many each step has: one, or the bytes of a character without a piece."""
     p = lat.piece[steps]
-    if not (p < 0).any():
-        return p
-    spelt = np.flatnonzero(p < 0)
-    chars = [SPACE if c == STAND_IN else c for c in map(chr, (-1 - p[spelt]).tolist())]
     size = np.ones(len(p), np.int64)
-    size[spelt] = [len(c.encode()) for c in chars]
+    spelt = np.flatnonzero(p < 0)
+    if not len(spelt):
+        return p, size
+    raws = [(SPACE if c == STAND_IN else c).encode() for c in map(chr, (-1 - p[spelt]).tolist())]
+    size[spelt] = [len(r) for r in raws]
     out, first = np.repeat(p, size), np.cumsum(size) - size
-    for at, c in zip(first[spelt].tolist(), chars, strict=True):
-        raw = c.encode()
-        out[at: at + len(raw)] = lat.v.byte[list(raw)]
-    return out
+    flat = np.frombuffer(b"".join(raws), np.uint8)
+    n = size[spelt]
+    out[np.repeat(first[spelt] - (np.cumsum(n) - n), n) + np.arange(len(flat))] = lat.v.byte[flat]
+    return out, size
+
+
+def ids_of(lat: Lattices, steps: np.ndarray) -> np.ndarray:
+    return pieces_of(lat, steps)[0]
 
 
 KEPT: dict[tuple[str, float], Lattices] = {}  # of a worker, over its tasks
@@ -351,17 +397,23 @@ def segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, seed: int
 
         def flush(ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
             keys = [xxhash.xxh3_64_intdigest(str(i)) for i in ids]
-            cols: list[list] = [[] for _ in range(8)]
-            for i, t, got in zip(ids, texts, sampled(lat, texts, keys, k, seed), strict=True):
-                for rank, (steps, lp, top, inclusion) in enumerate(got, 1):
-                    pieces = ids_of(lat, steps)
-                    ok = v.decode(pieces.tolist()) == t
-                    for c, x in zip(cols, (i, rank, len(pieces), lp, top, inclusion, ok, pieces.astype(np.int32)), strict=True):
-                        c.append(x)
-            bounds = np.r_[0, np.cumsum([len(x) for x in cols[7]])].astype(np.int32)
-            flat = pa.array(np.concatenate(cols[7]) if cols[7] else np.zeros(0, np.int32))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:7], kinds, strict=True)), pa.ListArray.from_arrays(pa.array(bounds), flat)],
+            cols: list[list] = [[] for _ in range(5)]
+            whose, steps = [], []
+            for x, got in enumerate(sampled(lat, texts, keys, k, seed)):
+                for rank, (own, lp, top, inclusion) in enumerate(got, 1):
+                    whose.append(x)
+                    steps.append(own)
+                    for c, value in zip(cols, (ids[x], rank, lp, top, inclusion), strict=True):
+                        c.append(value)
+            pieces, each = pieces_of(lat, np.concatenate(steps) if steps else np.zeros(0, np.int64))
+            bounds = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum([len(o) for o in steps])].astype(np.int64)]
+            raw, ends = v.raw(pieces)
+            at = np.r_[0, ends][bounds].tolist()
+            said = [(" " + t).encode() if t else b"" for t in texts]
+            same = [raw[a:b] == said[x] for x, a, b in zip(whose, at, at[1:], strict=False)]
+            number, rank, lp, top, inclusion = (pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), *[pa.float64()] * 3), strict=True))
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(pieces.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([number, rank, pa.array(np.diff(bounds)), lp, top, inclusion, pa.array(same, pa.bool_()), lists],
                                               ["doc_id", "rank", "n_pieces", "log_prob", "score", "log_inclusion", "round_trip", "ids"])
 
         ids, texts, size = [], [], 0
