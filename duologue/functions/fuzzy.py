@@ -1,12 +1,17 @@
 """Edit similarity of two texts (0..100), as Arrow-batched functions.
 
-Longest common subsequences are counted with one big integer per text, a bit for each letter.
+Longest common subsequences are counted with one big integer per text, a bit for each letter. Where only similarities over a cutoff
+matter, most pairs are settled before that, by the q-gram count bound: let w be a window of k letters that shares l letters in order
+with a text of m. Each of the k - l and m - l other letters spoils q or q - 1 of the q-grams, so at least
+(2q - 1) l - (q - 1)(m + k) - (q - 1) are common. Hashed q-grams can only add to the count, never take from it.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -57,6 +62,12 @@ def _best_window(short: str, long: str, floor: float) -> float:
             return best
         need = int(best * m / 100.0) + 1  # smallest common length that beats best
         i += max(1, need - got)
+    return _best_end(short, long, best, cap, masks)
+
+
+def _best_end(short: str, long: str, best: float, cap: int, masks: dict[str, int]) -> float:
+    """The same for the windows at the two ends of ``long`` that are shorter than ``short``."""
+    m, n = len(short), len(long)
     for cut in (lambda k: long[:k], lambda k: long[n - k:]):
         k = min(m - 1, n)
         while k > 0:
@@ -73,6 +84,52 @@ def _best_window(short: str, long: str, floor: float) -> float:
     return best
 
 
+def letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    """A hash of each run of q letters."""
+    n = max(0, len(codes) - q + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(q):
+        h = (h + codes[i:i + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def least_common(m: int, k, floor: float):
+    """Letters in order that a window of k letters shares with a text of m at least, if its ratio is over ``floor``."""
+    return (floor * (m + k) / 200 + 1 - 1e-6).astype(np.int64) if isinstance(k, np.ndarray) else int(floor * (m + k) / 200 + 1 - 1e-6)
+
+
+def least_window(m: int, floor: float) -> int:
+    """Letters of the shortest window that can have a ratio over ``floor``."""
+    k = max(1, int(floor * m / (200 - floor)))
+    while k < m and least_common(m, k, floor) > k:
+        k += 1
+    return k
+
+
+def least_grams(m: int, k: int, q: int, floor: float) -> int:
+    return (2 * q - 1) * least_common(m, k, floor) - (q - 1) * (m + k) - (q - 1)
+
+
+def within_reach(a: str, b: str, floor: float) -> bool:
+    """May a window of the longer text b have a ratio over ``floor`` with a? By the q-grams that both texts hold, counted as often as both do."""
+    x, y, m = letters(a), letters(b), len(a)
+    k = least_window(m, floor)
+    for q in (3, 4):
+        need = min(least_grams(m, k, q, floor), least_grams(m, m, q, floor))
+        if need > 0:
+            g, n = np.unique(gram_hashes(x, q), return_counts=True)
+            h, c = np.unique(gram_hashes(y, q), return_counts=True)
+            at = np.minimum(np.searchsorted(h, g), len(h) - 1)
+            if np.minimum(n, c[at])[h[at] == g].sum() < need:
+                return False
+    return True
+
+
 def partial_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
     """Best ratio of the shorter text against any window of the longer one; 0 where it stays below ``cutoff``."""
     if not a and not b:
@@ -82,12 +139,151 @@ def partial_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
     if len(a) > len(b):
         a, b = b, a
     floor = max(0.0, cutoff - 1e-9)
+    if floor > 0 and len(a) > 64 and not within_reach(a, b, floor):
+        return 0.0
     best = _best_window(a, b, floor)
     if len(a) == len(b) and best < 100.0:
         best = max(best, _best_window(b, a, best))
     return best if best > floor or cutoff <= 0 else 0.0
 
 
+TABLE = 1 << 14  # places of the table of an item's grams
+LANES = 1 << 17
+
+
+def _near_windows(text: dict[int, np.ndarray], n: int, item: np.ndarray, floor: float) -> tuple[np.ndarray, list[bool]]:
+    """Starts of the windows of a text that may have a ratio over ``floor`` with the item by their q-grams, and whether shorter
+    windows at its two ends may."""
+    m = len(item)
+    ok = np.ones(n - m + 1, bool)
+    ends = [True, True]
+    k = least_window(m, floor)
+    for q, slots in text.items():
+        least, ends_least = least_grams(m, m, q, floor), min(least_grams(m, k, q, floor), least_grams(m, m, q, floor))
+        if ends_least <= 0:
+            continue
+        table = np.zeros(TABLE, bool)
+        table[gram_hashes(item, q) >> np.uint64(50)] = True
+        seen = np.zeros(len(slots) + 1, np.int32)
+        np.cumsum(table[slots], out=seen[1:])
+        count = seen[m - q + 1:] - seen[:len(seen) - (m - q + 1)]
+        ends = [e and int(count[at]) >= ends_least for e, at in zip(ends, (0, -1), strict=True)]
+        ok &= count >= least
+    return np.flatnonzero(ok), ends
+
+
+def _lane_common(codes: np.ndarray, start: np.ndarray, of: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
+    """Common letters of item ``of`` and the window of its length at ``start`` in codes, for all lanes at once; items in falling length."""
+    size = np.array([len(x) for x in items], np.int64)
+    words, alphabet = int(size.max() + 63) // 64, int(codes.max()) + 1
+    flat, at = np.concatenate(items), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    known = flat < alphabet
+    masks = np.zeros((words, len(items), alphabet), np.uint64)
+    np.bitwise_or.at(masks, (at[known] >> 6, np.repeat(np.arange(len(items)), size)[known], flat[known]), np.uint64(1) << (at[known] & 63).astype(np.uint64))
+    left = np.clip(size[of] - 64 * np.arange(words)[:, None], 0, 64)
+    full = np.where(left == 64, ~np.uint64(0), (np.uint64(1) << (left % 64).astype(np.uint64)) - np.uint64(1))
+    state, long = full.copy(), size[of]
+    for j in range(int(size.max())):
+        lanes = int(np.searchsorted(-long, -j, "left"))  # those with more than j letters
+        c, i, carry = codes[start[:lanes] + j], of[:lanes], np.zeros(lanes, bool)
+        for w in range(words):
+            s = state[w, :lanes]
+            u = s & masks[w, i, c]
+            t = s + u
+            over = t < s
+            t += carry
+            carry = over | (carry & (t == 0))
+            state[w, :lanes] = (t | (s - u)) & full[w, :lanes]
+    return long - np.bitwise_count(state).sum(0).astype(np.int64)
+
+
+def _lanes_common(lanes: list[tuple[int, int, np.ndarray, np.ndarray]], texts: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """Common letters for each (text, item, its codes, starts) and each start."""
+    base = dict(zip(texts, np.cumsum([0, *map(len, texts.values())]).tolist(), strict=False))
+    codes, out = np.concatenate(list(texts.values())), [np.zeros(0, np.int64)] * len(lanes)
+    order = sorted(range(len(lanes)), key=lambda x: -len(lanes[x][2]))
+    words = [(len(lanes[x][2]) + 63) // 64 for x in order]
+    for w in set(words):
+        group = [x for x, y in zip(order, words, strict=True) if y == w]
+        n = [len(lanes[x][3]) for x in group]
+        start = np.concatenate([lanes[x][3] + base[lanes[x][0]] for x in group])
+        common = _lane_common(codes, start, np.repeat(np.arange(len(group)), n), [lanes[x][2] for x in group])
+        for x, got in zip(group, np.split(common, np.cumsum(n)[:-1]), strict=True):
+            out[x] = got
+    return out
+
+
+def near_items(items: Sequence[Sequence[str]], texts: Sequence[str], cutoff: float) -> list[list[bool]]:
+    """For each text and each of its items: is their partial ratio over ``cutoff``?
+
+    Windows that pass the q-gram bound are looked at in steps (moving a window by s letters changes the common letters by s at
+    most), then one by one where that leaves a chance. Windows at the ends that are shorter than the item are compared in turn, where the
+    first or the last whole window shares enough.
+    """
+    floor = max(0.0, cutoff - 1e-9)
+    out = [[False] * len(own) for own in items]
+    alphabet = np.unique(np.concatenate([letters(t) for t in texts] or [np.zeros(0, "<u4")]))
+
+    def code(x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(alphabet, x), len(alphabet) - 1)
+        return np.where(alphabet[at] == x, at, len(alphabet))
+
+    waiting: list[tuple[int, int, np.ndarray, np.ndarray, list[bool]]] = []  # text, item, the item's codes, windows, ends
+
+    def settle() -> None:
+        plain = {t: code(letters(texts[t])) for t in dict.fromkeys(w[0] for w in waiting)}
+        lanes, steps = [], []
+        for t, k, x, windows, ends in waiting:
+            last, step = len(plain[t]) - len(x), len(x) // 5 | 1
+            starts = np.minimum(windows // step * step + step // 2, last)
+            lanes.append((t, k, x, np.unique(np.r_[starts, [0] * ends[0], [last] * ends[1]].astype(np.int64))))
+            steps.append(step)
+        close = []
+        for (t, k, x, windows, ends), (*_, starts), step, got in zip(waiting, lanes, steps, _lanes_common(lanes, plain) if lanes else (), strict=True):
+            m, last = len(x), len(plain[t]) - len(x)
+            good = starts[got >= least_common(m, m, floor) - step // 2]
+            stands_for = np.minimum(windows // step * step + step // 2, last)
+            windows = windows[np.isin(stands_for, good)]
+            if len(windows):
+                close.append((t, k, x, windows))
+            short = least_common(m, least_window(m, floor), floor)
+            if ends[0] and got[0] >= short or ends[1] and got[-1] >= short:
+                a, b = items[t][k], texts[t]
+                cap = sum((Counter(a) & Counter(b)).values())
+                out[t][k] = _best_end(a, b, floor, cap, _masks(a)) > cutoff
+        for (t, k, x, _), got in zip(close, _lanes_common(close, plain) if close else (), strict=True):
+            out[t][k] |= bool((100.0 * got / len(x) > cutoff).any())
+        waiting.clear()
+
+    held = 0
+    for t, (own, text) in enumerate(zip(items, texts, strict=True)):
+        plain = letters(text)
+        grams = {q: (gram_hashes(plain, q) >> np.uint64(50)).astype(np.int64) for q in (2, 3)}
+        for k, item in enumerate(own):
+            if not 3 < len(item) < len(text) or len(item) > 1024:
+                out[t][k] = partial_ratio(item, text, cutoff) > cutoff
+                continue
+            windows, ends = _near_windows(grams, len(text), letters(item), floor)
+            if len(windows) or any(ends):
+                waiting.append((t, k, code(letters(item)), windows, ends))
+                held += len(windows) // 8 + 1
+        if held > LANES:
+            settle()
+            held = 0
+    settle()
+    return out
+
+
+def near_items_udf(cutoff: float):
+    """(items, text) -> for each item whether its partial ratio with the text is over ``cutoff``; the text comes once for all its items."""
+    @F.pandas_udf("array<boolean>")
+    def near(items: pd.Series, texts: pd.Series) -> pd.Series:
+        own = [[x or "" for x in (row if row is not None else ())] for row in items]
+        return pd.Series(near_items(own, [t or "" for t in texts], cutoff))
+
+    return near
+
+
 def ratio_udf():
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duologue.functions.fuzzy import partial_ratio_udf, ratio_udf
+from duologue.functions.fuzzy import near_items_udf, partial_ratio_udf, ratio_udf
 from duologue.functions.text import strip
 
 # Allowed tags, and the patterns that mark guidance nobody can act on in talk.
@@ -137,14 +137,15 @@ def key_leaks(df: DataFrame, key: str, conditions: str, triggers: str, public: C
     Conditions are held against everything public, triggers only against what the partner sees.
     """
     none = F.array().cast("array<string>")
-    items = F.concat(
-        F.transform(F.coalesce(F.col(conditions), none), lambda x: F.struct(F.lit("movement_condition").alias("kind"), x.alias("item"))),
-        F.transform(F.coalesce(F.col(triggers), none), lambda x: F.struct(F.lit("hardening_trigger").alias("kind"), x.alias("item"))))
-    rows = df.select(key, public.alias("__p"), partner_public.alias("__q"), F.inline(items))
-    seen = F.when(F.col("kind") == "movement_condition", F.col("__p")).otherwise(F.col("__q"))
-    return rows.select(key, "kind", "item",
-                       (partial_ratio_udf(limit)(F.lower("item"), F.lower(seen)) > limit).alias("leaks"),
-                       first_hit(F.col("item"), KEY_ARTIFACTS).alias("artifact"))
+
+    def judged(kind: str, items: str, seen: Column) -> Column:
+        own = F.coalesce(F.col(items), none)
+        leaks = near_items_udf(limit)(F.transform(own, F.lower), F.lower(seen))
+        return F.transform(F.arrays_zip(own.alias("item"), leaks.alias("leaks")), lambda x: F.struct(F.lit(kind).alias("kind"), x["item"].alias("item"), x["leaks"].alias("leaks")))
+
+    rows = df.select(key, judged("movement_condition", conditions, public).alias("__c"), judged("hardening_trigger", triggers, partner_public).alias("__t"))
+    return rows.select(key, F.inline(F.concat("__c", "__t"))).select(
+        key, "kind", "item", "leaks", first_hit(F.col("item"), KEY_ARTIFACTS).alias("artifact"))
 
 
 def entry_issues(both_lower: Column, guidance: Column, guidance_lower: Column, provenance: Column) -> Column:
