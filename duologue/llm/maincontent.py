@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(?:>|\Z)", re.S)  # a quote counts only where a value begins
 #: Ends of the elements that hold no elements; without one they reach to the end of the page.
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title")}
 #: Elements whose text is not the page's; an unclosed one ends with its container.
 SKIP = frozenset("noscript template svg math select iframe object audio video canvas button".split())
-ATTRS = re.compile(r"\b(class|id|role|aria-label|hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute after another, so that nothing inside a value or another name is taken for one.
+ATTRS = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
                    "strong sub sup time tt u var wbr".split())
@@ -39,6 +40,11 @@ OUT_WORDS = frozenset("ad ads adv advert advertisement adverts adsense banner br
                       "cookies disclaimer disqus dropdown footer gdpr login menu menubar modal nav navbar navigation newsletter notice overlay "
                       "pager pagination popup promo promoted promotion recommend recommended related replies reply respond search share sharing "
                       "sidebar signin signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
+#: Words that may stand beside one of those in a name: "site-footer", "comments-area", "ad-slot-2"; any other word ("share-price") makes it another name.
+BESIDE_WORDS = frozenset("area article articles bar block body bottom box btn button buttons col column container content div entries entry form global group header "
+                         "holder icon icons id inner item items js left link links list main message module new outer page panel post posts primary "
+                         "recent right row section secondary site slot social title top unit view wrap wrapper".split())
+REPLY_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
 HEAD_WORDS = frozenset("header masthead heading-bar".split())
 DEEPEST = 512  # steps of a place in the tree; deeper elements take their place from the one above
 IN_WORDS = frozenset("article body content entry main post story text".split())
@@ -72,20 +78,22 @@ class Block:
     header: bool
     headline: bool
     path: tuple[int, ...]
+    doubt: int = 0  # the element whose name alone puts the block outside
 
 
 class Element:
-    __slots__ = ("foreign", "header", "inside", "key", "link", "named", "out", "path", "skip", "tag")
+    __slots__ = ("doubt", "foreign", "header", "inside", "key", "link", "named", "out", "path", "skip", "tag")
 
     def __init__(self, tag: str, key: int, above: Element | None, attrs: str):
         self.tag, self.key = tag, key
         self.inside, self.named, self.out, self.header, self.link = (above.inside, above.named, above.out, above.header, above.link) \
             if above else (False, False, False, False, False)
+        self.doubt = above.doubt if above else 0
         self.path = (key,) if not above else above.path if tag in INLINE or len(above.path) >= DEEPEST else (*above.path, key)
         self.skip = tag in SKIP or above is not None and above.skip
         self.foreign = tag in ("svg", "math") or above is not None and above.foreign
         if tag in IN_TAGS:
-            self.inside = True
+            self.inside, self.doubt = True, 0  # what holds the article is not outside, whatever its name
         elif tag in OUT_TAGS:
             self.out = True
         elif tag == "header" and not self.inside:
@@ -100,11 +108,17 @@ class Element:
             name, value = name.lower(), "".join(values)
             if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
                 self.out = True
+            if name == "role" and value in ("navigation", "complementary", "contentinfo", "alert", "search"):
+                self.out = True
             if name not in ("class", "id", "role", "aria-label"):
                 continue
-            words = {w.lower() for w in WORD.findall(value)}
-            if words & OUT_WORDS or name == "role" and value in ("navigation", "complementary", "contentinfo", "alert", "search"):
+            parts = [{w.lower() for w in WORD.findall(part)} for part in ([value] if name == "aria-label" else value.split())]
+            words = set().union(*parts)
+            told = [p & OUT_WORDS for p in parts if p & OUT_WORDS and all(w in OUT_WORDS or w in BESIDE_WORDS or w.isdigit() for w in p)]
+            if any(t & REPLY_WORDS for t in told):
                 self.out = True
+            elif told and self.tag not in IN_TAGS:
+                self.doubt = self.doubt or self.key
             elif words & HEAD_WORDS and not self.inside:
                 self.header = True
             elif words & IN_WORDS or value == "main":
@@ -126,7 +140,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 linked = sum(len(p.split()) for p, link in pieces if link)
                 out.append(Block(text, text.count(" ") + 1, linked, where.inside, where.named, where.out, where.header,
-                                 any(open_[h] for h in ("h1", "h2", "h3")), where.path))
+                                 any(open_[h] for h in ("h1", "h2", "h3")), where.path, where.doubt))
             pieces = []
 
     def innermost(tag: str, barrier: frozenset[str] = frozenset()) -> int:
@@ -151,10 +165,10 @@ def blocks_of(page: str) -> list[Block]:
                 where = stack[-1]
             pieces.append((html.unescape(page[at: m.start()]), stack[-1].link))
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        closing, attrs = m[1] if m[2] else m[4], (m[3] if m[2] else m[6]) or ""
+        closing, attrs = m[1], m[3] or ""
         whole = attrs.endswith("/") and (stack[-1].foreign or tag in ("svg", "math"))
         if tag == "br":
             if not skip:
@@ -278,6 +292,12 @@ def main_text(page: str | None, weights: Weights = Weights()) -> str:  # noqa: B
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
+    under = Counter()
+    for b in blocks:
+        under[b.doubt] += b.words * (not b.out)
+    whole = 0 if any(b.inside and not (b.out or b.doubt) for b in blocks) else sum(under.values())
+    for b in blocks:  # a name puts an element outside, unless it holds most of the words of a page without an article
+        b.out |= b.doubt > 0 and not 2 * under[b.doubt] > whole > 0
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
@@ -295,7 +315,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of pages: page_id, url, text, n_chars.
 
     Null, empty or text-free html gives an empty text; broken markup (unclosed elements, a page cut anywhere) is read to its
-    end; an unclosed element without text of the page, such as a button, ends with its container. Character references are decoded once, white space inside a block is one space, blocks are joined by one newline.
+    end; an unclosed element without text of the page, such as a button, ends with its container. An element is outside by its tag, its role, or by a name made up of
+    words for such parts; a name does not count for an article, for what holds one, or for what holds most of the words of a page without one. Repeated rows are extracted
+    once each, other columns are not read. Character references are decoded once, white space inside a block is one space, blocks are joined by one newline.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
