@@ -105,6 +105,19 @@ def roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (h + c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29))
 
 
+class Numbers(dict):
+    """Numbers chunks as they come; those not met before are also listed as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Lattices:
     """Lattices of chunks: positions with their steps (piece, chance, next position), and a guide into the chances."""
 
@@ -113,7 +126,8 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}  # chunk: its first position
+        self.at = Numbers()  # of chunks; ``begin`` has their first positions
+        self.begin = np.zeros(0, np.int64)
         self.positions = self.steps = 0  # used of the arrays, which are longer
         self.first, self.count, self.piece, self.next, self.guide = (np.zeros(0, np.int32) for _ in range(5))
         self.cum, self.log_p = (np.zeros(0, np.float64) for _ in range(2))
@@ -131,14 +145,14 @@ class Lattices:
     def starts(self, chunks: list[str]) -> np.ndarray:
         if self.positions > MOST:
             self.clear()
-        found = list(map(self.at.get, chunks))
-        new = {c for c, at in zip(chunks, found, strict=True) if at is None} if None in found else ()
-        if new:
-            self.add(list(new))
-            found = list(map(self.at.__getitem__, chunks))
-        return np.array(found, np.int64)
-
-    def add(self, chunks: list[str]) -> None:
+        number = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        if self.at.new:
+            self.put(len(self.at) - len(self.at.new), begin=self.add(self.at.new))
+            self.at.new = []
+        return self.begin[number]
+
+    def add(self, chunks: list[str]) -> np.ndarray:
+        """Builds the lattices of new chunks and returns their first positions."""
         v, base, edge_base = self.v, self.positions, self.steps
         size = np.array([len(c) for c in chunks], np.int64)
         ends = np.cumsum(size + 1) - 1  # each chunk has one position more than characters
@@ -194,10 +208,10 @@ class Lattices:
         guide = np.minimum(guide, bounds[1:][row] - 1)
         first, count = np.zeros(len(chars), np.int32), np.zeros(len(chars), np.int32)
         first[s[rows]], count[s[rows]] = rows + edge_base, many
-        self.at |= dict(zip(chunks, (base + ends - size).tolist(), strict=True))
         self.put(base, first=first, count=count)
         self.put(edge_base, cum=cum, log_p=log_p, piece=p, next=s + n + base, guide=guide + edge_base)
         self.positions, self.steps = base + len(first), edge_base + len(cum)
+        return base + ends - size
 
     def source(self, steps: np.ndarray) -> np.ndarray:
         """The positions that steps start from."""
@@ -206,8 +220,11 @@ class Lattices:
 
     def log_rest(self, steps: np.ndarray) -> np.ndarray:
         """The log chance of all other steps from the same positions; -inf where there is none."""
-        left = np.log(np.maximum(-np.expm1(np.minimum(self.log_p[steps], -1e-15)), 1e-300))
-        return np.where(self.count[self.source(steps)] > 1, left, -np.inf)
+        p = self.log_p[steps]
+        left = np.log(np.maximum(-np.expm1(np.minimum(p, -1e-15)), 1e-300))
+        sure = np.flatnonzero(p > -1e-9)
+        left[sure[self.count[self.source(steps[sure])] == 1]] = -np.inf
+        return left
 
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """A step from each position."""
