@@ -1,8 +1,8 @@
 """Connected components by contraction and stars, for graphs of any shape and size.
 
 Every step writes edges from a node to a smaller one that it is connected with. Before edges are shuffled, each task contracts its own
-to a spanning forest of depth one (union-find), so that cycles, repeated edges and most of the length of paths never travel. Then
-edges are sorted by node over ranges, and the neighbours of a node hang on the smallest of them: large stars and small
+to a spanning forest of depth one (union-find), so that cycles, repeated edges and most of the length of paths never travel. A forest that one task can hold is
+the answer. Otherwise edges are sorted by node over ranges, and the neighbours of a node hang on the smallest of them: large stars and small
 stars in turn (Kiveris et al., 2014). A range may end in the middle of a hub's neighbours; the few nodes at the ends of ranges are
 settled by the driver, which sees two rows for each range. So no node is a task of its own, and none needs a salt.
 """
@@ -142,18 +142,25 @@ def _settled(step: DataFrame, large: bool) -> tuple[DataFrame, bool]:
     return rows.where("u <> v").select("u", "v"), busy
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, rounds: list[int] | None = None, at_once: int = EDGES) -> DataFrame:
     """L2: (id, component), the smallest id of the weakly connected component of each row of nodes(id).
 
-    Edges(parent, child) are integers; edges with a null end, loops and repeats change nothing. ``rounds`` gets the number of edges each round began with.
+    Edges(parent, child) are integers; edges with a null end, loops and repeats change nothing. Each round contracts in as few tasks as can hold
+    ``at_once`` edges each; where that is one task, its forest is the answer, else stars bring together what tasks could not see.
+    ``rounds`` gets the number of edges each round began with.
     """
     spark = edges.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     steps = Steps(spark, "components")
-    e = steps.write(contracted(edges.select(F.col("parent").alias("u"), F.col("child").alias("v"))))
+    e = steps.write(contracted(edges.select(F.col("parent").alias("u"), F.col("child").alias("v")), at_once))
     while True:
+        n = e.count()
         if rounds is not None:
-            rounds.append(e.count())
+            rounds.append(n)
+        tasks = max(1, -(-n // at_once))
+        e = steps.write(contracted(e.coalesce(tasks), 2 * at_once))
+        if tasks == 1:
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large, work_large = _settled(steps.write(_hung(both, True, parts)), True)
         e, work_small = _settled(steps.write(_hung(large, False, parts)), False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from duologue.operators.scale import near_rows, rank_rows, running_sums
 from duologue.operators.summaries import wilson
-from duologue.session import cut
+from duologue.session import cut, fresh_path
 
 
 def sliding_share(series: DataFrame, order: str, hit: Column, width: int = 21) -> DataFrame:
@@ -73,20 +75,20 @@ def child_priors(children: DataFrame, roots: DataFrame, mass: float = 4.0) -> Da
 
     children(id, parent, iteration, alpha, beta), roots(id, prior_alpha, prior_beta). The votes of earlier
     siblings do not depend on priors, so they come from one prefix sum; priors then follow one depth at a
-    time. Each depth is checkpointed, so the lineage of the plan stays short.
+    time. Each depth is written into one folder, which is read as one table at the end.
     """
     before = running_sums(children, ["parent"], [F.col("iteration"), F.col("id")],
                           {"a0": F.col("alpha"), "b0": F.col("beta")}, F.col("iteration"), inclusive=False, then=F.col("id"))
     before = cut(before.select("id", "parent", "a0", "b0"))
     level = roots.select("id", F.col("prior_alpha").cast("double"), F.col("prior_beta").cast("double"))
-    done = None
-    while True:
+    folder = fresh_path(before.sparkSession, "priors")
+    for depth in count():
         p = level.select(F.col("id").alias("parent"), F.col("prior_alpha").alias("pa"), F.col("prior_beta").alias("pb"))
         a, b = F.col("pa") + F.col("a0"), F.col("pb") + F.col("b0")
         m = a + b
         scale = F.when((F.lit(mass) > 0) & (m > mass), F.lit(mass) / m).otherwise(F.lit(1.0))
-        level = cut(before.join(p, "parent").select("id", (a * scale).alias("prior_alpha"), (b * scale).alias("prior_beta")))
+        next_ = before.join(p, "parent").select("id", (a * scale).alias("prior_alpha"), (b * scale).alias("prior_beta"))
+        next_.write.parquet(f"{folder}/depth={depth}")
+        level = before.sparkSession.read.schema(next_.schema).parquet(f"{folder}/depth={depth}")
         if level.isEmpty():
-            break
-        done = level if done is None else done.unionByName(level)
-    return done if done is not None else level
+            return before.sparkSession.read.schema(next_.schema).parquet(folder).select("id", "prior_alpha", "prior_beta")

@@ -22,10 +22,10 @@ def slow(n, edges):
     return {i: find(i) for i in range(n)}
 
 
-def run(spark, n, edges, parts=5, rounds=None):
+def run(spark, n, edges, parts=5, rounds=None, at_once=40):
     nodes = spark.range(n).select("id")
     e = spark.createDataFrame(edges, "parent long, child long").repartition(parts)
-    rows = G.components(nodes, e, rounds).collect()
+    rows = G.components(nodes, e, rounds, at_once).collect()  # few edges at once, so that stars have work to do
     assert len(rows) == n
     return {r.id: r.component for r in rows}
 
@@ -51,9 +51,9 @@ def test_long_chain_in_few_rounds(spark):
 
 
 def test_star_is_contracted_before_it_travels(spark):
-    edges = shuffled([(4000, i) for i in range(4000)] * 3, 3)
+    edges = shuffled([(4000, i) for i in range(4000)] * 3, 3)  # of 12,000 edges with 3 copies
     e = spark.createDataFrame(edges, "u long, v long").repartition(4)
-    assert G.contracted(e).count() <= 4 * 4000  # a forest in each partition, of 12,000 edges with 3 copies
+    assert G.contracted(e).count() <= 4 * 4000  # a forest in each partition
     rounds = []
     assert set(run(spark, 4001, edges, rounds=rounds).values()) == {0}
     assert len(rounds) <= 4
@@ -78,7 +78,10 @@ def test_random_graphs(spark, seed):
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([100, 250, 600]))]
     hubs = [(rng.randrange(n), h) for h in rng.sample(range(n), 3) for _ in range(rng.choice([0, 150]))]
     odd = [(None, 3), (4, None), (None, None), (9, 9), *edges[:20]]
-    assert run(spark, n, edges + hubs + odd, parts=rng.choice([1, 3, 7])) == slow(n, edges + hubs)
+    e, parts = edges + hubs + odd, rng.choice([1, 3, 7])
+    want = slow(n, edges + hubs)
+    assert run(spark, n, e, parts) == want
+    assert run(spark, n, e, parts, at_once=1000) == want  # one task holds the forest
 
 
 def test_hub_with_its_smaller_neighbours_in_one_range_and_larger_in_others(spark):

@@ -68,3 +68,61 @@ def test_closest_parent_and_known_edges(spark):
     assert L.known_edges(e, pts.select("id")).count() == 2
     assert L.audit_rows(emb, e.where("parent < 9"), emb.where("id = 3")).count() == 2
     assert L.audit_rows(emb, e.where("parent < 9"), emb.where("id = 1"), 2).count() == 2
+
+
+def test_long_chain_in_few_rounds(spark):
+    n, e = graph(spark, 2003, [(i, i + 1) for i in range(1999)] + [(2001, 2002), (2002, 2001)])  # and a cycle that no seed reaches
+    rounds = []
+    g = L.Junctions(n.where("id = 0"), e, rounds)
+    assert len(rounds) <= 13 and g.links.count() == 0
+    assert {r["id"]: r["depth"] for r in L.depth_from(None, None, g).collect()} == {i: i for i in range(2000)}
+    assert [tuple(r) for r in L.fan_out(n.where("id = 0"), n.where("id % 2 = 1"), e, graph=g).collect()] == [(0, 1000)]
+
+
+def test_random_lineages(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        size = 120
+        edges = [(rng.randrange(max(0, c - 30), c), c) for c in range(6, size) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] + [(None, 9), (50, 50)]
+        n, e = graph(spark, size, edges)
+        e = e.unionByName(e.limit(5))
+        seeds = [0, 1, 2, 3, 4, 5, 40]
+        s = n.where(F.col("id").isin(seeds))
+        down = {}
+        for a, b in edges:
+            if a is not None and a != b:
+                down.setdefault(a, set()).add(b)
+        depth, front = {x: 0 for x in seeds}, list(seeds)
+        for x in front:
+            for y in sorted(down.get(x, ())):
+                if y not in depth:
+                    depth[y] = depth[x] + 1
+                    front.append(y)
+        most = {x: 0 for x in seeds}
+        for _ in range(size):
+            for x in list(most):
+                for y in down.get(x, ()):
+                    most[y] = max(most.get(y, 0), most[x] + 1)
+        reach = set()
+        for x in seeds:
+            seen, todo = {x}, [x]
+            while todo:
+                for y in down.get(todo.pop(), ()):
+                    if y not in seen and y not in seeds:
+                        seen.add(y)
+                        todo.append(y)
+            reach |= {(x, y) for y in seen}
+        assert {r["id"]: r["depth"] for r in L.depth_from(s, e).collect()} == depth
+        assert {r["id"]: r["longest"] for r in L.longest_from(s, e).collect()} == most
+        assert {(r["seed"], r["id"]) for r in L.seed_reach(s, e).collect()} == reach
+        fans = {r["seed"]: r["fan_out"] for r in L.fan_out(s, n.where("id > 5"), e, include_zero=True).collect()}
+        assert fans == {x: sum(1 for a, y in reach if a == x and y > 5) for x in seeds}
+
+
+def test_cycle_below_a_seed_is_an_error(spark):
+    n, e = graph(spark, 6, [(0, 1), (1, 2), (2, 3), (3, 1)])
+    import pytest
+
+    with pytest.raises(ValueError):
+        L.longest_from(n.where("id = 0"), e).collect()
+    assert {r["id"]: r["depth"] for r in L.depth_from(n.where("id = 0"), e).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
