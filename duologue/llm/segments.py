@@ -291,9 +291,10 @@ def sampled(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int)
     rows = [Row() for _ in texts]
     for r in range(k):
         tag = np.uint64((r + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
-        steps, n = lat.walk(start, mix(base[row] + nth.astype(np.uint64) * np.uint64(0x165667B19E3779F9) + tag))
-        bounds = np.r_[0, np.cumsum(n)]  # of each chunk's fresh steps
+        spot = nth.astype(np.uint64) * np.uint64(0x165667B19E3779F9) + tag
         if r == 0:
+            steps, n = lat.walk(start, mix(base[row] + spot))
+            bounds = np.r_[0, np.cumsum(n)]  # of each chunk's fresh steps
             tops = gumbel(uniform(base ^ tag))
             parts = [(i, steps[bounds[begin[i]]: bounds[begin[i] + size[i]]], np.repeat(nth[begin[i]: begin[i] + size[i]], n[begin[i]: begin[i] + size[i]]),
                       0, float(tops[i]), ()) for i in range(len(texts))]
@@ -305,23 +306,25 @@ def sampled(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int)
                     best = max(row_.queue)
                     row_.queue.remove(best)
                     popped.append((i, best))
-            turns = []
+            turns, after = [], []
             us = uniform(base ^ (tag + np.uint64(17)))
             for i, (_, p, t, out) in popped:  # another step than those drawn there before
                 es, w = others(lat, int(rows[i].paths[p][0][t]), out)
                 w = np.cumsum(w)
                 turns.append(es[min(len(es) - 1, int(np.searchsorted(w, us[i] * w[-1], "right")))])
-            rest, m = lat.walk(lat.next[np.array(turns, np.int64)], mix(base[[i for i, _ in popped]] + tag + np.uint64(99))) if turns else (steps[:0], n[:0])
+                after.append(begin[i] + int(rows[i].paths[p][1][t]) + 1)  # the chunk after the turn's
+            rest, m = lat.walk(lat.next[np.array(turns, np.int64)], mix(base[[i for i, _ in popped]] + tag + np.uint64(99))) if turns else (np.zeros(0, np.int64),) * 2
             cut_at = np.r_[0, np.cumsum(m)]
+            left = np.array([begin[i] + size[i] - a for (i, _), a in zip(popped, after, strict=True)], np.int64)
+            stop = np.cumsum(left)
+            need = np.arange(int(left.sum())) + np.repeat(np.array(after, np.int64) - (stop - left), left)  # only chunks after a turn are drawn anew
+            steps, n = lat.walk(start[need], mix(base[row[need]] + spot[need]))
+            bounds = np.r_[0, np.cumsum(n)]
             for x, (i, (top, p, t, out)) in enumerate(popped):
                 old, of, *_ = rows[i].paths[p]
-                c = int(of[t])
-                after = begin[i] + c + 1
-                stop = begin[i] + size[i]
-                fresh = steps[bounds[after]: bounds[stop]]
-                tail = rest[cut_at[x]: cut_at[x + 1]]
-                whole = np.r_[old[:t], turns[x], tail, fresh]
-                chunk = np.r_[of[:t], np.full(1 + len(tail), c), np.repeat(nth[after:stop], n[after:stop])]
+                tail, mine = rest[cut_at[x]: cut_at[x + 1]], slice(stop[x] - left[x], stop[x])
+                whole = np.r_[old[:t], turns[x], tail, steps[bounds[mine.start]: bounds[mine.stop]]]
+                chunk = np.r_[of[:t], np.full(1 + len(tail), int(of[t])), np.repeat(nth[need[mine]], n[mine])]
                 parts.append((i, whole, chunk, t, top, (*out, turns[x])))
         if not parts:
             break
