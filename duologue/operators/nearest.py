@@ -1,14 +1,13 @@
 """Exact nearest-neighbour and cosine-threshold joins without a cross join.
 
-Some rows of a sample of at most ``SAMPLE_ROWS`` corpus vectors, the pivots, cut the corpus into cells (nearest pivot). Angles
-between unit vectors form a metric, so a query needs a cell only if both bounds allow a match within
-its search angle: |angle(q, pivot) - angle(v, pivot)| over the cell's angle range, and half the gap
-between angle(q, pivot) and the query's own nearest pivot. The search angle is the wanted similarity,
-or the k-th best in the sample, which holds corpus rows. Nothing is dropped: pruned cells
-provably hold no better row.
-
-Cells are cut into blocks of bounded size and their queries into batches, so one hot cell becomes many
-small tasks. Equal vectors are collapsed first: ties go to the row first in ``ord``, then to the smaller id, so of each
+Pivots taken from the corpus cut it into cells (nearest pivot), and large cells are cut again by pivots of their own: a tree whose
+depth follows the rows. Angles between unit vectors form a metric, so a query needs a cell only if both bounds allow a match
+within its search angle: |angle(q, pivot) - angle(v, pivot)| over the cell's angle range, and half the gap between
+angle(q, pivot) and the nearest pivot beside it. The search angle is the wanted similarity, or that of the k-th best row found so
+far, which falls from round to round. Nothing is dropped: pruned cells provably hold no better row.
+
+Visits of cells travel as ids. Leaves are cut into blocks of bounded size and their queries into batches, so one hot leaf becomes
+many small tasks. Equal vectors are collapsed first: ties go to the row first in ``ord``, then to the smaller id, so of each
 group of copies only the k + 1 first can be in any answer.
 """
 
@@ -17,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,11 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duologue.functions.vectors import unit
-
-SAMPLE_ROWS = 1024
-ROWS_PER_CELL = 512  # wanted; the number of cells stops at the sample size
-BLOCK_ROWS = 4096
-QUERY_ROWS = 4096
+from duologue.operators.scale import top_rows
+from duologue.session import cut
+
+LEAF_ROWS = 8192
+FAN = 64  # pivots of a cell
+BLOCK_ROWS = 8192
+QUERY_ROWS = 512
+NEXT = 8  # leaves of the second round
 _SLACK = 1e-7  # guards the bounds against rounding
 
 
@@ -37,12 +40,14 @@ class Rule:
     """Which corpus rows a query may meet.
 
     ``not_self``: ids must differ. ``other_group``: groups must differ. ``earlier``: the corpus row
-    comes first in ``ord``.
+    comes first in ``ord``. ``pool``: sources (``src``) must differ, the query's group must not be in the corpus row's ``bar``, and it must be the
+    row's ``only`` where that is set.
     """
 
     not_self: bool = False
     other_group: bool = False
     earlier: bool = False
+    pool: bool = False
 
     def mask(self, q: pd.DataFrame, v: pd.DataFrame) -> np.ndarray | None:
         out = None
@@ -54,8 +59,19 @@ class Rule:
         if self.earlier:
             m = v["ord"].to_numpy()[None, :] < q["ord"].to_numpy()[:, None]
             out = m if out is None else out & m
+        if self.pool:
+            m = q["src"].to_numpy()[:, None] != v["src"].to_numpy()[None, :]
+            groups, only = q["grp"].to_numpy(), v["only"].to_numpy(dtype=float, na_value=np.nan)
+            m &= np.isnan(only)[None, :] | (groups[:, None] == only[None, :])
+            for c, bar in enumerate(v["bar"]):
+                if bar is not None and len(bar):
+                    m[:, c] &= ~np.isin(groups, bar)
+            out = m if out is None else out & m
         return out
 
+    def columns(self) -> list[str]:
+        return ["id", "vec", "grp", "ord", *(["src", "bar", "only"] if self.pool else [])]
+
 
 def vectors(df: DataFrame, id_col: str, vec: str, group: Column | None = None, order: Column | None = None) -> DataFrame:
     """The columns the searches need: id, vec (unit length, double), grp, ord. Rows without a vector go."""
@@ -79,111 +95,185 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _collapse(corpus: DataFrame, keep: int, rule: Rule) -> DataFrame:
     """Of equal vectors keep the first rows that could appear in an answer."""
-    keys = ["vec"] + (["grp"] if rule.other_group else [])
+    keys = ["vec"] + (["grp"] if rule.other_group else []) + (["src", "bar", "only"] if rule.pool else [])
     w = Window.partitionBy(*keys).orderBy("ord", "id")
     return corpus.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= keep).drop("__n")
 
 
-def _pick_sample(corpus: DataFrame) -> tuple[pd.DataFrame, int]:
-    """(sample, number of pivots): the pivots are its first rows."""
-    # At most SAMPLE_ROWS rows come to the driver.
-    sample = corpus.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
-    n = len(sample) if len(sample) < SAMPLE_ROWS else corpus.count()
-    return sample, min(len(sample), max(8, n // ROWS_PER_CELL))
+class Cells:
+    """Corpus rows (id, vec, grp, ord, cell) that queries meet by cell; ``sizes`` (cell, n) counts them."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self.sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+    def compared(self, queries: DataFrame, visits: DataFrame, k: int | None, min_sim: float | None, rule: Rule, overall: bool = False) -> DataFrame:
+        """(id, nid, sim, nord): for each visit the k best rows of the leaf, or all above ``min_sim``; ``overall``, the k best pairs of each task."""
+        batches = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("batches")).join(self.sizes, "cell").select(
+            "cell", "batches", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = visits.join(batches, "cell").withColumn("batch", F.pmod(F.xxhash64("id"), F.col("batches"))).withColumn(
+            "block", upto("blocks")).select("id", "cell", "batch", "block").join(queries.select([c for c in rule.columns() if c not in ("bar", "only")]), "id")
+        again = batches.select(F.col("cell").alias("cell"), F.col("batches").alias("many"), F.col("blocks").alias("cuts"))
+        right = self.rows.join(again, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("cuts"))).withColumn(
+            "batch", upto("many")).select(*rule.columns(), "cell", "batch", "block")
+
+        def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"id": pd.Series(dtype="int64"), "nid": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64"),
+                                     "nord": pd.Series(dtype="int64")})
+            sim = _matrix(left["vec"]) @ _matrix(right["vec"]).T
+            ok = rule.mask(left, right)
+            if ok is not None:
+                sim[~ok] = -np.inf
+            if min_sim is not None:
+                sim[sim <= min_sim] = -np.inf
+            qid, nid, nord = left["id"].to_numpy(), right["id"].to_numpy(), right["ord"].to_numpy()
+            if k is None:
+                r, c = np.nonzero(np.isfinite(sim))
+            elif overall:
+                near = np.round(sim, 9)
+                least = np.partition(near, max(0, near.size - k), axis=None)[max(0, near.size - k)]
+                r, c = np.nonzero((near >= least) & np.isfinite(near))
+                order = np.lexsort((nid[c], qid[r], -near[r, c]))[:k]
+                r, c = r[order], c[order]
+            else:
+                near = np.round(sim, 9)
+                least = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
+                r, c = np.nonzero((near >= least[:, None]) & np.isfinite(near))  # the k best and what ties with the last
+                order = np.lexsort((nid[c], nord[c], -near[r, c], r))
+                r, c = r[order], c[order]
+                first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
+                place = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
+                r, c = r[place < k], c[place < k]
+            return pd.DataFrame({"id": qid[r], "nid": nid[c], "sim": sim[r, c], "nord": nord[c]})
+
+        keys = ["cell", "block", "batch"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "id bigint, nid bigint, sim double, nord bigint")
+
+
+class Tree(Cells):
+    """The corpus in leaves of at most LEAF_ROWS rows, and the cells above them.
+
+    A cell with more rows is split by FAN of its own rows, the pivots: each row goes to the nearest. So the depth follows the number of rows, and a
+    step shuffles the rows that still have to be split once. ``nodes`` (parent, cell, pivot, lo, hi) has the range of angles between
+    a cell's pivot and its rows; ``rows`` are the corpus rows with their leaf; ``sizes`` (cell, n) are the leaves.
+    """
+
+    def __init__(self, corpus: DataFrame, rule: Rule = Rule()):
+        cols = rule.columns()
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in corpus.select(*cols).schema.fields)
+        rows = cut(corpus.select(*cols, F.lit(0).cast("long").alias("cell")))
+        self.nodes, leaves, sizes, self.depth = None, [], [], 0
+        size = cut(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))).withColumn("whole", F.lit(False))
+        while True:
+            large = size.where(F.col("n") > LEAF_ROWS).where("not whole")  # what a step could not split stays whole
+            if large.isEmpty():
+                leaves.append(rows)
+                sizes.append(size.select("cell", "n"))
+                break
+            leaves.append(rows.join(large, "cell", "left_anti"))
+            sizes.append(size.join(large, "cell", "left_anti").select("cell", "n"))
+            salts = F.ceil(F.col("n") / BLOCK_ROWS)
+            part = rows.join(large, "cell").select(*rows.columns, "n", F.pmod(F.xxhash64("id"), salts).alias("salt"))
+            pivots = top_rows(part.select("cell", "id", "vec", salts.alias("salts")), ["cell"], [F.xxhash64("id"), F.col("id")], FAN)
+            pivots = cut(pivots.select("cell", (F.col("cell") * FAN + F.col("rn")).alias("child"), "vec", "salts"))
+            spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+
+            def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+                if not len(left):
+                    return pd.DataFrame({c: [] for c in (*cols, "cell", "parent", "angle")})
+                right = right.sort_values("child")
+                angle = _angles(_matrix(left["vec"]), _matrix(right["vec"]))
+                at = angle.argmin(axis=1)
+                return left[cols].assign(cell=right["child"].to_numpy()[at], parent=left["cell"], angle=angle[np.arange(len(left)), at])
+
+            rows = cut(part.groupBy("cell", "salt").cogroup(spread.groupBy("cell", "salt")).applyInPandas(
+                nearest, f"{kinds}, cell bigint, parent bigint, angle double"))
+            got = cut(rows.groupBy("cell").agg(F.first("parent").alias("parent"), F.min("angle").alias("lo"), F.max("angle").alias("hi"),
+                                               F.count(F.lit(1)).alias("n")))
+            size = got.join(large.select(F.col("cell").alias("parent"), F.col("n").alias("all")), "parent").select(
+                "cell", "n", (F.col("n") == F.col("all")).alias("whole"))
+            level = got.select("parent", "cell", "lo", "hi").join(pivots.select(F.col("child").alias("cell"), F.col("vec").alias("pivot")), "cell")
+            self.nodes = level if self.nodes is None else self.nodes.unionByName(level)
+            rows, self.depth = rows.drop("parent", "angle"), self.depth + 1
+        self.rows = reduce(DataFrame.unionByName, leaves)
+        self.sizes = reduce(DataFrame.unionByName, sizes)
+
+    def visits(self, queries: DataFrame, greedy: bool) -> DataFrame:
+        """(id, cell, bound): the leaf on the way of nearest pivots, or all leaves that may hold a row within the angle ``wide`` of the query.
+
+        ``bound`` is the least angle that a row of the leaf can have.
+        """
+        now = queries.select("id", "vec", "wide", F.lit(0).cast("long").alias("cell"), F.lit(0.0).alias("bound"))
+        out = "id bigint, cell bigint, bound double"
+        if not self.depth:
+            return now.select("id", "cell", "bound")
+
+        def step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"id": pd.Series(dtype="int64"), "cell": pd.Series(dtype="int64"), "bound": pd.Series(dtype="float64")})
+            right = right.sort_values("cell")
+            angle = _angles(_matrix(left["vec"]), _matrix(right["pivot"]))
+            if greedy:
+                return pd.DataFrame({"id": left["id"].to_numpy(), "cell": right["cell"].to_numpy()[angle.argmin(axis=1)], "bound": 0.0})
+            lo, hi = right["lo"].to_numpy()[None, :], right["hi"].to_numpy()[None, :]
+            bound = np.maximum(np.maximum(lo - angle, angle - hi), (angle - angle.min(axis=1)[:, None]) / 2.0)
+            bound = np.maximum(bound, left["bound"].to_numpy()[:, None])
+            r, c = np.nonzero(bound <= left["wide"].to_numpy()[:, None] + _SLACK)
+            return pd.DataFrame({"id": left["id"].to_numpy()[r], "cell": right["cell"].to_numpy()[c], "bound": bound[r, c]})
+
+        inner, done = self.nodes.select(F.col("parent").alias("cell")).distinct(), []
+        vec = queries.select("id", "vec", "wide")
+        for _ in range(self.depth):
+            at = now.join(inner, "cell", "left_semi")
+            batches = at.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("batches"))
+            left = at.join(batches, "cell").withColumn("batch", F.pmod(F.xxhash64("id"), F.col("batches")))
+            right = self.nodes.select(F.col("parent").alias("of"), "cell", "pivot", "lo", "hi").join(
+                batches.select(F.col("cell").alias("of"), F.col("batches").alias("many")), "of").withColumn(
+                "batch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
+            below = cut(left.groupBy("cell", "batch").cogroup(right.groupBy("of", "batch")).applyInPandas(step, out))
+            done.append(below.join(inner, "cell", "left_anti"))
+            now = below.join(vec, "id")  # visits travel as ids; vectors join them once a level
+        return reduce(DataFrame.unionByName, done).select("id", "cell", "bound")
+
+
+def _first_k(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "nord", "nid")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _search(queries: DataFrame, corpus: DataFrame, k: int | None, min_sim: float | None, rule: Rule) -> DataFrame:
-    """(id, nid, sim, nord): the k best for each query, or every row above ``min_sim``, or both limits."""
-    spark = corpus.sparkSession
-    sample, n_pivots = _pick_sample(corpus)
-    if len(sample) == 0:
-        return spark.createDataFrame([], "id bigint, nid bigint, sim double, nord bigint")
-    known = _matrix(sample["vec"])
-    pv = spark.sparkContext.broadcast((sample.drop(columns="vec"), known, known[:n_pivots]))
-    wide = math.acos(max(-1.0, min(1.0, min_sim))) if min_sim is not None else math.pi
+    """(id, nid, sim, nord): the k best for each query, or every row above ``min_sim``, or both limits.
 
-    def home(batches):
-        p = pv.value[2]
-        for b in batches:
-            if len(b):
-                ang = _angles(_matrix(b["vec"]), p)
-                cell = ang.argmin(axis=1)
-                yield b.assign(cell=cell.astype("int64"), angle=ang[np.arange(len(b)), cell])
-
-    homed = corpus.mapInPandas(home, f"{_COLS}, cell bigint, angle double")
-    ranges = homed.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"),
-                                       F.count(F.lit(1)).alias("n")).toPandas()  # one row for each pivot
-    blocks = {int(r.cell): max(1, math.ceil(r.n / BLOCK_ROWS)) for r in ranges.itertuples()}
-    cells = ranges["cell"].to_numpy()
-    rg = spark.sparkContext.broadcast((cells, ranges["lo"].to_numpy(), ranges["hi"].to_numpy()))
-
-    def visits(batches):
-        table, rows_known, p = pv.value
-        ids, lo, hi = rg.value
-        for b in batches:
-            if not len(b):
-                continue
-            q = _matrix(b["vec"])
-            ang = _angles(q, p)
-            limit = np.full(len(b), wide)
-            if k is not None and len(table) >= k:
-                seen = _angles(q, rows_known)
-                ok = rule.mask(b, table)
-                if ok is not None:
-                    seen[~ok] = np.inf
-                kth = np.partition(seen, k - 1, axis=1)[:, k - 1]
-                limit = np.minimum(limit, kth)
-            limit = limit + _SLACK
-            a = ang[:, ids]
-            near = np.maximum(np.maximum(lo[None, :] - a, a - hi[None, :]), (a - ang.min(axis=1)[:, None]) / 2.0)
-            rows, cols = np.nonzero(near <= limit[:, None])
-            yield b.iloc[rows].assign(cell=ids[cols].astype("int64"))
-
-    n_blocks = F.create_map(*[x for c, n in blocks.items() for x in (F.lit(c).cast("bigint"), F.lit(n))])
-    # Queries of one cell are batched too; the batch count follows the visits of the busiest cell.
-    v = queries.mapInPandas(visits, f"{_COLS}, cell bigint")
-    batches = {c: 1 for c in blocks}
-    if queries.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
-        per_cell = v.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row for each pivot
-        batches = {int(r.cell): max(1, math.ceil(r.n / QUERY_ROWS)) for r in per_cell.itertuples()}
-    n_batches = F.create_map(*[x for c, n in batches.items() for x in (F.lit(c).cast("bigint"), F.lit(n))])
-    q = v.withColumn("batch", F.pmod(F.xxhash64("id"), n_batches[F.col("cell")])).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), n_blocks[F.col("cell")] - 1)))
-    c = homed.drop("angle").where(n_batches[F.col("cell")].isNotNull()).withColumn(
-        "block", F.pmod(F.xxhash64("id"), n_blocks[F.col("cell")]).cast("int")).withColumn(
-        "batch", F.explode(F.sequence(F.lit(0).cast("bigint"), n_batches[F.col("cell")].cast("bigint") - 1)))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "nid": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64"),
-                              "nord": pd.Series(dtype="int64")})
-        if not len(left) or not len(right):
-            return empty
-        sim = _matrix(left["vec"]) @ _matrix(right["vec"]).T
-        ok = rule.mask(left, right)
-        if ok is not None:
-            sim[~ok] = -np.inf
-        if min_sim is not None:
-            sim[sim <= min_sim] = -np.inf
-        qid, nid, nord = left["id"].to_numpy(), right["id"].to_numpy(), right["ord"].to_numpy()
-        if k is None:
-            r, col = np.nonzero(np.isfinite(sim))
-            return pd.DataFrame({"id": qid[r], "nid": nid[col], "sim": sim[r, col], "nord": nord[col]})
-        order = np.lexsort((np.broadcast_to(nid, sim.shape), np.broadcast_to(nord, sim.shape), -np.round(sim, 9)), axis=1)[:, :k]
-        r = np.repeat(np.arange(len(left)), order.shape[1])
-        col = order.ravel()
-        good = np.isfinite(sim[r, col])
-        return pd.DataFrame({"id": qid[r[good]], "nid": nid[col[good]], "sim": sim[r[good], col[good]], "nord": nord[col[good]]})
-
-    keys = ["cell", "block", "batch"]
-    return q.withColumn("block", F.col("block").cast("int")).groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(
-        best, "id bigint, nid bigint, sim double, nord bigint")
+    Leaves are visited in rounds: first the one on the way of nearest pivots, then the NEXT best ones that the k-th best similarity so far leaves
+    open, then all others that are open still.
+    """
+    tree = Tree(corpus, rule)
+    wide = math.acos(max(-1.0, min(1.0, min_sim))) if min_sim is not None else math.pi
+    q = queries.withColumn("wide", F.lit(wide))
+    if k is None or not tree.depth:
+        return tree.compared(q, tree.visits(q, greedy=False), k, min_sim, rule)
+    q = cut(q)
+    first = cut(tree.visits(q, greedy=True).select("id", "cell"))
+    found = cut(_first_k(tree.compared(q, first, k, min_sim, rule), k))
+
+    def narrowed() -> DataFrame:
+        kth = found.where(F.col("rank") == k).select("id", F.acos(F.least(F.greatest("sim", F.lit(-1.0)), F.lit(1.0))).alias("kth"))
+        return q.join(kth, "id", "left").withColumn("wide", F.least("wide", F.coalesce("kth", "wide"))).drop("kth")
+
+    open_ = cut(tree.visits(narrowed(), greedy=False).join(first, ["id", "cell"], "left_anti"))
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("bound", "cell"))
+    open_ = cut(open_.withColumn("turn", turn))
+    for visits in (open_.where(F.col("turn") <= NEXT), open_.where(F.col("turn") > NEXT)):
+        near = visits.join(narrowed().select("id", "wide"), "id").where(F.col("bound") <= F.col("wide") + _SLACK).select("id", "cell")
+        found = cut(_first_k(found.drop("rank").unionByName(tree.compared(q, near, k, min_sim, rule)), k))
+    return found.drop("rank")
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, rule: Rule = Rule(), min_sim: float | None = None) -> DataFrame:
     """(id, rank, nid, sim), ties by the neighbour's ``ord``, then by its smaller id."""
-    found = _search(queries, _collapse(corpus, k + 1, rule), k, min_sim, rule)
-    w = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "nord", "nid")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("nord")
+    return _first_k(_search(queries, _collapse(corpus, k + 1, rule), k, min_sim, rule), k).drop("nord")
 
 
 def best_match(queries: DataFrame, corpus: DataFrame, rule: Rule = Rule(), min_sim: float | None = None) -> DataFrame:
@@ -225,6 +315,28 @@ def above(queries: DataFrame, corpus: DataFrame, min_sim: float, rule: Rule = Ru
     return out.select("id", "nid", "sim")
 
 
+def closest_pairs(queries: DataFrame, corpus: DataFrame, k: int, min_sim: float | None = None, rule: Rule = Rule()) -> DataFrame:
+    """(id, nid, sim) of the k closest pairs, ties to the smaller ids; no other pairs are made.
+
+    Each query first meets one leaf. The k-th best pair of all is a bound that every query then brings to the tree, so only leaves
+    that can hold a closer pair are opened.
+    """
+    q, tree = _collapse(queries, k, rule), Tree(_collapse(corpus, k + 1, rule), rule)
+    least = -1.0 if min_sim is None else min_sim
+    best = lambda df: df.select("id", "nid", "sim").orderBy(F.desc(F.round("sim", 9)), "id", "nid").limit(k)
+    q = cut(q.withColumn("wide", F.lit(math.acos(max(-1.0, min(1.0, least))))))
+    if not tree.depth:
+        return best(tree.compared(q, tree.visits(q, greedy=False), k, min_sim, rule, overall=True))
+    first = cut(tree.visits(q, greedy=True).select("id", "cell"))
+    found = cut(best(tree.compared(q, first, k, min_sim, rule, overall=True)))
+    worst = found.agg(F.min("sim"), F.count(F.lit(1))).head()
+    if worst[1] == k and worst[0] > least:  # only better pairs and ties with the last matter
+        least = worst[0] - _SLACK
+    open_ = tree.visits(q.withColumn("wide", F.lit(math.acos(max(-1.0, min(1.0, least))))), greedy=False).join(first, ["id", "cell"], "left_anti")
+    more = tree.compared(q, cut(open_.select("id", "cell")), k, least if least > -1.0 else min_sim, rule, overall=True)
+    return best(found.unionByName(more.select("id", "nid", "sim")))
+
+
 def duplicates(queries: DataFrame, corpus: DataFrame, limit: float) -> DataFrame:
     """Ids too close to the corpus (max cosine > limit). Zero vectors and an empty corpus pass."""
     live = queries.where(F.exists("vec", lambda x: x != 0))

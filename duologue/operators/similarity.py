@@ -9,15 +9,41 @@ from pyspark.sql import functions as F
 
 from duologue.functions.vectors import cosine
 from duologue.operators.joins import one_perspective
-from duologue.operators.nearest import Rule, above, best_match, duplicates, top_k, vectors
+from duologue.operators.nearest import Rule, above, best_match, closest_pairs, duplicates, top_k, vectors
 
 
-def neighbours_other_lineage(rows: DataFrame, k: int, id_col: str, vec: str, root: Column) -> DataFrame:
-    """K nearest rows of other lineages; the anchor itself is forced in as rank 0."""
+def neighbours_other_lineage(rows: DataFrame, k: int, id_col: str, vec: str, root: Column, source: Column, side: Column) -> DataFrame:
+    """D12 with D11: the anchor as rank 0 and the k - 1 nearest rows of other lineages, one for each source.
+
+    From the rows of a source outside the anchor's lineage the last one on the anchor's side stands for it, else the first. Of the anchor's own
+    source only the anchor takes part. Where fewer than k rows are outside the lineage (the anchor counted), the anchor is alone.
+
+    A source within one lineage has one candidate for each side. A source with rows of several lineages has further ones, each for
+    the anchors of one of its lineages only, chosen without that lineage's rows.
+    """
     v = vectors(rows, id_col, vec, group=root)
-    found = top_k(v, v, k - 1, Rule(other_group=True))
+    about = rows.select(F.col(id_col).cast("bigint").alias("id"), root.cast("bigint").alias("root"), source.cast("bigint").alias("src"), side.cast("int").alias("side"))
+    v = v.join(about.select("id", "src", "side"), "id")
+    about = about.join(v.select("id"), "id", "left_semi")
+    per_root = about.groupBy("src", "root").agg(F.min("id").alias("first"), *[F.max(F.when(F.col("side") == s, F.col("id"))).alias(f"last{s}") for s in (0, 1)])
+    by_source = per_root.groupBy("src").agg(F.collect_list(F.struct("root", "first", "last0", "last1")).alias("own"))
+    nothing = F.lit(None).cast("bigint")
+    found = None
+    for s in (0, 1):
+        def chosen(own: Column, s: int = s) -> Column:
+            return F.coalesce(F.array_max(F.transform(own, lambda x: x[f"last{s}"])), F.array_min(F.transform(own, lambda x: x["first"])))
+
+        whole = by_source.select("src", chosen(F.col("own")).alias("id"), F.transform("own", lambda x: x["root"]).alias("bar"), nothing.alias("only"))
+        each = by_source.where(F.size("own") > 1).select("src", "own", F.explode(F.transform("own", lambda x: x["root"])).alias("only"))
+        parts = each.select("src", chosen(F.filter("own", lambda x: x["root"] != F.col("only"))).alias("id"), F.lit(None).cast("array<bigint>").alias("bar"), "only")
+        corpus = whole.unionByName(parts).join(v.select("id", "vec", "grp", "ord"), "id")
+        one = top_k(v.where(F.col("side") == s), corpus, k - 1, Rule(pool=True))
+        found = one if found is None else found.unionByName(one)
+    inside = v.groupBy("grp").agg(F.count(F.lit(1)).alias("inside"))
+    size = v.agg(F.count(F.lit(1)).alias("n"))  # one row
+    enough = v.select("id", "grp").join(inside, "grp").crossJoin(F.broadcast(size)).where(F.col("n") - F.col("inside") + 1 >= k).select("id")
     own = v.select("id", F.lit(0).alias("rank"), F.col("id").alias("nid"), F.lit(1.0).alias("sim"))
-    return found.select("id", "rank", "nid", "sim").unionByName(own)
+    return found.select("id", "rank", "nid", "sim").join(enough, "id", "left_semi").unionByName(own)
 
 
 def retrieve_one_perspective(queries: DataFrame, rows: DataFrame, k: int, prefer: int) -> DataFrame:
@@ -72,6 +98,6 @@ def repeated_sources(trials: DataFrame, trial: str, source: str) -> DataFrame:
     return trials.groupBy(trial, source).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-__all__ = ["Rule", "above", "batch_duplicates", "best_match", "contamination_summary", "duplicates",
+__all__ = ["Rule", "above", "batch_duplicates", "best_match", "closest_pairs", "contamination_summary", "duplicates",
            "mean_pairwise_distance", "nearest_distance", "neighbours_other_lineage", "repeated_sources",
            "retrieve_one_perspective", "target_side", "top_k", "vectors"]

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duologue.operators.joins import first_per_key
 from duologue.operators.scale import running_sums, salted_join
+from duologue.session import exists
 
 
 def project(df: DataFrame, vec: str, keep: Sequence[str]) -> DataFrame:
@@ -88,6 +89,63 @@ def assign_niche(vec: Column, centroids: Sequence[Sequence[float]]) -> Column:
     return F.array_min(F.array(*options))["i"]
 
 
+def centroids_of(assigned: DataFrame, vec: str, niche: str = "niche") -> DataFrame:
+    """K2: (niche, centroid): the mean vector of each niche; sums are made by niche and dimension before the shuffle."""
+    parts = assigned.select(niche, F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x")).groupBy(niche, "dim").agg(F.avg("x").alias("x"))
+    return parts.groupBy(niche).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("centroid"))
+
+
+class NicheManager:
+    """K2 over batches: rows go to the nearest stored centroid, and after ``refit_every`` assignments the centroids move.
+
+    The state is a folder: ``log`` has what each batch was assigned, ``state`` the centroids and counters after each. A manager that is given the folder of an
+    earlier one, and no ``first``, goes on where that stopped. Without a model every row is niche 0. A refit starts from the present centroids (at first from ``first``, or
+    k-means of the rows so far) and takes ``steps`` steps of Lloyd's algorithm over all rows assigned so far; a niche that loses all its rows keeps its centroid.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, first: Sequence[Sequence[float]] | None = None, refit_every: int = 10, steps: int = 1):
+        self.spark, self.folder, self.refit_every, self.steps = spark, folder, refit_every, steps
+        self.batches, self.since, self.fits, self.centroids = 0, 0, 0, [list(map(float, c)) for c in first or ()]
+        if first is None and exists(spark, f"{folder}/state"):
+            last = spark.read.parquet(f"{folder}/state").orderBy(F.desc("batches")).head()
+            self.batches, self.since, self.fits = last.batches, last.since, last.fits
+            self.centroids = [list(c) for c in last.centroids]
+
+    def rows(self) -> DataFrame:
+        """(id, vec, niche, batch) of all rows assigned so far; a row keeps the niche it got."""
+        return self.spark.read.parquet(f"{self.folder}/log")
+
+    def assign(self, batch: DataFrame, key: str, vec: str) -> DataFrame:
+        """Assigns a batch, refits if it is time, and returns (id, niche) of the batch."""
+        got = batch.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+        path = f"{self.folder}/log/batch={self.batches}"
+        got.withColumn("niche", assign_niche(F.col("vec"), self.centroids)).write.mode("overwrite").parquet(path)
+        got = self.spark.read.parquet(path)
+        self.batches += 1
+        if self.centroids:
+            self.since += got.count()
+        if self.since >= self.refit_every or not self.centroids:
+            self.refit()
+        state = [(self.batches, self.since, self.fits, self.centroids)]
+        self.spark.createDataFrame(state, "batches long, since long, fits long, centroids array<array<double>>").coalesce(1).write.mode("append").parquet(
+            f"{self.folder}/state")
+        return got.select("id", "niche")
+
+    def refit(self) -> None:
+        rows = self.rows().select("id", "vec")
+        n = rows.count()
+        if not self.centroids:
+            if n < 2:
+                return
+            model = KMeans(k=niche_count(n), seed=42).fit(rows.select(array_to_vector("vec").alias("features")))
+            self.centroids = [c.tolist() for c in model.clusterCenters()]  # at most 15
+        for _ in range(self.steps):
+            moved = centroids_of(rows.withColumn("niche", assign_niche(F.col("vec"), self.centroids)), "vec").collect()
+            for r in moved:
+                self.centroids[r.niche] = list(r.centroid)
+        self.since, self.fits = 0, self.fits + 1
+
+
 def pooled_texts(archives: dict[str, DataFrame], text: str) -> tuple[DataFrame, DataFrame]:
     """H1: pool archives, keep each text once (first row by key), map every row to its text's row."""
     pool = None

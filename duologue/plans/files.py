@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duologue.functions.models import call_model
 from duologue.functions.vectors import hashed_embedding
 from duologue.operators import rules, summaries as S
 from duologue.plans.frames import ATTEMPTS, EPISODES, attempts, episodes, table
@@ -139,12 +138,3 @@ def _(spark, d):
     path = fresh_path(spark, "aggregates")
     K.rebuild(S.counts_by(attempts(spark, d).where(~F.col("error")), F.col("source"), "source"), path)
     return spark.read.parquet(path)
-
-
-def _echo(texts):
-    return [str(len(t)) for t in texts]
-
-
-@query("u04_call_model", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(text) AS VARCHAR) AS answer, CAST(NULL AS VARCHAR) AS error FROM documents")
-def _(spark, d):
-    return call_model(table(spark, d, "documents"), "doc_id", "text", _echo)

@@ -8,7 +8,6 @@ from duologue.operators import rules
 from duologue.plans.frames import ATTEMPTS, attempts, table
 from duologue.plans.registry import query
 from duologue.plans.summaries import CHILDREN, children
-from duologue.session import fresh_path
 from duologue.streaming import jobs as S
 
 
@@ -46,16 +45,28 @@ def _(spark, d):
 w AS (SELECT task, list(goal ORDER BY event_id) AS x FROM r WHERE rn <= 10 GROUP BY 1)
 SELECT CAST(task AS VARCHAR) AS key, len(x) AS n, CASE WHEN len(x) < 4 THEN 0 ELSE list_avg(x[len(x) // 2 + 1:]) - list_avg(x[:len(x) // 2]) END AS slope FROM w""")
 def _(spark, d):
-    a = attempts(_Streamed(spark), d)
-    return S.last_value(S.run_to_table(S.bounded_slope(a, "task", "event_id", "goal"), "update"), ["key"])
+    a = attempts(spark, d).select("task", "event_id", "goal")
+    parts = [a.where(F.col("event_id") % 3 == k) for k in range(3)]
+    slopes = S.fed(parts, lambda stream, out, checkpoint: S.stateful(S.bounded_slope(stream, "task", "event_id", "goal"), out, checkpoint))
+    return S.last_value(slopes, ["key"])
+
+
+_NEAR = "list_cosine_similarity(q.e, v.e)"
 
 
-@query("s04_admission", """WITH u AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
-SELECT q.id, true AS admitted, round(greatest(coalesce(max(list_cosine_similarity(q.e, v.e)), 0), 0), 6) AS within_batch_dupe
-FROM u q LEFT JOIN u v ON v.id < q.id GROUP BY 1""")
+@query("s04_admission", f"""WITH u AS MATERIALIZED (SELECT vec_id AS id, vec_id % 4 AS b, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS MATERIALIZED (SELECT q.id, v.id AS nid FROM u q JOIN u v ON v.b < q.b WHERE {_NEAR} > 0.3),
+a0 AS (SELECT id FROM u WHERE b = 0),
+a1 AS (SELECT id FROM a0 UNION ALL SELECT id FROM u WHERE b = 1 AND id NOT IN (SELECT p.id FROM p JOIN a0 ON a0.id = nid)),
+a2 AS (SELECT id FROM a1 UNION ALL SELECT id FROM u WHERE b = 2 AND id NOT IN (SELECT p.id FROM p JOIN a1 ON a1.id = nid)),
+a3 AS (SELECT id FROM a2 UNION ALL SELECT id FROM u WHERE b = 3 AND id NOT IN (SELECT p.id FROM p JOIN a2 ON a2.id = nid)),
+w AS (SELECT q.id, round(greatest(coalesce(max({_NEAR}), 0), 0), 6) AS within_batch_dupe FROM u q LEFT JOIN u v ON v.id < q.id AND v.b = q.b GROUP BY 1)
+SELECT id, id IN (SELECT id FROM a3) AS admitted, within_batch_dupe FROM w""")
 def _(spark, d):
-    e = _stream(spark, d, "embeddings")
-    return S.admit(e, "vec_id", "embedding", 0.3, "vec_id").select("id", "admitted", F.round("within_batch_dupe", 6).alias("within_batch_dupe"))
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    log = S.fed([e.where(F.col("vec_id") % 4 == k) for k in range(4)],
+                lambda stream, out, checkpoint: S.admit(stream, "vec_id", "embedding", 0.3, "vec_id", out, checkpoint))
+    return log.select("id", "admitted", F.round("within_batch_dupe", 6).alias("within_batch_dupe"))
 
 
 @query("s05_posterior_stream", f"WITH {CHILDREN} SELECT anchor, sum(alpha) AS alpha_votes, sum(beta) AS beta_votes, count(*) AS n_selected FROM cv GROUP BY 1")
@@ -63,28 +74,34 @@ def _(spark, d):
     return S.last_batch(S.run_to_table(S.posterior_stream(children(_Streamed(spark), d)), "complete"))
 
 
-@query("s06_every_n_rows", "SELECT count(*) AS total, count(*) >= 500 AS fired FROM events")
+@query("s06_every_n_rows", """WITH c AS (SELECT event_id % 4 AS batch, count(*) AS n FROM events GROUP BY 1),
+t AS (SELECT batch, n, sum(n) OVER (ORDER BY batch) AS total FROM c) SELECT total, total // 700 > (total - n) // 700 AS fired FROM t""")
 def _(spark, d):
-    return S.every_n_rows(_stream(spark, d), 500, lambda total: None).select("total", "fired")
+    e = table(spark, d, "events").select("event_id")
+    ticks = S.fed([e.where(F.col("event_id") % 4 == k) for k in range(4)],
+                  lambda stream, out, checkpoint: S.every_n_rows(stream, 700, lambda total: None, out, checkpoint))
+    return ticks.select("total", "fired")
 
 
 def _in_order(spark, d, repeats: bool = False):
-    """events in four files by event time, one a micro-batch; with ``repeats`` some rows of each file come again in the next."""
-    path, e = fresh_path(spark, "events"), table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """events in four parts by event time; with ``repeats`` some rows of each part come again in the next."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     quarter = F.least(F.floor(F.dayofmonth("ts") / 8), F.lit(3))
     for k in range(4):
-        again = (quarter == k - 1) & (F.col("event_id") % 10 == 0) if repeats else F.lit(False)
         part = e.where(quarter == k)
-        (part.unionByName(e.where(again)) if repeats and k else part).coalesce(1).write.mode("append").parquet(path)
-    return S.file_stream(spark, path, e.schema, 1)
+        yield part.unionByName(e.where((quarter == k - 1) & (F.col("event_id") % 10 == 0))) if repeats and k else part
+
+
+def _appended(work):
+    return lambda stream, out, checkpoint: S.run_to_table(work(stream), "append", None, out, checkpoint)
 
 
 @query("sx_01_tumbling_windows", """SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents
 FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def _(spark, d):
-    w = S.tumbling(_in_order(spark, d), "ts", "1 hour", "1 hour", ["event_type"], F.count(F.lit(1)).alias("n"),
-                   F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
-    return S.run_to_table(w, "append").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", "cents")
+    w = S.fed(_in_order(spark, d), _appended(lambda e: S.tumbling(
+        e, "ts", "1 hour", "1 hour", ["event_type"], F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))))
+    return w.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", "cents")
 
 
 @query("sx_02_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events
@@ -92,10 +109,10 @@ def _(spark, d):
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, k
 HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def _(spark, d):
-    w = S.sessions(_in_order(spark, d), "ts", "6 hours", "1 hour", ["user_id"], F.count(F.lit(1)).alias("n"))
-    return S.run_to_table(w, "append").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
+    w = S.fed(_in_order(spark, d), _appended(lambda e: S.sessions(e, "ts", "6 hours", "1 hour", ["user_id"], F.count(F.lit(1)).alias("n"))))
+    return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
 @query("sx_03_repeats_within_watermark", "SELECT event_id, user_id FROM events")
 def _(spark, d):
-    return S.run_to_table(S.without_repeats(_in_order(spark, d, True), "ts", "1 hour", ["event_id"]), "append").select("event_id", "user_id")
+    return S.fed(_in_order(spark, d, True), _appended(lambda e: S.without_repeats(e, "ts", "1 hour", ["event_id"]))).select("event_id", "user_id")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duologue.operators import spaces as X
-from duologue.plans.frames import archive
+from duologue.plans.frames import ARCHIVE, archive
 from duologue.plans.registry import query
+from duologue.session import fresh_path
 
 _XY = """WITH p AS (SELECT vec_id AS id, vec_id // 10 AS iteration, label % 3 AS method, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
 l AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
@@ -54,3 +55,22 @@ def _(spark, d):
 @query("k02_niches")
 def _(spark, d):
     return X.niches(archive(spark, d), "id", "embedding").groupBy("niche").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DIST = "list_distance(a.e, f.c)"
+
+
+@query("k02_managed", f"""WITH {ARCHIVE}, f AS (SELECT id AS niche, e AS c FROM arc WHERE id < 8),
+a0 AS (SELECT a.id, arg_min(f.niche, {_DIST}) AS niche FROM arc a, f WHERE a.id % 2 = 0 GROUP BY 1),
+m AS (SELECT niche, i, avg(e[i]) AS x FROM a0 JOIN arc USING (id), range(1, 65) r(i) GROUP BY ALL),
+n AS (SELECT niche, list(x ORDER BY i) AS c FROM m GROUP BY 1),
+g AS (SELECT f.niche, coalesce(n.c, f.c) AS c FROM f LEFT JOIN n USING (niche)),
+a1 AS (SELECT a.id, arg_min(f.niche, {_DIST}) AS niche FROM arc a, g f WHERE a.id % 2 = 1 GROUP BY 1)
+SELECT id, niche FROM a0 UNION ALL SELECT id, niche FROM a1""")
+def _(spark, d):
+    a = archive(spark, d)
+    first = [r.embedding for r in a.where("id < 8").orderBy("id").select("embedding").collect()]
+    manager = X.NicheManager(spark, fresh_path(spark, "niches"), first)
+    for k in range(2):  # the first batch moves the centroids before the second comes
+        manager.assign(a.where(F.col("id") % 2 == k), "id", "embedding")
+    return manager.rows().select("id", "niche")

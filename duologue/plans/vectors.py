@@ -44,11 +44,13 @@ def _(spark, d):
     return V.retrieve_one_perspective(a, a, 5, 1).select("id", "rank", "nid", F.round("sim", 6).alias("sim"))
 
 
-@query("d12_other_lineage_neighbours", _P + f""", p AS (SELECT q.id, v.id AS nid, {_SIM} AS sim FROM u q JOIN u v ON v.id // 9 <> q.id // 9),
+@query("d12_other_lineage_neighbours", _P + f""", c AS (SELECT q.id, v.source_id, coalesce(max(v.id) FILTER (v.perspective = q.perspective), min(v.id)) AS nid
+ FROM u q JOIN u v ON v.id // 9 <> q.id // 9 AND v.source_id <> q.source_id GROUP BY 1, 2),
+p AS (SELECT c.id, c.nid, {_SIM} AS sim FROM c JOIN u q ON q.id = c.id JOIN u v ON v.id = c.nid),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, nid) AS rank FROM p)
 SELECT id, rank, nid, round(sim, 6) AS sim FROM r WHERE rank <= 4 UNION ALL SELECT id, 0, id, 1.0 FROM u""")
 def _(spark, d):
-    return V.neighbours_other_lineage(archive(spark, d), 5, "id", "embedding", F.floor(F.col("id") / 9)).select(
+    return V.neighbours_other_lineage(archive(spark, d), 5, "id", "embedding", F.floor(F.col("id") / 9), F.col("source_id"), F.col("perspective")).select(
         "id", "rank", "nid", F.round("sim", 6).alias("sim"))
 
 
@@ -67,10 +69,12 @@ def _(spark, d):
     return V.above(*_sides(spark, d), 0.3, expand=True).select("id", "nid", F.round("sim", 6).alias("sim"))
 
 
-@query("d14_contamination", _SEM + """ SELECT 0 AS n_exact, count(*) AS n_semantic, 0.3 AS threshold, count(*) > 0 AS contaminated FROM p""")
+@query("d14_contamination", _SEM + """, e AS (SELECT count(DISTINCT a.source_id) AS n FROM u a JOIN u b ON b.source_id = a.source_id WHERE a.method <> 0 AND b.method = 0)
+ SELECT (SELECT n FROM e) AS n_exact, count(*) AS n_semantic, 0.3 AS threshold, (SELECT n FROM e) > 0 OR count(*) > 0 AS contaminated FROM p""")
 def _(spark, d):
     q, c = _sides(spark, d)
-    exact = q.select("id").join(c.select("id"), "id", "left_semi")
+    sources = archive(spark, d).select("source_id", "method")  # the two perspectives of a source may fall on both sides
+    exact = sources.where("method <> 0").select("source_id").distinct().join(sources.where("method = 0"), "source_id", "left_semi")
     return V.contamination_summary(exact, V.above(q, c, 0.3), 0.3)
 
 
@@ -120,8 +124,7 @@ def _(spark, d):
 
 @query("g08_top_overlaps", _SEM + " SELECT id, nid, round(sim, 6) AS sim FROM p ORDER BY sim DESC, id, nid LIMIT 10")
 def _(spark, d):
-    return V.above(*_sides(spark, d), 0.3, expand=True).select("id", "nid", F.round("sim", 6).alias("sim")).orderBy(
-        F.desc("sim"), "id", "nid").limit(10)
+    return V.closest_pairs(*_sides(spark, d), 10, 0.3).select("id", "nid", F.round("sim", 6).alias("sim"))
 
 
 @query("j07_repeated_sources", """SELECT user_id AS trial, event_id % 50 AS source, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1""")

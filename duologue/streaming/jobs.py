@@ -6,16 +6,18 @@ counts a batch twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from duologue.operators.nearest import Rule, best_match, duplicates, vectors
+from duologue.operators.nearest import Cells, Rule, best_match, vectors
 from duologue.operators.summaries import child_votes, n_rows
-from duologue.session import fresh_path
+from duologue.session import cut, exists, fresh_path
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -73,6 +75,19 @@ def without_repeats(stream: DataFrame, time: str, late: str, keys: list[str]) ->
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def fed(parts: Iterable[DataFrame], job: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """Feeds a folder part by part and lets ``job(stream, out, checkpoint)`` go on after each: every part is a micro-batch of its own,
+    read and written in parallel. Returns what the last run gave."""
+    spark, result = None, None
+    for part in parts:
+        if spark is None:
+            spark = part.sparkSession
+            source, out, checkpoint = (fresh_path(spark, x) for x in ("fed", "stream", "checkpoint"))
+        part.write.mode("append").parquet(source)
+        result = job(file_stream(spark, source, part.schema), out, checkpoint)
+    return result
+
+
 def last_batch(table: DataFrame) -> DataFrame:
     """Newest complete-mode result."""
     last = table.agg(F.max("batch").alias("b"))  # one row
@@ -107,53 +122,105 @@ def rolling_summary(stream: DataFrame, by: str, passed: Column, error: Column) -
                                   n_rows(~error & passed).alias("passed"))
 
 
-def bounded_slope(stream: DataFrame, key: str, order: str, value: str, width: int = 10) -> DataFrame:
-    """S3: slope over the last ``width`` values of each key; the state holds those values only."""
-
-    def step(k, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window = list(zip(*state.get)) if state.exists else []
-        for c in chunks:  # a chunk is one Arrow batch, never the whole group
-            new = c.nlargest(width, "o")
-            window = sorted(window + list(zip(new["o"].tolist(), new["v"].tolist())))[-width:]
-        state.update(([float(o) for o, _ in window], [float(v) for _, v in window]))
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class SlopeState(StatefulProcessor):
+    """The last ``width`` (order, value) pairs of a key as typed list state. It has no time to live: that needs processing-time mode, in which a run
+    over what is available does not end."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.window = handle.getListState("window", "o double, v double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        window = [(o, v) for o, v in self.window.get()]
+        for c in rows:  # a chunk is one Arrow batch, never the whole group
+            new = c.nlargest(self.width, "o")
+            window = sorted(window + list(zip(new["o"].tolist(), new["v"].tolist())))[-self.width:]
+        self.window.put(window)
         vals = [v for _, v in window]
         mid = len(vals) // 2
         slope = 0.0 if len(vals) < 4 else sum(vals[mid:]) / (len(vals) - mid) - sum(vals[:mid]) / mid
-        yield pd.DataFrame({"key": [k[0]], "n": [len(vals)], "slope": [slope]})
+        yield pd.DataFrame({"key": [key[0]], "n": [len(vals)], "slope": [slope]})
+
+    def close(self) -> None:
+        pass
 
+
+def bounded_slope(stream: DataFrame, key: str, order: str, value: str, width: int = 10) -> DataFrame:
+    """S3: slope over the last ``width`` values of each key; the state holds those values only.
+
+    State lies in the RocksDB store of the executors; ``stateful`` starts such a stream.
+    """
     src = stream.select(F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit("_default")).alias("key"),
                         F.col(order).cast("double").alias("o"), F.col(value).cast("double").alias("v"))
-    return src.groupBy("key").applyInPandasWithState(
-        step, "key string, n int, slope double", "o array<double>, v array<double>", "update", GroupStateTimeout.NoTimeout)
+    return src.groupBy("key").transformWithStateInPandas(
+        SlopeState(width), "key string, n int, slope double", "Update", "None")
 
 
-def admit(stream: DataFrame, id_col: str, vec: str, limit: float, order: str) -> DataFrame:
+def stateful(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Like run_to_table in update mode, with state kept in RocksDB for this run."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKS)
+    try:
+        return run_to_table(stream, "update", None, out, checkpoint)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
+def admit(stream: DataFrame, id_col: str, vec: str, limit: float, order: str, out: str | None = None, checkpoint: str | None = None,
+          pivots: int = 64) -> DataFrame:
     """A row is admitted if nothing admitted in an earlier batch is too close.
 
-    ``within_batch_dupe`` logs the closest earlier row of the same batch, it never rejects.
+    ``within_batch_dupe`` logs the closest earlier row of the same batch, it never rejects. Admitted rows are an index that grows by a
+    folder for each batch and cell: the cell is the nearest of some pivots, which the first rows gave, and a batch reads only the cells that can hold
+    something closer than ``limit``. With the two paths of an earlier run the job goes on where that stopped.
     """
     spark = stream.sparkSession
-    out = fresh_path(spark, "admitted")
+    out = out or fresh_path(spark, "admitted")
+    wide = math.acos(max(-1.0, min(1.0, limit))) + 1e-7
 
     def gate(df: DataFrame, batch: int) -> None:
-        v = vectors(df, id_col, vec, order=F.col(order))
-        past = None
-        if batch > 0:
-            past = spark.read.parquet(out).where((F.col("batch") < batch) & F.col("admitted"))
-            past = past.select("id", "vec", "grp", "ord")
-        bad = duplicates(v, past, limit) if past is not None else None
+        v = cut(vectors(df, id_col, vec, order=F.col(order)))
+        if batch == 0 or not exists(spark, f"{out}/pivots"):
+            v.orderBy(F.xxhash64("id"), "id").limit(pivots).select("id", "vec").coalesce(1).write.mode("overwrite").parquet(f"{out}/pivots")
+        chosen = spark.read.parquet(f"{out}/pivots").orderBy("id").toPandas()["vec"]  # at most ``pivots`` rows
+        grid = np.vstack(chosen.to_numpy()) if len(chosen) else np.zeros((0, 1))
+
+        def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Each row's own cell, and the cells where something may be close to it."""
+            for b in batches:
+                if len(b) and len(grid):
+                    angle = np.arccos(np.clip(np.vstack(b["vec"].to_numpy()) @ grid.T, -1.0, 1.0))
+                    near = (angle - angle.min(axis=1)[:, None]) / 2.0 <= wide
+                    yield pd.DataFrame({"id": b["id"].to_numpy(), "home": angle.argmin(axis=1), "cells": [np.flatnonzero(r) for r in near]})
+
+        places = cut(v.mapInPandas(placed, "id bigint, home bigint, cells array<bigint>"))
+        close = None
+        index = f"{out}/index"
+        if batch > 0 and exists(spark, index):
+            visits = places.select("id", F.explode("cells").alias("cell"))
+            asked = [r.cell for r in visits.select("cell").distinct().collect()]  # at most ``pivots``
+            rows = spark.read.option("basePath", index).parquet(index).where((F.col("batch") < batch) & F.col("cell").isin(asked or [-1]))
+            past = Cells(rows.select("id", "vec", "grp", "ord", F.col("cell").cast("bigint")))
+            live = v.where(F.exists("vec", lambda x: x != 0))
+            close = past.compared(live, visits.join(live.select("id"), "id", "left_semi"), 1, limit, Rule()).groupBy("id").agg(F.max("sim").alias("max_sim"))
         log = best_match(v, v, Rule(earlier=True)).select("id", F.col("sim").alias("__w"))
-        res = v.join(log, "id", "left").withColumn("within_batch_dupe", F.greatest(F.coalesce("__w", F.lit(0.0)), F.lit(0.0)))
-        if bad is None:
-            res = res.withColumn("max_sim", F.lit(None).cast("double"))
-        else:
-            res = res.join(bad.select("id", F.col("sim").alias("max_sim")), "id", "left")
-        res.withColumn("admitted", F.col("max_sim").isNull()).drop("__w").write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    q = stream.writeStream.outputMode("append").option("checkpointLocation", fresh_path(spark, "checkpoint")).foreachBatch(
+        res = v.join(log, "id", "left").withColumn("within_batch_dupe", F.greatest(F.coalesce("__w", F.lit(0.0)), F.lit(0.0))).drop("__w")
+        res = res.join(close, "id", "left") if close is not None else res.withColumn("max_sim", F.lit(None).cast("double"))
+        res = cut(res.withColumn("admitted", F.col("max_sim").isNull()))
+        res.write.mode("overwrite").parquet(f"{out}/log/batch={batch}")
+        kept = res.where("admitted").join(places.select("id", F.col("home").alias("cell")), "id")
+        kept.select("id", "vec", "grp", "ord", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{index}/batch={batch}")
+
+    q = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint or fresh_path(spark, "checkpoint")).foreachBatch(
         gate).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(f"{out}/log")
 
 
 def posterior_stream(stream: DataFrame, anchor: str = "anchor", state: str = "terminal_state", improved: str = "improved",
@@ -164,13 +231,13 @@ def posterior_stream(stream: DataFrame, anchor: str = "anchor", state: str = "te
                                       n_rows().alias("n_selected"))
 
 
-def every_n_rows(stream: DataFrame, n: int, job: Callable[[int], None]) -> DataFrame:
+def every_n_rows(stream: DataFrame, n: int, job: Callable[[int], None], out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run ``job(total)`` whenever another ``n`` rows have arrived; returns (batch, total, fired).
 
-    The count so far is read from the sink, so a restart neither loses nor repeats a trigger.
+    The count so far is read from the sink, so a restart with the two paths of an earlier run neither loses nor repeats a trigger.
     """
     spark = stream.sparkSession
-    out = fresh_path(spark, "ticks")
+    out = out or fresh_path(spark, "ticks")
 
     def tick(df: DataFrame, batch: int) -> None:
         before = 0
@@ -183,7 +250,7 @@ def every_n_rows(stream: DataFrame, n: int, job: Callable[[int], None]) -> DataF
         spark.range(1).select(F.lit(total).cast("bigint").alias("total"), F.lit(fired).alias("fired")).write.mode(
             "overwrite").parquet(f"{out}/batch={batch}")
 
-    q = stream.writeStream.outputMode("append").option("checkpointLocation", fresh_path(spark, "checkpoint")).foreachBatch(
+    q = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint or fresh_path(spark, "checkpoint")).foreachBatch(
         tick).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out)

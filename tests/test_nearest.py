@@ -22,7 +22,9 @@ def data():
 def small_blocks(monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK_ROWS", 40)
     monkeypatch.setattr(nearest, "QUERY_ROWS", 50)
-    monkeypatch.setattr(nearest, "ROWS_PER_CELL", 20)
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 60)
+    monkeypatch.setattr(nearest, "FAN", 4)
+    monkeypatch.setattr(nearest, "NEXT", 2)
 
 
 def frame(spark, x):
@@ -112,3 +114,54 @@ def test_ties_go_to_the_earlier_row(spark):
     q = plain(spark, [(99, e, 0, 50)])
     assert [r.nid for r in top_k(q, c, 3, Rule(earlier=True)).orderBy("rank").collect()] == [5, 10, 15]
     assert [r.nid for r in top_k(q, c, 6, Rule(earlier=True)).orderBy("rank").collect()] == [5, 10, 15, 20, 25, 3]
+
+
+@pytest.mark.parametrize("k, min_sim", [(1, None), (10, None), (10, 0.9), (5, 0.9999999), (400, 0.3)])
+def test_closest_pairs(spark, data, k, min_sim):
+    x = np.vstack([data[80:], data[:5]])  # few copies
+    v = vectors(frame(spark, x), "id", "e")
+    whole = sims(x)
+    s = np.round(whole, 9)
+    pairs = [(-s[i, j], i, j) for i in range(0, len(x), 2) for j in range(1, len(x), 2) if min_sim is None or whole[i, j] > min_sim] if k < 400 else None
+    got = [(r.id, r.nid) for r in nearest.closest_pairs(v.where("id % 2 = 0"), v.where("id % 2 = 1"), k, min_sim).orderBy(F.desc(F.round("sim", 9)), "id", "nid").collect()]
+    if pairs is not None:
+        assert got == [(i, j) for _, i, j in sorted(pairs)[:k]]
+    else:
+        assert len(got) == 400
+
+
+def test_depth_follows_the_rows(spark, data):
+    small, large = (nearest.Tree(vectors(frame(spark, data[90:90 + n]), "id", "e")) for n in (50, 210))
+    assert small.depth == 0 and large.depth >= 1
+    assert large.rows.count() == 210 and large.sizes.agg(F.sum("n")).head()[0] == 210
+    assert large.rows.select("cell").distinct().count() == large.sizes.count()
+
+
+def test_equal_rows_that_no_pivot_can_split(spark):
+    x = [[1.0, 0.0]] * 60 + [[0.0, 1.0]]
+    c = plain(spark, [(i, e, i, 0) for i, e in enumerate(x)])
+    got = top_k(c.where("id >= 59"), c, 2, Rule(other_group=True))  # copies of 60 groups stay apart
+    assert {(r.id, r.rank, r.nid) for r in got.collect()} == {(59, 1, 0), (59, 2, 1), (60, 1, 0), (60, 2, 1)}
+
+
+def test_neighbours_of_other_lineages(spark, data):
+    from duologue.operators.similarity import neighbours_other_lineage
+
+    rng = np.random.default_rng(8)
+    n = 60
+    x = data[90:90 + n]
+    root, source, side = rng.integers(0, 6, n), rng.integers(0, 25, n), rng.integers(0, 2, n)
+    df = spark.createDataFrame([(i, [float(a) for a in x[i]], int(root[i]), int(source[i]), int(side[i])) for i in range(n)], "id bigint, e array<double>, r int, s int, p int")
+    got = {(r["id"], r["rank"], r["nid"]) for r in neighbours_other_lineage(df, 4, "id", "e", F.col("r"), F.col("s"), F.col("p")).collect()}
+    sim, want = np.round(sims(x), 9), {(i, 0, i) for i in range(n)}
+    for q in range(n):
+        seen = {}
+        for i in range(n):  # the order of the archive
+            if root[i] != root[q] and source[i] != source[q]:
+                if source[i] not in seen or side[i] == side[q]:
+                    seen[source[i]] = i
+        near = sorted(seen.values(), key=lambda i: (-sim[q, i], i))[:3]
+        want |= {(q, r + 1, i) for r, i in enumerate(near)}
+    assert got == want
+    few = df.where("id < 5").withColumn("r", F.lit(1))
+    assert neighbours_other_lineage(few, 4, "id", "e", F.col("r"), F.col("s"), F.col("p")).count() == 5

@@ -40,7 +40,7 @@ def test_posterior(spark, sliced):
 
 
 def test_bounded_slope(spark, sliced):
-    table = J.run_to_table(J.bounded_slope(stream(spark, sliced), "k", "id", "v"), "update")
+    table = J.stateful(J.bounded_slope(stream(spark, sliced), "k", "id", "v"))
     assert table.select("batch").distinct().count() == 4
     for r in J.last_value(table, ["key"]).collect():
         vals = [x["v"] for x in sliced[1].where(F.col("k") == int(r["key"])).orderBy("id").collect()][-10:]
@@ -71,3 +71,38 @@ def test_every_n_rows(spark, sliced):
     fired = []
     got = J.every_n_rows(stream(spark, sliced), 250, fired.append).orderBy("batch").collect()
     assert [r["total"] for r in got] == [150, 300, 450, 600] and fired == [300, 600]
+
+
+def parts(sliced, n=3):
+    return [sliced[1].where(F.col("id") % n == i) for i in range(n)]
+
+
+def test_slope_goes_on_after_a_stop(spark, sliced):
+    """Every part is a run of its own, which finds the state of the one before."""
+    table = J.fed(parts(sliced), lambda s, out, checkpoint: J.stateful(J.bounded_slope(s, "k", "id", "v"), out, checkpoint))
+    assert table.select("batch").distinct().count() == 3
+    for r in J.last_value(table, ["key"]).collect():
+        vals = [x["v"] for x in sliced[1].where(F.col("k") == int(r["key"])).orderBy("id").collect()][-10:]
+        assert r["n"] == 10 and r["slope"] == pytest.approx(sum(vals[5:]) / 5 - sum(vals[:5]) / 5)
+
+
+def test_ticks_go_on_after_a_stop(spark, sliced):
+    fired = []
+    got = J.fed(parts(sliced), lambda s, out, checkpoint: J.every_n_rows(s, 250, fired.append, out, checkpoint)).orderBy("batch").collect()
+    assert [r["total"] for r in got] == [200, 400, 600] and fired == [400, 600]
+
+
+def test_admission_goes_on_after_a_stop(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12, 6))[rng.integers(0, 12, 120)] + 0.05 * rng.normal(size=(120, 6))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id bigint, e array<double>")
+    got = J.fed([df.where(F.col("id") % 4 == k) for k in range(4)],
+                lambda s, out, checkpoint: J.admit(s, "id", "e", 0.99, "id", out, checkpoint, pivots=5)).collect()
+    kept = [i for i in range(120) if i % 4 == 0]
+    for b in (1, 2, 3):
+        kept += [i for i in range(b, 120, 4) if (u[i] @ u[kept].T).max() <= 0.99]
+    assert sorted(r.id for r in got if r.admitted) == sorted(kept) and 20 < len(kept) < 100
+    assert {r.id: r.batch for r in got} == {i: i % 4 for i in range(120)}
