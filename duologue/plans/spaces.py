@@ -62,7 +62,7 @@ _DIST = "list_distance(a.e, f.c)"
 
 @query("k02_managed", f"""WITH {ARCHIVE}, f AS (SELECT id AS niche, e AS c FROM arc WHERE id < 8),
 a0 AS (SELECT a.id, arg_min(f.niche, {_DIST}) AS niche FROM arc a, f WHERE a.id % 2 = 0 GROUP BY 1),
-m AS (SELECT niche, i, avg(e[i]) AS x FROM a0 JOIN arc USING (id), range(1, 65) r(i) GROUP BY ALL),
+m AS (SELECT a0.niche, i, avg(e[i]) AS x FROM a0 JOIN arc USING (id), range(1, 65) r(i) GROUP BY ALL),
 n AS (SELECT niche, list(x ORDER BY i) AS c FROM m GROUP BY 1),
 g AS (SELECT f.niche, coalesce(n.c, f.c) AS c FROM f LEFT JOIN n USING (niche)),
 a1 AS (SELECT a.id, arg_min(f.niche, {_DIST}) AS niche FROM arc a, g f WHERE a.id % 2 = 1 GROUP BY 1)
