@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duologue.functions.fuzzy import near_items_udf, partial_ratio_udf, ratio_udf
+from duologue.functions.fuzzy import near_items_udf, over_udf, partial_ratio_udf, reaches_udf
 from duologue.functions.text import strip
 
 # Allowed tags, and the patterns that mark guidance nobody can act on in talk.
@@ -111,23 +111,28 @@ def key_delta(pairs: DataFrame, slots: dict[str, tuple[str, str]], declared: str
 
     ``slots`` maps a slot letter to its (child, anchor) text columns.
     """
-    ratio, partial = ratio_udf(), partial_ratio_udf(floor)
     said = F.transform(F.coalesce(F.col(declared), F.array().cast("array<string>")), lambda x: F.lower(strip(x)))
     known = F.filter(said, lambda x: x.isin(*slots))
+    plain = lambda x: F.lower(strip(F.coalesce(x, F.lit(""))))
+    # A Python function runs on every row, so rows whose answer does not matter get nothing to do.
+    given = lambda ask, x: F.when(ask, x).otherwise("")
+    same = over_udf(limit)
     changed = F.lit(False)
     out = pairs
     for s, (c, a) in slots.items():
-        out = out.withColumn(f"__r_{s}", ratio(F.lower(strip(F.coalesce(c, F.lit("")))), F.lower(strip(F.coalesce(a, F.lit(""))))))
-        changed = changed | (F.array_contains(known, s) & (F.col(f"__r_{s}") <= limit))
-    a, b = F.lower(strip(F.coalesce(child_text, F.lit("")))), F.lower(strip(F.coalesce(anchor_text, F.lit(""))))
-    out = out.withColumn("__text", partial(a, b))
+        declares = F.array_contains(known, s)
+        out = out.withColumn(f"__r_{s}", same(given(declares, plain(c)), given(declares, plain(a))))
+        changed = changed | (declares & ~F.col(f"__r_{s}"))
+    a, b = plain(child_text), plain(anchor_text)
+    ask = (F.size(known) > 0) & (a != "") & (b != "")
+    out = out.withColumn("__near", reaches_udf(floor)(given(ask, a), given(ask, b)))
     lost = F.array_except(_names(F.col(anchor_names)), _names(F.col(child_names)))
     issues = F.array_compact(F.array(
         F.when(F.size(known) == 0, F.lit("no_key_slot")),
         F.when((F.size(known) > 0) & ~changed, F.lit("slots_unchanged")),
         F.when((F.size(known) > 0) & (F.size(lost) > 0), F.lit("names_changed")),
-        F.when((F.size(known) > 0) & (a != "") & (b != "") & (F.col("__text") < floor), F.lit("text_drifted"))))
-    return out.withColumn("issues", issues).drop("__text", *[f"__r_{s}" for s in slots])
+        F.when(ask & ~F.col("__near"), F.lit("text_drifted"))))
+    return out.withColumn("issues", issues).drop("__near", *[f"__r_{s}" for s in slots])
 
 
 def key_leaks(df: DataFrame, key: str, conditions: str, triggers: str, public: Column, partner_public: Column,

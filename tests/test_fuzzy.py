@@ -99,3 +99,40 @@ def test_key_leaks_rows(spark):
             for i in own or []:
                 want[k, kind, i] = Z.partial_ratio((i or "").lower(), (seen or "").lower()) > 85
     assert got == want and 20 < sum(want.values()) < len(want) - 20
+
+
+@pytest.mark.parametrize("cutoff", [30.0, 60.0, 75.0, 90.0, 100.0])
+def test_decisions_as_by_full_comparison(cutoff):
+    for text, items in texts_with_copies(int(cutoff) + 1):
+        for i in items:
+            assert Z.reaches(i, text, cutoff) == Z.reaches(text, i, cutoff) == (Z.partial_ratio(i, text) >= cutoff)
+            assert Z.over(i, text, cutoff) == (Z.indel_ratio(i, text) > cutoff)
+
+
+def test_a_stretch_settles_its_windows(monkeypatch):
+    """A long text far from the short one is walked less than twice; one that does not matter is not looked at."""
+    rng = random.Random(3)
+    a, b = "".join(rng.choices("abcdefghij", k=400)), "".join(rng.choices("abklmnopqrstuvwxyz" * 2 + "cdefghij", k=20_000))
+    runs, init = [], Z._Run.__init__
+    monkeypatch.setattr(Z._Run, "__init__", lambda self, *x: init(self, *x) or runs.append(self))
+    assert Z.reaches(a, b, 60.0) == (Z.partial_ratio(a, b) >= 60)
+    assert len(runs) > 2 and sum(r.at - r.start for r in runs) < 2 * len(b)
+
+
+def test_only_declared_slots_are_compared(spark, monkeypatch):
+    asked = spark.sparkContext.accumulator(0)
+
+    def count(cutoff):
+        @F.pandas_udf("boolean")
+        def has(a, b):
+            asked.add(int((a != "").sum()))
+            return (a == b)
+
+        return has
+
+    monkeypatch.setattr(C, "reaches_udf", count)
+    rows = [(1, ["b"], "one text", "one text"), (2, ["x"], "one text", "other"), (3, None, "a", "b"), (4, [" B "], "far", "other")]
+    df = spark.createDataFrame(rows, "k int, d array<string>, t string, p string").withColumn("n", F.array().cast("array<string>"))
+    got = {r.k: r.issues for r in C.key_delta(df, {"b": ("t", "p")}, "d", "n", "n", "t", "p").collect()}
+    assert got == {1: ["slots_unchanged"], 2: ["no_key_slot"], 3: ["no_key_slot"], 4: ["text_drifted"]}
+    assert asked.value == 2
