@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duologue.functions.vectors import cosine
 from duologue.operators.joins import one_perspective
-from duologue.operators.nearest import Rule, above, best_match, closest_pairs, duplicates, top_k, vectors
+from duologue.operators.nearest import Rule, above, best_match, closest_pairs, counted, duplicates, top_k, vectors
 
 
 def neighbours_other_lineage(rows: DataFrame, k: int, id_col: str, vec: str, root: Column, source: Column, side: Column) -> DataFrame:
@@ -98,6 +98,6 @@ def repeated_sources(trials: DataFrame, trial: str, source: str) -> DataFrame:
     return trials.groupBy(trial, source).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-__all__ = ["Rule", "above", "batch_duplicates", "best_match", "closest_pairs", "contamination_summary", "duplicates",
+__all__ = ["Rule", "above", "batch_duplicates", "best_match", "closest_pairs", "contamination_summary", "counted", "duplicates",
            "mean_pairwise_distance", "nearest_distance", "neighbours_other_lineage", "repeated_sources",
            "retrieve_one_perspective", "target_side", "top_k", "vectors"]

@@ -75,7 +75,7 @@ def _(spark, d):
     q, c = _sides(spark, d)
     sources = archive(spark, d).select("source_id", "method")  # the two perspectives of a source may fall on both sides
     exact = sources.where("method <> 0").select("source_id").distinct().join(sources.where("method = 0"), "source_id", "left_semi")
-    return V.contamination_summary(exact, V.above(q, c, 0.3), 0.3)
+    return V.contamination_summary(exact, V.counted(q, c, 0.3), 0.3)
 
 
 @query("d15_near_duplicates", _SEM + """, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, nid) AS rn FROM p)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from duologue.operators.nearest import Cells, Rule, best_match, vectors
+from duologue.operators.nearest import Rule, best_match, vectors
 from duologue.operators.summaries import child_votes, n_rows
 from duologue.session import cut, exists, fresh_path
 
@@ -203,12 +203,10 @@ def admit(stream: DataFrame, id_col: str, vec: str, limit: float, order: str, ou
         close = None
         index = f"{out}/index"
         if batch > 0 and exists(spark, index):
-            visits = places.select("id", F.explode("cells").alias("cell"))
-            asked = [r.cell for r in visits.select("cell").distinct().collect()]  # at most ``pivots``
+            asked = [r.cell for r in places.select(F.explode("cells").alias("cell")).distinct().collect()]  # at most ``pivots``
             rows = spark.read.option("basePath", index).parquet(index).where((F.col("batch") < batch) & F.col("cell").isin(asked or [-1]))
-            past = Cells(rows.select("id", "vec", "grp", "ord", F.col("cell").cast("bigint")))
             live = v.where(F.exists("vec", lambda x: x != 0))
-            close = past.compared(live, visits.join(live.select("id"), "id", "left_semi"), 1, limit, Rule()).groupBy("id").agg(F.max("sim").alias("max_sim"))
+            close = best_match(live, rows.select("id", "vec", "grp", "ord"), min_sim=limit).select("id", F.col("sim").alias("max_sim"))
         log = best_match(v, v, Rule(earlier=True)).select("id", F.col("sim").alias("__w"))
         res = v.join(log, "id", "left").withColumn("within_batch_dupe", F.greatest(F.coalesce("__w", F.lit(0.0)), F.lit(0.0))).drop("__w")
         res = res.join(close, "id", "left") if close is not None else res.withColumn("max_sim", F.lit(None).cast("double"))

@@ -165,3 +165,38 @@ def test_neighbours_of_other_lineages(spark, data):
     assert got == want
     few = df.where("id < 5").withColumn("r", F.lit(1))
     assert neighbours_other_lineage(few, 4, "id", "e", F.col("r"), F.col("s"), F.col("p")).count() == 5
+
+
+@pytest.mark.parametrize("tree", [True, False])
+def test_grid_and_tree_agree(spark, data, tree, monkeypatch):
+    asked = []
+    monkeypatch.setattr(nearest, "_prunes", lambda *_: asked.append(1) or tree)
+    monkeypatch.setattr(nearest, "PIECE_ROWS", 40)
+    v = vectors(frame(spark, data), "id", "e", group=F.col("id") % 7, order=F.col("id"))
+    got = {(r["id"], r["rank"], r["nid"]) for r in top_k(v, v, 4, Rule(earlier=True)).collect()}
+    assert got == brute(data, 4, lambda i, j: j < i) and asked
+    s = sims(data)
+    pairs = {(r["id"], r["nid"]) for r in above(v.where("id >= 80"), v.where("id >= 85"), 0.97, Rule(not_self=True), expand=True).collect()}
+    assert pairs == {(i, j) for i in range(80, 300) for j in range(85, 300) if i != j and s[i, j] > 0.97}
+
+
+def test_what_is_moved_grows_with_the_rows(spark, monkeypatch):
+    """On vectors without structure every leaf is open; twice the rows must not move four times the vectors."""
+    monkeypatch.setattr(nearest, "PIECES", 3, raising=False)
+    monkeypatch.setattr(nearest, "PIECE_ROWS", 100, raising=False)
+    x = np.random.default_rng(2).normal(size=(1600, 64))
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    took = []
+    for n in (800, 1600):
+        v = vectors(frame(spark, x[:n]), "id", "e")
+        before = moved()
+        assert top_k(v, v, 2, Rule(not_self=True)).count() == 2 * n
+        took.append(moved() - before)
+    assert took[1] < 2.6 * took[0]
+
+
+def test_null_components_only_leave_out_their_row(spark):
+    c = plain(spark, [(1, [1.0, 0.0], 0, 0), (2, [float("nan"), 0.0], 0, 0), (3, [0.0, 1.0], 0, 0)])
+    got = {(r.id, r.nid) for r in top_k(c, c, 1, Rule(not_self=True)).collect()}
+    assert got == {(1, 3), (3, 1)}
+    assert nearest.counted(c, c, 0.9).agg(F.sum(F.col("copies") * F.col("n_copies"))).head()[0] == 2
