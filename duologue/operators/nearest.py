@@ -2,7 +2,7 @@
 
 Two ways give the same rows; a probe of a few queries says which of them moves fewer vectors.
 
-The grid cuts both sides into a few pieces by hash, at least PIECES where there are many rows and so many that none has more than
+The grid cuts both sides into a few pieces by hash, PIECES where there are more than a few thousand rows and so many that none has more than
 GRID_ROWS, and every pair of pieces is one task. A row travels once for each piece of the other side, so what is moved grows with the rows as long
 as PIECES suffice. Inside a task the k best so far are the bound of what is looked at further.
 
@@ -40,9 +40,9 @@ FAN = 64  # pivots of a cell
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
 NEXT = 8  # leaves of the second round
-GRID_ROWS = 65_536  # rows of a piece at most
-PIECES = 12  # pieces of a side with many rows
-PIECE_ROWS = 1024  # rows that are worth a piece
+GRID_ROWS = 131_072  # rows of a piece at most
+PIECES = 6  # pieces of a side
+PIECE_ROWS = 512  # rows that are worth a piece
 CHUNK = 1 << 16  # pairs that are taken in double precision at once
 PROBES = 512  # queries that try the tree
 _SLACK = 1e-7  # guards the bounds against rounding
@@ -396,9 +396,14 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int | None, min_sim: float
     sizes = queries.count(), corpus.count()
     if sizes[1] <= LEAF_ROWS:
         return _grid(queries, corpus, sizes, k, min_sim, rule)
-    tree = Tree(corpus, rule)
     wide = math.acos(max(-1.0, min(1.0, min_sim))) if min_sim is not None else math.pi
     q = queries.withColumn("wide", F.lit(wide))
+    step = 2 * sizes[1] // (3 * LEAF_ROWS)
+    if step > 1:  # if the tree of a few rows does not prune, that of all rows is not made; both ways give the same rows
+        few = corpus.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(step)) == 0)
+        if not _prunes(Tree(few, rule), q, sizes, k, min_sim, rule):
+            return _grid(queries, corpus, sizes, k, min_sim, rule)
+    tree = Tree(corpus, rule)
     if not _prunes(tree, q, sizes, k, min_sim, rule):
         return _grid(queries, corpus, sizes, k, min_sim, rule)
     if k is None:

@@ -195,6 +195,18 @@ def test_what_is_moved_grows_with_the_rows(spark, monkeypatch):
     assert took[1] < 2.6 * took[0]
 
 
+def test_pieces_do_not_grow_with_the_rows():
+    assert nearest._pieces(4_000) == nearest._pieces(10_000) == nearest._pieces(600_000) <= 6
+
+
+def test_no_whole_tree_where_a_few_rows_do_not_prune(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(600, 32))
+    v, made, tree = vectors(frame(spark, x), "id", "e"), [], nearest.Tree
+    monkeypatch.setattr(nearest, "Tree", lambda rows, rule: made.append(rows.count()) or tree(rows, rule))
+    got = {(r["id"], r["rank"], r["nid"]) for r in top_k(v, v, 2, Rule(not_self=True)).collect()}
+    assert got == brute(x, 2, lambda i, j: i != j) and max(made) < 200
+
+
 def test_null_components_only_leave_out_their_row(spark):
     c = plain(spark, [(1, [1.0, 0.0], 0, 0), (2, [float("nan"), 0.0], 0, 0), (3, [0.0, 1.0], 0, 0)])
     got = {(r.id, r.nid) for r in top_k(c, c, 1, Rule(not_self=True)).collect()}
