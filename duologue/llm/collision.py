@@ -40,7 +40,7 @@ class Lines:
 
     def __init__(self, points: np.ndarray, lines: np.ndarray):
         place = points @ lines
-        order = np.argsort(place, axis=0).T.astype(np.int32)
+        order = np.argsort(place, axis=0).T  # as wide as bincount wants it, so that nothing is cast for each window
         place = np.take_along_axis(place.T, order, 1)
         # The lines end to end, so that one search finds a place on each of them.
         n, self.step = len(points), 4 * float(np.abs(place).max()) + 4
@@ -49,7 +49,7 @@ class Lines:
         self.order, self.place = order.ravel(), (place + self.shift[:, None]).ravel()
 
     def find(self, at: np.ndarray) -> np.ndarray:
-        """The number of candidates before a place on each line, counted over the lines end to end."""
+        """The number of candidates before a place on each line, counted over the lines end to end; rows of ``at`` are places on all lines."""
         inside = np.clip(at, -self.step / 2, self.step / 2)
         return np.clip(self.place.searchsorted(inside + self.shift), self.begin, self.end)
 
@@ -61,10 +61,11 @@ class Lines:
         if own >= 0:
             tested[own] = True
         lo = hi = self.find(query)
-        half = per_distance * sqrt(max(q2, 1e-12)) / 16
+        half = per_distance * sqrt(max(q2, 1e-12)) / 4  # narrower ones hold nothing that these do not hold
         rows, score = np.array([], np.int64), np.array([])
         while True:
-            a, b = np.minimum(self.find(query - half), lo), np.maximum(self.find(query + half), hi)
+            a, b = self.find(np.stack([query - half, query + half]))
+            a, b = np.minimum(a, lo), np.maximum(b, hi)
             grown = [self.order[x:y] for x, y in zip([*a.tolist(), *hi.tolist()], [*lo.tolist(), *b.tolist()], strict=True) if x < y]
             lo, hi = a, b
             if grown:

@@ -66,3 +66,18 @@ def test_recall_of_collision_counting(spark, block):
         hit += sum(s >= least for _, s in got[q])
         total += len(best)
     assert hit >= 0.95 * total
+
+
+def test_few_rounds_on_vectors_without_structure(monkeypatch):
+    x, asked, find = np.random.default_rng(4).normal(size=(3000, 32)), [], collision.Lines.find
+    monkeypatch.setattr(collision.Lines, "find", lambda self, at: asked.append(1) or find(self, at))
+    lines, m2 = np.random.default_rng(7).standard_normal((33, 64)), float((x * x).sum(1).max())
+    index = collision.Lines(np.c_[x, np.sqrt(np.maximum(0.0, m2 - (x * x).sum(1)))], lines)
+    points, wide = np.c_[x, np.sqrt(np.maximum(0.0, m2 - (x * x).sum(1)))], collision.reach(64, 26, 0.95)
+    found = 0
+    for i in range(20):
+        rows, _ = index.near(np.r_[x[i], 0.0] @ lines, points, x, x[i], m2 + float(x[i] @ x[i]), i, np.arange(3000), 20, 26, wide, 1.25)
+        score = x @ x[i]
+        score[i] = -np.inf
+        found += len(set(rows.tolist()) & set(np.argsort(-score)[:20].tolist()))
+    assert len(asked) <= 20 * 9 and found >= 0.95 * 400
