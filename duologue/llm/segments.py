@@ -16,7 +16,6 @@ All random numbers are hashes of the row's key and of their place in the row, so
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +28,40 @@ from duologue.llm.common import mix
 SPACE, STAND_IN = "▁", "\udc80"  # the piece for a space; what a real U+2581 becomes (no valid text holds it)
 MOST = 3_000_000  # positions kept
 SLOTS = 18  # log2 of the places in the table of piece starts
+SPREAD = 42.0  # a Gumbel number of ``gumbel(uniform())`` is over -3.7 and under 36.8, so two of them are never further apart
 
 
-def chunk_pattern(names: list[str]) -> re.Pattern:
-    """Chunks are runs of spaces and marks, then other characters. Marks are ASCII characters other than letters that no piece has
-    right after a character that is neither a mark nor a space. (Marks beyond ASCII would be as right, but make the pattern slow.)"""
+def mark_table(names: list[str]) -> np.ndarray:
+    """Which characters (all from 128 on as one) are marks: ASCII characters other than letters that no piece has right after a
+    character that is neither a mark nor a space. A chunk is a run of spaces, then marks, then other characters, each may be missing."""
     marks = {c for name in names for c in name if c.isascii() and not c.isalpha()} | {"\n"}
     steps = {(a, b) for name in names for a, b in zip(name, name[1:], strict=False) if a != SPACE}
     while late := {b for a, b in steps if b in marks and a not in marks}:
         marks -= late
-    m = re.escape("".join(sorted(marks)))
-    return re.compile(f"{SPACE}+[{m}]*[^{SPACE}{m}]*|[{m}]+[^{SPACE}{m}]*|[^{SPACE}{m}]+")
+    return np.array([chr(c) in marks for c in range(128)] + [False])
+
+
+def find(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Slots of hashes in a table (its size a power of two, 0: empty); an empty slot where a hash is not there."""
+    at = (h >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
+    k = table[at]
+    lost = np.flatnonzero((k != h) & (k != 0))
+    while len(lost):
+        at[lost] = (at[lost] + 1) % len(table)
+        k = table[at[lost]]
+        lost = lost[(k != h[lost]) & (k != 0)]
+    return at
+
+
+def fill(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Puts hashes, all different and none in the table yet, into free slots; returns these."""
+    at, left = (h >> np.uint64(65 - len(table).bit_length())).astype(np.int64), np.arange(len(h))
+    while len(left):
+        free = left[table[at[left]] == 0]
+        table[at[free]] = h[free]
+        left = left[table[at[left]] != h[left]]
+        at[left] = (at[left] + 1) % len(table)
+    return at
 
 
 class Vocabulary:
@@ -53,7 +75,7 @@ class Vocabulary:
         plain = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         if any(SPACE in names[i].lstrip(SPACE) for i in plain):
             raise ValueError("a piece crosses the start of a word")
-        self.chunk = chunk_pattern([names[i] for i in plain])
+        self.mark = mark_table([names[i] for i in plain])
         self.chars = np.array([1 if m.is_byte(i) else len(names[i]) for i in range(n)], np.int32)
         rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-m.get_score(i), i)))}
         self.score = -sharpness * np.log(np.array([rank.get(i, n) for i in range(n)]) + 2.7)
@@ -63,31 +85,20 @@ class Vocabulary:
             self.bytes[i] = bytes([b])
         self.flat, self.size = np.frombuffer(b"".join(self.bytes), np.uint8), np.array([len(b) for b in self.bytes], np.int64)
         self.offset = np.cumsum(self.size) - self.size
-        starts: dict[int, list[int]] = {}  # hash of each start of a piece: [piece or -1, whether it goes on]
-        chars = [np.array([ord(c) for c in names[i]], np.uint64) for i in plain]
-        for i, c in zip(plain, chars, strict=True):
-            h = np.zeros(1, np.uint64)
-            for j in range(len(c)):
-                h = roll(h, c[j: j + 1])
-                e = starts.setdefault(int(h[0]), [-1, 0])
-                e[1] |= j + 1 < len(c)
-            e[0] = i
+        chars = np.frombuffer("".join(names[i] for i in plain).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        ids, size = np.array(plain, np.int32), np.array([len(names[i]) for i in plain], np.int64)
+        offset, h = np.cumsum(size) - size, np.zeros(len(plain), np.uint64)
+        starts = []  # of all pieces: hash, piece or -1, whether it goes on
+        for j in range(self.longest):
+            on = size > j
+            ids, size, offset, h = ids[on], size[on], offset[on], h[on]
+            h = roll(h, chars[offset + j])
+            starts.append((h, np.where(size == j + 1, ids, -1), size > j + 1))
+        hashes, of = np.unique(np.concatenate([x[0] for x in starts]), return_inverse=True)
         self.key, self.value, self.more = np.zeros(1 << SLOTS, np.uint64), np.full(1 << SLOTS, -1, np.int32), np.zeros(1 << SLOTS, bool)
-        for h, (i, more) in starts.items():
-            at = h >> (64 - SLOTS)
-            while self.key[at]:
-                at = (at + 1) % (1 << SLOTS)
-            self.key[at], self.value[at], self.more[at] = h, i, more
-
-    def look_up(self, h: np.ndarray) -> np.ndarray:
-        """Slots of hashes; an empty slot where a hash is not there."""
-        at = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
-        lost = np.flatnonzero((self.key[at] != h) & (self.key[at] != 0))
-        while len(lost):
-            at[lost] = (at[lost] + 1) % (1 << SLOTS)
-            k = self.key[at[lost]]
-            lost = lost[(k != h[lost]) & (k != 0)]
-        return at
+        at = fill(self.key, hashes)[of]
+        np.maximum.at(self.value, at, np.concatenate([x[1] for x in starts]))
+        np.logical_or.at(self.more, at, np.concatenate([x[2] for x in starts]))
 
     def raw(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes of all pieces, and where each piece ends in them."""
@@ -105,30 +116,20 @@ def roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (h + c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29))
 
 
-class Numbers(dict):
-    """Numbers chunks as they come; those not met before are also listed as new."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        n = self[chunk] = len(self)
-        self.new.append(chunk)
-        return n
-
-
 class Lattices:
     """Lattices of chunks: positions with their steps (piece, chance, next position), and a guide into the chances."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.factor = 0x9E3779B97F4A7C15  # of the hashes of chunks
         self.clear()
 
     def clear(self) -> None:
-        self.at = Numbers()  # of chunks; ``begin`` has their first positions
+        self.table, self.number = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)  # hashes of chunks and their numbers
+        self.chunks = self.positions = self.steps = 0  # used of the arrays, which are longer
+        self.hash = np.zeros(0, np.uint64)  # of each chunk; ``begin`` has its first position
         self.begin = np.zeros(0, np.int64)
-        self.positions = self.steps = 0  # used of the arrays, which are longer
+        self.letter = np.zeros(0, np.uint32)  # of each position, 0 at a chunk's end
         self.first, self.count, self.piece, self.next, self.guide = (np.zeros(0, np.int32) for _ in range(5))
         self.cum, self.log_p = (np.zeros(0, np.float64) for _ in range(2))
 
@@ -142,73 +143,120 @@ class Lattices:
                 setattr(self, name, array)
             array[used:need] = values
 
-    def starts(self, chunks: list[str]) -> np.ndarray:
+    def starts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The first positions of all chunks of the texts, and how many chunks each text has."""
         if self.positions > MOST:
             self.clear()
-        number = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        if self.at.new:
-            self.put(len(self.at) - len(self.at.new), begin=self.add(self.at.new))
-            self.at.new = []
-        return self.begin[number]
-
-    def add(self, chunks: list[str]) -> np.ndarray:
-        """Builds the lattices of new chunks and returns their first positions."""
+        letters = np.frombuffer("".join([f" {t}" for t in texts if t]).encode("utf-32-le", "surrogatepass"), "<u4").copy()
+        space = letters == ord(" ")
+        letters[letters == ord(SPACE)] = ord(STAND_IN)
+        letters[space] = ord(SPACE)
+        mark = self.v.mark[np.minimum(letters, 128)]
+        cut = np.zeros(len(letters), bool)
+        cut[1:] = (space[1:] & ~space[:-1]) | (mark[1:] & ~(mark | space)[:-1])
+        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        stop = np.cumsum(size)
+        cut[(stop - size)[size > 0]] = True
+        at = np.flatnonzero(cut)
+        many = np.diff(np.searchsorted(at, np.r_[0, stop]))
+        n = np.diff(np.r_[at, len(letters)])
+        while True:
+            h = self.hashes(letters, at, n)
+            slot = find(self.table, h)
+            new, place = np.unique(h[self.table[slot] != h], return_index=True)
+            if len(new):
+                where = np.flatnonzero(self.table[slot] != h)[place]
+                self.put(self.chunks, hash=new, begin=self.add(letters, at[where], n[where]))
+                self.chunks += len(new)
+                if 2 * self.chunks > len(self.table):
+                    bits = (4 * self.chunks).bit_length()
+                    self.table, self.number = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+                    self.number[fill(self.table, self.hash[:self.chunks])] = np.arange(self.chunks)
+                else:
+                    self.number[fill(self.table, new)] = np.arange(self.chunks - len(new), self.chunks)
+                slot = find(self.table, h)
+            begin = self.begin[self.number[slot]]
+            if np.array_equal(self.letter[np.repeat(begin - at, n) + np.arange(len(letters))], letters):
+                return begin, many
+            self.factor = self.factor * 0x5851F42D4C957F2D & (1 << 64) - 1  # two chunks have one hash: all again with another
+            self.clear()
+
+    def hashes(self, letters: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A hash of each chunk, from its place and size: a polynomial of its letters."""
+        power, back = (np.full(len(letters), f, np.uint64) for f in (self.factor, pow(self.factor, -1, 1 << 64)))
+        power[:1] = back[:1] = 1
+        w = letters.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+        w ^= w >> np.uint64(32)
+        ahead = np.zeros(len(letters) + 1, np.uint64)
+        np.cumsum(w * np.cumprod(power), out=ahead[1:])
+        h = mix((ahead[at + n] - ahead[at]) * np.cumprod(back)[at] + n.astype(np.uint64))
+        return np.maximum(h, np.uint64(1))
+
+    def add(self, letters: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Builds the lattices of new chunks, from their places and sizes, and returns their first positions."""
         v, base, edge_base = self.v, self.positions, self.steps
-        size = np.array([len(c) for c in chunks], np.int64)
         ends = np.cumsum(size + 1) - 1  # each chunk has one position more than characters
-        chars = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        chars = np.r_[letters, np.uint32(0)][np.minimum(np.repeat(at - (ends - size), size + 1) + np.arange(int(ends[-1]) + 1), len(letters))]
+        chars[ends] = 0
+        letter, chars = chars, chars.astype(np.uint64)
         left = np.repeat(ends, size + 1) - np.arange(len(chars))
         live = np.flatnonzero(left > 0)
-        h, start, piece, length = np.zeros(len(live), np.uint64), [], [], []
+        h, start, piece, length, nth = np.zeros(len(live), np.uint64), [], [], [], []
+        seen = np.zeros(len(chars), np.int32)
         n = 0
         while len(live):
             h = roll(h, chars[live + n])
-            slot = v.look_up(h)
-            got = v.value[slot]
+            slot = find(v.key, h)
+            got, known = v.value[slot], v.key[slot] == h
             if n == 0:  # characters without a piece are spelt in bytes: -1 - character
-                got = np.where((got < 0) | (v.key[slot] != h), -1 - chars[live].astype(np.int32), got)
+                got = np.where((got < 0) | ~known, -1 - chars[live].astype(np.int32), got)
                 hit = np.ones(len(live), bool)
             else:
-                hit = (got >= 0) & (v.key[slot] == h)
+                hit = (got >= 0) & known
             n += 1
             start.append(live[hit])
+            nth.append(seen[start[-1]])
+            seen[start[-1]] += 1
             piece.append(got[hit])
-            length.append(np.full(int(hit.sum()), n, np.int32))
-            go = v.more[slot] & (v.key[slot] == h) & (left[live] > n)
+            length.append(np.full(len(start[-1]), n, np.int32))
+            go = v.more[slot] & known & (left[live] > n)
             live, h = live[go], h[go]
-        s, p, n = np.concatenate(start), np.concatenate(piece), np.concatenate(length)
+        s, p, n, nth = np.concatenate(start), np.concatenate(piece), np.concatenate(length), np.concatenate(nth)
         score = v.score[np.maximum(p, 0)]
         spelt = np.flatnonzero(p < 0)
         code = -1 - p[spelt]
         score[spelt] = (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)) * v.score[v.byte[0]]
         p[spelt] = np.where(code < 0x80, v.byte[np.minimum(code, 0x7F)], p[spelt])
-        place = np.empty(len(chars), np.int32)  # positions in order of their distance from the chunk's end
-        place[np.argsort(left.astype(np.int16) if left.max() < 1 << 15 else left, kind="stable")] = np.arange(len(chars))
-        by = np.argsort(place[s], kind="stable")
-        s, p, n, score = s[by], p[by], n[by], score[by]
+        order = np.argsort(left.astype(np.int16) if left.max() < 1 << 15 else left, kind="stable")  # by the distance from the chunk's end
+        order = order[len(ends):]  # an end has no steps, all other positions have one at least
+        many = seen[order].astype(np.int64)
+        rows = np.cumsum(many) - many
+        seen[order] = rows
+        to = seen[s] + nth
+        back = np.empty(len(to), np.int64)
+        back[to] = np.arange(len(to))
+        p, n, score = p[back], n[back], score[back]
+        s = np.repeat(order, many)
         mass = np.zeros(len(chars))
-        new = np.r_[True, s[1:] != s[:-1]]
-        rows = np.flatnonzero(new)
-        steps = np.searchsorted(left[s[rows]], np.arange(int(left.max()) + 2))
+        steps = np.searchsorted(left[order], np.arange(int(left.max()) + 2))
         bounds = np.r_[rows, len(s)]
         for r in range(1, int(left.max()) + 1):
             a, b = steps[r], steps[r + 1]
             if a < b:
                 e = slice(bounds[a], bounds[b])
-                mass[s[rows[a:b]]] = np.logaddexp.reduceat(score[e] + mass[s[e] + n[e]], rows[a:b] - bounds[a])
+                mass[order[a:b]] = np.logaddexp.reduceat(score[e] + mass[s[e] + n[e]], rows[a:b] - bounds[a])
         log_p = np.minimum(score + mass[s + n] - mass[s], 0.0)
-        many = np.diff(bounds)
-        row = np.cumsum(new) - 1
+        row = np.repeat(np.arange(len(rows)), many)
         total = np.r_[0.0, np.cumsum(np.exp(log_p))]
         before, whole = total[rows], total[bounds[1:]] - total[rows]
         cum = (total[1:] - before[row]) / whole[row]
         cum[bounds[1:] - 1] = 2.0
-        nth = np.arange(len(s)) - rows[row]
+        nth = np.arange(len(s)) - np.repeat(rows, many)
         guide = np.searchsorted(row + np.minimum(cum, 1.0), row + nth / many[row], "right")
         guide = np.minimum(guide, bounds[1:][row] - 1)
         first, count = np.zeros(len(chars), np.int32), np.zeros(len(chars), np.int32)
-        first[s[rows]], count[s[rows]] = rows + edge_base, many
-        self.put(base, first=first, count=count)
+        first[order], count[order] = rows + edge_base, many
+        self.put(base, first=first, count=count, letter=letter)
         self.put(edge_base, cum=cum, log_p=log_p, piece=p, next=s + n + base, guide=guide + edge_base)
         self.positions, self.steps = base + len(first), edge_base + len(cum)
         return base + ends - size
@@ -226,26 +274,24 @@ class Lattices:
         left[sure[self.count[self.source(steps[sure])] == 1]] = -np.inf
         return left
 
-    def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """A step from each position."""
-        e = self.guide[self.first[at] + (u * self.count[at]).astype(np.int64)]
-        late = np.flatnonzero(self.cum[e] <= u)
-        while len(late):
-            e[late] += 1
-            late = late[self.cum[e[late]] <= u[late]]
-        return e
-
     def walk(self, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Steps from each position to its chunk's end: (all steps, how many each has). ``seed``: a hash for each position."""
-        owner, found, k = np.flatnonzero(self.count[at] > 0), [], np.zeros(len(at), np.int64)
-        pos, j = at[owner], 0
+        count, found, k = self.count[at], [], np.zeros(len(at), np.int64)
+        owner = np.flatnonzero(count > 0)
+        pos, count, seed, j = at[owner], count[owner], seed[owner], 0
         while len(owner):
-            e = self.draw(pos, uniform(seed[owner] + np.uint64(j * 0xD1342543DE82EF95 & (1 << 64) - 1)))
+            u = uniform(seed + np.uint64(j * 0xD1342543DE82EF95 & (1 << 64) - 1))
+            e = self.guide[self.first[pos] + (u * count).astype(np.int64)]
+            late = np.flatnonzero(self.cum[e] <= u)
+            while len(late):
+                e[late] += 1
+                late = late[self.cum[e[late]] <= u[late]]
             found.append((owner, e))
             k[owner] += 1
             pos = self.next[e]
-            go = self.count[pos] > 0
-            owner, pos, j = owner[go], pos[go], j + 1
+            count = self.count[pos]
+            go = np.flatnonzero(count)
+            owner, pos, count, seed, j = owner[go], pos[go], count[go], seed[go], j + 1
         out, offset = np.zeros(int(k.sum()), np.int64), np.cumsum(k) - k
         for j, (o, e) in enumerate(found):
             out[offset[o] + j] = e
@@ -278,12 +324,7 @@ class Row:
 
 def sampled(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k (steps, log probability, perturbed score, log inclusion probability), best first."""
-    chunks, sizes = [], []
-    for t in texts:
-        c = lat.v.chunk.findall(SPACE + t.replace(SPACE, STAND_IN).replace(" ", SPACE)) if t else []
-        chunks += c
-        sizes.append(len(c))
-    start, size = lat.starts(chunks), np.array(sizes, np.int64)
+    start, size = lat.starts(texts)
     base = mix(np.array([x & (1 << 64) - 1 for x in keys], np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     begin = np.cumsum(size) - size
     row = np.repeat(np.arange(len(texts)), size)
@@ -296,8 +337,8 @@ def sampled(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int)
             steps, n = lat.walk(start, mix(base[row] + spot))
             bounds = np.r_[0, np.cumsum(n)]  # of each chunk's fresh steps
             tops = gumbel(uniform(base ^ tag))
-            parts = [(i, steps[bounds[begin[i]]: bounds[begin[i] + size[i]]], np.repeat(nth[begin[i]: begin[i] + size[i]], n[begin[i]: begin[i] + size[i]]),
-                      0, float(tops[i]), ()) for i in range(len(texts))]
+            of, ends = np.repeat(nth, n), bounds[np.r_[begin, len(start)]].tolist()
+            parts = [(i, steps[a:b], of[a:b], 0, top, (), 0.0) for i, (a, b, top) in enumerate(zip(ends, ends[1:], tops.tolist(), strict=False))]
         else:
             parts = []
             popped = []
@@ -306,12 +347,14 @@ def sampled(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int)
                     best = max(row_.queue)
                     row_.queue.remove(best)
                     popped.append((i, best))
-            turns, after = [], []
+            turns, after, others_left = [], [], []
             us = uniform(base ^ (tag + np.uint64(17)))
             for i, (_, p, t, out) in popped:  # another step than those drawn there before
                 es, w = others(lat, int(rows[i].paths[p][0][t]), out)
-                w = np.cumsum(w)
-                turns.append(es[min(len(es) - 1, int(np.searchsorted(w, us[i] * w[-1], "right")))])
+                c = np.cumsum(w)
+                e = min(len(es) - 1, int(np.searchsorted(c, us[i] * c[-1], "right")))
+                turns.append(es[e])
+                others_left.append(sum(w[:e] + w[e + 1:]))
                 after.append(begin[i] + int(rows[i].paths[p][1][t]) + 1)  # the chunk after the turn's
             rest, m = lat.walk(lat.next[np.array(turns, np.int64)], mix(base[[i for i, _ in popped]] + tag + np.uint64(99))) if turns else (np.zeros(0, np.int64),) * 2
             cut_at = np.r_[0, np.cumsum(m)]
@@ -323,35 +366,25 @@ def sampled(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int)
             for x, (i, (top, p, t, out)) in enumerate(popped):
                 old, of, *_ = rows[i].paths[p]
                 tail, mine = rest[cut_at[x]: cut_at[x + 1]], slice(stop[x] - left[x], stop[x])
-                whole = np.r_[old[:t], turns[x], tail, steps[bounds[mine.start]: bounds[mine.stop]]]
-                chunk = np.r_[of[:t], np.full(1 + len(tail), int(of[t])), np.repeat(nth[need[mine]], n[mine])]
-                parts.append((i, whole, chunk, t, top, (*out, turns[x])))
+                whole = np.concatenate([old[:t], turns[x: x + 1], tail, steps[bounds[mine.start]: bounds[mine.stop]]])
+                # Only a later draw asks for the chunks of steps.
+                chunk = np.concatenate([of[:t], np.full(1 + len(tail), int(of[t])), np.repeat(nth[need[mine]], n[mine])]) if r < k - 1 else of[:0]
+                parts.append((i, whole, chunk, t, top, (*out, turns[x]), others_left[x]))
         if not parts:
             break
         long = np.array([len(p[1]) for p in parts], np.int64)
         begins = np.cumsum(long) - long
         every = np.concatenate([p[1] for p in parts])
-        own = np.repeat(np.arange(len(parts)), long)
-        place = np.arange(len(every)) - begins[own]
         log_p = lat.log_p[every]
-        ahead = np.r_[0.0, np.cumsum(log_p)]
-        before = ahead[:-1] - ahead[begins][own]
-        mass = before + lat.log_rest(every)
-        mass[place < np.array([p[3] for p in parts], np.int64)[own]] = -np.inf  # branches of the path it comes from
-        for x, (_, whole, _, t, _, out) in enumerate(parts):
-            if out:  # at the turn all steps drawn so far are out
-                es, w = others(lat, int(whole[t]), out)
-                mass[begins[x] + t] = before[begins[x] + t] + np.log(sum(w)) if es else -np.inf
-        u = uniform(base[[p[0] for p in parts]][own] + tag + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
-        score = truncated(mass, u, np.array([p[4] for p in parts])[own])
-        for x, (i, whole, chunk, t, top, out) in enumerate(parts):
-            mine = slice(begins[x], begins[x] + long[x])
-            rows[i].paths.append((whole, chunk, top, float(log_p[mine].sum())))
-            v = score[mine]
-            most = min(len(v), k - r)  # no more can be drawn
-            for j in np.argpartition(v, len(v) - most)[len(v) - most:].tolist() if most else ():
-                if v[j] > -np.inf:
-                    rows[i].queue.append((float(v[j]), len(rows[i].paths) - 1, j, out if j == t and out else (int(whole[j]),)))
+        for (i, whole, chunk, _, top, *_), a, b in zip(parts, begins.tolist(), (begins + long).tolist(), strict=True):
+            rows[i].paths.append((whole, chunk, top, float(log_p[a:b].sum())))
+        turn, tops, rest_left = (np.array(list(c)) for c in zip(*[(p[3], p[4], p[6]) for p in parts], strict=True))
+        own_base, out_there, most = base[[p[0] for p in parts]] + tag, np.array([bool(p[5]) for p in parts]), k - r  # no more can be drawn
+        for x, places, scores in best_branches(lat, every, log_p, begins, long, turn, tops, out_there, rest_left, own_base, most):
+            i, whole, _, t, _, out, _ = parts[x]
+            for j, v in zip(places, scores, strict=True):
+                if v > -np.inf:
+                    rows[i].queue.append((v, len(rows[i].paths) - 1, j, out if j == t and out else (int(whole[j]),)))
     result = []
     for row_ in rows:
         least = max((q[0] for q in row_.queue), default=-np.inf)
@@ -359,6 +392,37 @@ def sampled(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int)
     return result
 
 
+def best_branches(lat: Lattices, every: np.ndarray, log_p: np.ndarray, begins: np.ndarray, long: np.ndarray, turn: np.ndarray, tops: np.ndarray,
+                  out_there: np.ndarray, rest_left: np.ndarray, seed: np.ndarray, most: int) -> Iterator[tuple[int, list[int], list[float]]]:
+    """The ``most`` best branches of each path: (path, their steps, their scores).
+
+    What a branch holds falls along a path with the chance of the steps before it. From where that is SPREAD under the mass of ``most`` earlier
+    branches, none can be among the best, whatever its random number; so a path is followed only that far, twice as far each time.
+    """
+    todo, width = np.flatnonzero(long > 0), 128
+    while len(todo):
+        place = np.arange(width)
+        inside = place < long[todo, None]
+        at = np.minimum(begins[todo, None] + place, len(every) - 1)
+        ahead = np.zeros((len(todo), width + 1))
+        np.cumsum(np.where(inside, log_p[at], 0.0), axis=1, out=ahead[:, 1:])
+        mass = ahead[:, :-1] + lat.log_rest(every[at].ravel()).reshape(at.shape)
+        mass[~inside | (place < turn[todo, None])] = -np.inf  # branches before the turn are those of the path it comes from
+        at_turn = np.flatnonzero(out_there[todo] & (turn[todo] < width))  # there all steps drawn so far are out
+        with np.errstate(divide="ignore"):
+            t = turn[todo[at_turn]]
+            mass[at_turn, t] = ahead[at_turn, t] + np.log(rest_left[todo[at_turn]])
+        m = min(most, width)
+        least = np.partition(mass, width - m, axis=1)[:, width - m]
+        settled = (long[todo] <= width) | ((m == most) & (least > ahead[:, -1] + SPREAD))
+        mine, mass = todo[settled], mass[settled]
+        u = uniform(seed[mine, None] + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
+        score = truncated(mass, u, tops[mine, None])
+        best = np.argpartition(score, width - m, axis=1)[:, width - m:]
+        yield from zip(mine.tolist(), best.tolist(), np.take_along_axis(score, best, axis=1).tolist(), strict=True)
+        todo, width = todo[~settled], 2 * width
+
+
 def log_inclusion(x: float) -> float:
     """log(1 - exp(-exp(x))), for x the log probability less the threshold (-inf where nothing is left to be drawn)."""
     return x if x < -30 else 0.0 if x > 30 else float(np.log(-np.expm1(-np.exp(x))))
@@ -366,8 +430,9 @@ def log_inclusion(x: float) -> float:
 
 def others(lat: Lattices, step: int, out: tuple[int, ...]) -> tuple[list[int], list[float]]:
     """The steps at a step's position that are not out, with their chances."""
-    pos = int(lat.source(np.array([step]))[0])
-    es = [e for e in range(lat.first[pos], lat.first[pos] + lat.count[pos]) if e not in out]
+    p = int(lat.piece[step])
+    pos = int(lat.next[step]) - (1 if p < 0 else int(lat.v.chars[p]))
+    es = [e for e in range(int(lat.first[pos]), int(lat.first[pos]) + int(lat.count[pos])) if e not in out]
     return es, np.exp(lat.log_p[es]).tolist()
 
 
@@ -400,7 +465,7 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, seed: int = 1, path: str | None = None, batch_chars: int = 1_000_000,
+def segmentations(docs: DataFrame, k: int = 2, sharpness: float = 1.0, seed: int = 1, path: str | None = None, batch_chars: int = 500_000,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rank (from 1), n_pieces, log_prob, score (perturbed), log_inclusion, round_trip, ids: up to k rows per row of docs.
 

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -88,3 +89,50 @@ def test_rows(spark, monkeypatch):
     assert lat.v.decode(a[3, 2].ids) == texts[3]
     p = np.array([r.log_inclusion for r in a.values()])
     assert (np.isfinite(p) & (p <= 0)).all()
+
+
+def chunks_of(lat, texts):
+    """The chunks of each text, read back from their lattices."""
+    begin, many = lat.starts(texts)
+    own = []
+    for b in begin.tolist():
+        stop = b + int(np.flatnonzero(lat.letter[b:lat.positions] == 0)[0])
+        own.append("".join(map(chr, lat.letter[b:stop].tolist())))
+    at = np.r_[0, np.cumsum(many)]
+    return [own[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+TEXTS = ["", "the end ", " of a1b2 12,5%--x  \n\n(y) é▁日本", "  ", "a\n", "ab ba abba baab", "tail ", "x" * 300 + " 1", "the end "]
+
+
+def test_chunks_are_those_of_the_pattern():
+    lat = S.Lattices(S.Vocabulary(S.model_path(), 1.0))
+    m, sp = re.escape("".join(chr(c) for c in range(128) if lat.v.mark[c])), S.SPACE
+    pattern = re.compile(f"{sp}+[{m}]*[^{sp}{m}]*|[{m}]+[^{sp}{m}]*|[^{sp}{m}]+")
+    want = [pattern.findall(sp + t.replace(sp, S.STAND_IN).replace(" ", sp)) if t else [] for t in TEXTS]
+    assert chunks_of(lat, TEXTS) == want
+    assert chunks_of(lat, TEXTS[::-1]) == want[::-1]  # all known by now
+    many = [f"{x} w{x}" for x in range(40_000)]  # more chunks than the first table has room for
+    assert [c[0] for c in chunks_of(lat, many[-50:] + many)[:50]] == [S.SPACE + x.split()[0] for x in many[-50:]]
+    assert lat.chunks > 1 << 16
+
+
+def test_chunks_with_one_hash_stay_apart():
+    lat = S.Lattices(S.Vocabulary(S.model_path(), 1.0))
+    want, factor = chunks_of(lat, TEXTS), lat.factor
+    lat.clear()
+    lat.factor = 1  # the hash of a chunk is that of its letters in any order
+    assert chunks_of(lat, TEXTS) == want and lat.factor not in (1, factor)
+
+
+def test_branches_are_looked_at_only_where_one_can_be_among_the_best(monkeypatch):
+    lat = S.Lattices(S.Vocabulary(S.model_path(), 1.0))
+    seen, plain = [], S.truncated
+    monkeypatch.setattr(S, "truncated", lambda location, u, top: seen.append(location.size) or plain(location, u, top))
+    texts = ["the quick brown fox jumps over a lazy dog and runs " * 500, "of " * 4000]
+    few = S.sampled(lat, texts, [1, 2], 4, 1)
+    steps = sum(len(g[0]) for own in few for g in own)
+    assert sum(seen) < steps / 2  # all steps, if each branch is scored
+    monkeypatch.setattr(S, "SPREAD", np.inf)  # all branches
+    for a, b in zip(few, S.sampled(lat, texts, [1, 2], 4, 1), strict=True):
+        assert all((x[0] == y[0]).all() and x[1:] == y[1:] for x, y in zip(a, b, strict=True)) and len(a) == len(b) == 4
