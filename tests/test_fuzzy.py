@@ -136,3 +136,12 @@ def test_only_declared_slots_are_compared(spark, monkeypatch):
     got = {r.k: r.issues for r in C.key_delta(df, {"b": ("t", "p")}, "d", "n", "n", "t", "p").collect()}
     assert got == {1: ["slots_unchanged"], 2: ["no_key_slot"], 3: ["no_key_slot"], 4: ["text_drifted"]}
     assert asked.value == 2
+
+
+def test_reordered_text_is_settled_before_all_windows(monkeypatch):
+    said = ["one two three", "four five six", "seven eight nine", "ten eleven twelve", "north south east", "red green blue"]
+    a, b = ". ".join(said), ". ".join(reversed(said))
+    want = Z.partial_ratio(a, b)
+    assert Z.within_reach(a, b, 80.0) and want < 80  # the same q-grams, in another order
+    monkeypatch.setattr(Z, "_best_window", lambda *_: pytest.fail("all windows were compared"))
+    assert Z.partial_ratio(a, b, 80.0) == 0.0
