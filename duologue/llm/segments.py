@@ -117,21 +117,49 @@ def roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Lattices of chunks: positions with their steps (piece, chance, next position), and a guide into the chances."""
+    """Lattices of chunks: positions with their steps (piece, chance, next position, the chance of the steps before it there)."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.factor = 0x9E3779B97F4A7C15  # of the hashes of chunks
+        self.hash = np.zeros(0, np.uint64)  # of each chunk; ``begin`` has its first position, ``uses`` how often it was met
+        self.begin, self.uses = (np.zeros(0, np.int64) for _ in range(2))
+        self.letter = np.zeros(0, np.uint32)  # of each position, 0 at a chunk's end
+        self.first, self.count, self.piece, self.next = (np.zeros(0, np.int32) for _ in range(4))
+        self.below, self.log_p = (np.zeros(0, np.float64) for _ in range(2))
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.number = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)  # hashes of chunks and their numbers
         self.chunks = self.positions = self.steps = 0  # used of the arrays, which are longer
-        self.hash = np.zeros(0, np.uint64)  # of each chunk; ``begin`` has its first position
-        self.begin = np.zeros(0, np.int64)
-        self.letter = np.zeros(0, np.uint32)  # of each position, 0 at a chunk's end
-        self.first, self.count, self.piece, self.next, self.guide = (np.zeros(0, np.int32) for _ in range(5))
-        self.cum, self.log_p = (np.zeros(0, np.float64) for _ in range(2))
+        self.index(1 << 16)
+
+    def index(self, places: int) -> None:
+        self.table, self.number = np.zeros(places, np.uint64), np.zeros(places, np.int32)  # hashes of chunks and their numbers
+        self.number[fill(self.table, self.hash[:self.chunks])] = np.arange(self.chunks)
+
+    def thin(self) -> None:
+        """Keeps the chunks met most often, those met once never, in half of the positions."""
+        uses, begin = self.uses[:self.chunks], self.begin[:self.chunks]
+        size = np.diff(np.r_[begin, self.positions])
+        order = np.argsort(-uses, kind="stable")
+        kept = np.zeros(self.chunks, bool)
+        kept[order] = (uses[order] > 1) & (np.cumsum(size[order]) <= MOST // 2)
+        live = np.repeat(kept, size)
+        place = np.cumsum(live, dtype=np.int32) - np.int32(1)
+        stays = live[self.source(slice(0, self.steps))]
+        step = np.cumsum(stays, dtype=np.int32) - np.int32(1)
+        first = np.where(self.count[:self.positions] > 0, step[np.minimum(self.first[:self.positions], self.steps - 1)], 0)[live]
+        onward = place[self.next[:self.steps][stays]]
+        chunks = {"hash": self.hash[:self.chunks][kept], "begin": place[begin[kept]], "uses": uses[kept] // 2}
+        positions = {"first": first, "count": self.count[:self.positions][live], "letter": self.letter[:self.positions][live]}
+        self.chunks, self.positions = len(chunks["hash"]), len(first)
+        self.put(0, **chunks)
+        self.put(0, **positions)
+        for name in ("below", "log_p", "piece"):
+            self.put(0, **{name: getattr(self, name)[:self.steps][stays]})
+        self.put(0, next=onward)
+        self.steps = len(onward)
+        self.index(max(1 << 16, 1 << (4 * self.chunks).bit_length()))
 
     def put(self, used: int, **more: np.ndarray) -> None:
         """Writes behind the first ``used`` items; an array that is full doubles."""
@@ -146,7 +174,7 @@ class Lattices:
     def starts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The first positions of all chunks of the texts, and how many chunks each text has."""
         if self.positions > MOST:
-            self.clear()
+            self.thin()
         letters = np.frombuffer("".join([f" {t}" for t in texts if t]).encode("utf-32-le", "surrogatepass"), "<u4").copy()
         space = letters == ord(" ")
         letters[letters == ord(SPACE)] = ord(STAND_IN)
@@ -166,17 +194,17 @@ class Lattices:
             new, place = np.unique(h[self.table[slot] != h], return_index=True)
             if len(new):
                 where = np.flatnonzero(self.table[slot] != h)[place]
-                self.put(self.chunks, hash=new, begin=self.add(letters, at[where], n[where]))
+                self.put(self.chunks, hash=new, begin=self.add(letters, at[where], n[where]), uses=np.zeros(len(new), np.int64))
                 self.chunks += len(new)
                 if 2 * self.chunks > len(self.table):
-                    bits = (4 * self.chunks).bit_length()
-                    self.table, self.number = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
-                    self.number[fill(self.table, self.hash[:self.chunks])] = np.arange(self.chunks)
+                    self.index(1 << (4 * self.chunks).bit_length())
                 else:
                     self.number[fill(self.table, new)] = np.arange(self.chunks - len(new), self.chunks)
                 slot = find(self.table, h)
-            begin = self.begin[self.number[slot]]
+            number = self.number[slot]
+            begin = self.begin[number]
             if np.array_equal(self.letter[np.repeat(begin - at, n) + np.arange(len(letters))], letters):
+                self.uses[:self.chunks] += np.bincount(number, minlength=self.chunks)
                 return begin, many
             self.factor = self.factor * 0x5851F42D4C957F2D & (1 << 64) - 1  # two chunks have one hash: all again with another
             self.clear()
@@ -249,19 +277,15 @@ class Lattices:
         row = np.repeat(np.arange(len(rows)), many)
         total = np.r_[0.0, np.cumsum(np.exp(log_p))]
         before, whole = total[rows], total[bounds[1:]] - total[rows]
-        cum = (total[1:] - before[row]) / whole[row]
-        cum[bounds[1:] - 1] = 2.0
-        nth = np.arange(len(s)) - np.repeat(rows, many)
-        guide = np.searchsorted(row + np.minimum(cum, 1.0), row + nth / many[row], "right")
-        guide = np.minimum(guide, bounds[1:][row] - 1)
+        below = (total[:-1] - before[row]) / whole[row]  # 0 for the first step of a position
         first, count = np.zeros(len(chars), np.int32), np.zeros(len(chars), np.int32)
         first[order], count[order] = rows + edge_base, many
         self.put(base, first=first, count=count, letter=letter)
-        self.put(edge_base, cum=cum, log_p=log_p, piece=p, next=s + n + base, guide=guide + edge_base)
-        self.positions, self.steps = base + len(first), edge_base + len(cum)
+        self.put(edge_base, below=below, log_p=log_p, piece=p, next=s + n + base)
+        self.positions, self.steps = base + len(first), edge_base + len(below)
         return base + ends - size
 
-    def source(self, steps: np.ndarray) -> np.ndarray:
+    def source(self, steps: np.ndarray | slice) -> np.ndarray:
         """The positions that steps start from."""
         p = self.piece[steps]
         return self.next[steps] - np.where(p < 0, 1, self.v.chars[np.maximum(p, 0)])
@@ -281,11 +305,11 @@ class Lattices:
         pos, count, seed, j = at[owner], count[owner], seed[owner], 0
         while len(owner):
             u = uniform(seed + np.uint64(j * 0xD1342543DE82EF95 & (1 << 64) - 1))
-            e = self.guide[self.first[pos] + (u * count).astype(np.int64)]
-            late = np.flatnonzero(self.cum[e] <= u)
-            while len(late):
-                e[late] += 1
-                late = late[self.cum[e[late]] <= u[late]]
+            e = self.first[pos] + count - 1  # the longest piece is mostly the likeliest
+            early = np.flatnonzero(self.below[e] > u)
+            while len(early):
+                e[early] -= 1
+                early = early[self.below[e[early]] > u[early]]
             found.append((owner, e))
             k[owner] += 1
             pos = self.next[e]

@@ -136,3 +136,20 @@ def test_branches_are_looked_at_only_where_one_can_be_among_the_best(monkeypatch
     monkeypatch.setattr(S, "SPREAD", np.inf)  # all branches
     for a, b in zip(few, S.sampled(lat, texts, [1, 2], 4, 1), strict=True):
         assert all((x[0] == y[0]).all() and x[1:] == y[1:] for x, y in zip(a, b, strict=True)) and len(a) == len(b) == 4
+
+
+def test_a_full_cache_keeps_what_is_met_often(lattices, monkeypatch):
+    lat = S.Lattices(lattices.v)
+    texts = ["often often often " + " ".join(f"w{x}x{y}" for x in range(20)) for y in range(6)]
+    want = [[(lat.piece[st].tolist(), *rest) for st, *rest in got] for got in S.sampled(lat, texts, list(range(6)), 2, 5)]
+    monkeypatch.setattr(S, "MOST", 60)
+    before = lat.positions
+    lat.starts(["often"])
+    assert 0 < lat.chunks and lat.positions <= 30 < 60 < before
+    monkeypatch.setattr(lat, "add", lambda *_: pytest.fail("a chunk met often is built again"))
+    lat.starts(["often often"])
+    monkeypatch.undo()
+    monkeypatch.setattr(S, "MOST", 60)
+    for text, key, had in zip(texts, range(6), want, strict=True):
+        got = S.sampled(lat, [text], [key], 2, 5)[0]
+        assert [(lat.piece[st].tolist(), *rest[:2]) for st, *rest in got] == [(p, pytest.approx(x), pytest.approx(y)) for p, x, y, *_ in had]
