@@ -145,3 +145,31 @@ def test_reordered_text_is_settled_before_all_windows(monkeypatch):
     assert Z.within_reach(a, b, 80.0) and want < 80  # the same q-grams, in another order
     monkeypatch.setattr(Z, "_best_window", lambda *_: pytest.fail("all windows were compared"))
     assert Z.partial_ratio(a, b, 80.0) == 0.0
+
+
+def test_a_shorter_window_at_the_end_is_found():
+    """The bound of a window between the shortest and the whole one may be below that of both."""
+    item, text = "and ertied.", "a, eaing, orhend ero on of eslyan ertire."
+    assert plain(item, text) > 85 and Z.near_items([[item]], [text], 85.0) == [[True]]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abc d", k=rng.randrange(8, 60))) for _ in range(60)]
+    items = [[t[-k:-1 - k // 9] + "d" for k in range(4, 30, 3)] + ["a" + t[1 + k // 9:k] for k in range(4, 30, 3)] for t in texts]
+    for cutoff in (75.0, 85.0):
+        assert Z.near_items(items, texts, cutoff) == [[plain(i, t) > cutoff for i in own] for own, t in zip(items, texts)]
+
+
+def test_diagonals_leave_few_windows(monkeypatch):
+    """Sentences of the same invented words: what is walked is a small part of the text for each of them; results are the same held in parts."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("aaabcdeeeefghiiiklmnnooprrssttuvwy", k=rng.randrange(2, 9))) for _ in range(400)]
+    said = [" ".join(rng.choices(words, k=rng.randrange(3, 18))) + "." for _ in range(240)]
+    text, items, text_of_one = " ".join(said[:120]), said[100:] + ["x" * 40], "la " * 300
+    walked, shared = [], Z._Search._shared
+    monkeypatch.setattr(Z._Search, "_shared", lambda self, of, start, size: walked.append(int(size.sum())) or shared(self, of, start, size))
+    assert Z.near_items([items], [text], 85.0) == [want := [Z.partial_ratio(i, text) > 85 for i in items]] and sum(want) >= 20
+    assert sum(walked) < len(text) * len(items) / 4
+    got = Z.near_items([items, [text_of_one]], [text, "la " * 4000], 85.0)
+    assert got == [want, [True]]
+    monkeypatch.setattr(Z, "HELD", 500)
+    monkeypatch.setattr(Z, "LANES", 64)
+    assert Z.near_items([items, [text_of_one]], [text, "la " * 4000], 85.0) == got
