@@ -38,12 +38,13 @@ def mixed_categories(df: DataFrame, category: Column, passed: Column, min_pass:
 
 
 def first_hit(text: Column, patterns: Sequence[str], ignore_case: bool = True) -> Column:
-    """The first pattern found in the text, else null."""
+    """The first pattern found in the text, else null. One scan for all of them settles texts without any."""
     flag = "(?i)" if ignore_case else ""
-    return F.coalesce(*[F.when(F.rlike(text, F.lit(flag + p)), F.lit(p)) for p in patterns])
+    which = F.coalesce(*[F.when(F.rlike(text, F.lit(flag + p)), F.lit(p)) for p in patterns])
+    return F.when(any_hit(text, patterns, flag), which)
 
 
-def any_hit(text: Column, patterns: Sequence[str]) -> Column:
+def any_hit(text: Column, patterns: Sequence[str], flag: str = "") -> Column:
     """Whether any pattern is found, in one scan: a shared word boundary is tested once, not for each pattern.
 
     For lists that ignore case pass the lower-case text.
@@ -52,7 +53,7 @@ def any_hit(text: Column, patterns: Sequence[str]) -> Column:
         joined = r"\b(?:" + "|".join(p[2:] for p in patterns) + ")"
     else:
         joined = "|".join(f"(?:{p})" for p in patterns)
-    return F.rlike(text, F.lit(joined))
+    return F.rlike(text, F.lit(flag + joined))
 
 
 def first_problem() -> Column:
@@ -142,13 +143,16 @@ def key_leaks(df: DataFrame, key: str, conditions: str, triggers: str, public: C
     Conditions are held against everything public, triggers only against what the partner sees.
     """
     none = F.array().cast("array<string>")
+    own, other = (F.coalesce(F.col(items), none) for items in (conditions, triggers))
+    low = lambda items: F.transform(items, F.lower)
+    seen = F.when(partner_public == public, F.lit(None)).otherwise(F.lower(F.coalesce(partner_public, F.lit(""))))  # null: the same text
+    near = near_items_udf(limit)(low(own), F.lower(public), low(other), seen)
 
-    def judged(kind: str, items: str, seen: Column) -> Column:
-        own = F.coalesce(F.col(items), none)
-        leaks = near_items_udf(limit)(F.transform(own, F.lower), F.lower(seen))
-        return F.transform(F.arrays_zip(own.alias("item"), leaks.alias("leaks")), lambda x: F.struct(F.lit(kind).alias("kind"), x["item"].alias("item"), x["leaks"].alias("leaks")))
+    def judged(kind: str, items: Column, leaks: Column) -> Column:
+        return F.transform(F.arrays_zip(items.alias("item"), leaks.alias("leaks")), lambda x: F.struct(F.lit(kind).alias("kind"), x["item"].alias("item"), x["leaks"].alias("leaks")))
 
-    rows = df.select(key, judged("movement_condition", conditions, public).alias("__c"), judged("hardening_trigger", triggers, partner_public).alias("__t"))
+    rows = df.select(key, own.alias("__own"), other.alias("__other"), near.alias("__near"))
+    rows = rows.select(key, judged("movement_condition", F.col("__own"), F.col("__near.own")).alias("__c"), judged("hardening_trigger", F.col("__other"), F.col("__near.other")).alias("__t"))
     return rows.select(key, F.inline(F.concat("__c", "__t"))).select(
         key, "kind", "item", "leaks", first_hit(F.col("item"), KEY_ARTIFACTS).alias("artifact"))
 

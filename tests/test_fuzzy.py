@@ -170,6 +170,6 @@ def test_diagonals_leave_few_windows(monkeypatch):
     assert sum(walked) < len(text) * len(items) / 4
     got = Z.near_items([items, [text_of_one]], [text, "la " * 4000], 85.0)
     assert got == [want, [True]]
-    monkeypatch.setattr(Z, "HELD", 500)
-    monkeypatch.setattr(Z, "LANES", 64)
+    for limit in ("HELD", "LETTERS", "LANES"):
+        monkeypatch.setattr(Z, limit, 64)
     assert Z.near_items([items, [text_of_one]], [text, "la " * 4000], 85.0) == got
