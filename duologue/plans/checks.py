@@ -51,7 +51,7 @@ def _doc_pairs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     parents = docs.select(F.col("doc_id").alias("parent_id"), F.col("text").alias("parent_text"))
     child = docs.where(F.col("doc_id") > 0).withColumn("parent_id", F.floor(F.col("doc_id") / 3))
-    j = spread(child.join(parents, "parent_id"), "doc_id")
+    j = spread(child, "parent_id").join(parents, "parent_id")  # by the key of the join: its pairs are not moved again
     return j.withColumn("child_names", F.split("text", " ")).withColumn("parent_names", F.split("parent_text", " "))
 
 
